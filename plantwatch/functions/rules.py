@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from plantwatch import schemas
 from plantwatch.functions.times import as_column, seconds_between
-from plantwatch.functions.values import clamp, percent, real, zero_if_null
+from plantwatch.functions.values import clamp, percent, real, rounded, zero_if_null
 from plantwatch.params import DEFAULTS, Params
 
 
@@ -145,4 +145,4 @@ def detailed_score(temperature, load, action, probability) -> Column:
 
 
 def unit_progress(elapsed, duration) -> Column:
-    return F.round(clamp(F.try_divide(as_column(elapsed), as_column(duration)), 0.0, 1.0), 3)
+    return rounded(clamp(F.try_divide(as_column(elapsed), as_column(duration)), 0.0, 1.0), 3)

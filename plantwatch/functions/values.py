@@ -38,3 +38,9 @@ def zero_if_null(value) -> Column:
 
 def percent(value) -> Column:
     return F.format_string("%.0f%%", as_column(value) * 100)
+
+
+def rounded(value, places: int) -> Column:
+    """Half up on the decimal digits. Going through a decimal first drops the binary
+    noise of computed numbers, so that 0.125 held as 0.12499999999999 rounds up too."""
+    return F.round(as_column(value).cast("decimal(28,10)"), places).cast("double")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plantwatch import schemas
 from plantwatch.functions import rules
 from plantwatch.functions.times import micros
+from plantwatch.functions.values import rounded
 from plantwatch.operators.ordered import Ordered, arrange, rank_rows
 from plantwatch.params import DEFAULTS, Params
 
@@ -88,8 +89,8 @@ def alert_records(scored: DataFrame) -> DataFrame:
     """Alerts in bus shape, from scored rows marked by change detection."""
     return scored.where("is_alert").select(
         "machine_id", rules.class_action("class_id").alias("action"),
-        F.round("temperature", 2).alias("temperature"),
-        F.round("charge_travail", 2).alias("charge_travail"),
+        rounded("temperature", 2).alias("temperature"),
+        rounded("charge_travail", 2).alias("charge_travail"),
         rules.class_severity("class_id").alias("severity"), "event_time", "seq")
 
 

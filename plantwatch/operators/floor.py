@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plantwatch.functions import rules
 from plantwatch.functions.times import instant, micros, seconds_between
+from plantwatch.functions.values import rounded
 from plantwatch.operators.fleet import machines_by_status
 from plantwatch.operators.latest import latest, latest_fields, latest_status, latest_task, lookback
 from plantwatch.operators.work import merge_counters
@@ -43,8 +44,8 @@ def floor_view(roster: DataFrame, status: DataFrame, readings: DataFrame, pauses
     return df.select(
         "machine_id", "pos", F.col("statut").alias("status"),
         rules.status_label("statut").alias("status_label"),
-        F.round("temperature", 1).alias("temperature"),
-        F.round("charge_travail", 1).alias("charge"),
+        rounded("temperature", 1).alias("temperature"),
+        rounded("charge_travail", 1).alias("charge"),
         F.when(timed, F.col("task_id")).alias("task"),
         F.when(timed, F.col("product_name")).alias("product"),
         F.when(timed, rules.unit_progress(elapsed, length)).alias("progress"),

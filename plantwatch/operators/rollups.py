@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantwatch.functions import rules
+from plantwatch.functions.values import rounded
 from plantwatch.params import DEFAULTS, Params
 
 
@@ -47,7 +48,7 @@ def energy_anomalies(readings: DataFrame, p: Params = DEFAULTS) -> DataFrame:
                                                           "charge_travail", p))
             .where(F.col("type_alerte").isNotNull())
             .select("machine_id", "type_alerte",
-                    F.round("consommation_electrique", 2).alias("valeur_actuelle"),
+                    rounded("consommation_electrique", 2).alias("valeur_actuelle"),
                     F.lit(p.power_normal).alias("valeur_normale"), "event_time"))
 
 
@@ -55,7 +56,7 @@ def predictions(readings: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Failure probability per reading by rule, rounded as it is served."""
     return readings.select(
         "machine_id",
-        F.round(rules.rule_failure_probability("temperature", "charge_travail", p), 4)
+        rounded(rules.rule_failure_probability("temperature", "charge_travail", p), 4)
         .alias("probabilite_panne"), "event_time")
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantwatch.functions import rules
+from plantwatch.functions.values import rounded
 from plantwatch.operators import features, fleet, floor, latest, lifecycle, work
 from plantwatch.plans.registry import query
-from plantwatch.plans.tables import AS_OF, RUN_START, SCENARIO, Tables, with_views
+from plantwatch.plans.tables import AS_OF, RUN_START, SCENARIO, Tables, half_up, with_views
 
 MONTH_END = "TIMESTAMP '2024-01-31'"
 
@@ -37,7 +38,7 @@ def q12(spark, sf_dir):
 
 HELD_NOW = f"""held_now AS (
   SELECT * FROM held
-  WHERE date_diff('microsecond', event_time, {MONTH_END}) < duration_minutes * 60000000)"""
+  WHERE date_diff('microsecond', event_time, {MONTH_END}) < duration_minutes * 6e7)"""
 ROSTER_STATUS = """roster_status AS (
   SELECT r.machine_id, pos, coalesce(statut, 'DISPONIBLE') AS statut
   FROM roster r LEFT JOIN latest_status USING (machine_id))"""
@@ -224,10 +225,10 @@ def _cut_short(t: Tables):
 
 @query("q29_interruptions", with_views(f"""
 WITH {INTERRUPT_SQL}
-SELECT task_id, machine_id, round(progress, 6) AS progress, event_time, seq, product_name, quantity,
+SELECT task_id, machine_id, {half_up('progress', 6)} AS progress, event_time, seq, product_name, quantity,
        duration_minutes, outcome FROM cut_short""", "flow", "assignments"))
 def q29(spark, sf_dir):
-    return _cut_short(Tables(spark, sf_dir)).withColumn("progress", F.round("progress", 6))
+    return _cut_short(Tables(spark, sf_dir)).withColumn("progress", rounded("progress", 6))
 
 
 LOG_SQL = """log AS (
@@ -433,11 +434,11 @@ def _scored(t: Tables):
 
 @query("q25_best_machine_simple", with_views(f"""
 WITH {AVAILABLE_SQL}, {SIMPLE_SQL}
-SELECT machine_id, round(score, 6) AS score FROM scored ORDER BY stateless, scored.score, pos
+SELECT machine_id, {half_up('score', 6)} AS score FROM scored ORDER BY stateless, scored.score, pos
 LIMIT 1""", *AVAILABLE_VIEWS, "latest_state"))
 def q25(spark, sf_dir):
     best = fleet.best_simple(_scored(Tables(spark, sf_dir)))
-    return best.select("machine_id", F.round("score", 6).alias("score"))
+    return best.select("machine_id", rounded("score", 6).alias("score"))
 
 
 @query("q26_best_machine_detailed", with_views(f"""
@@ -448,12 +449,12 @@ s AS (
       + CASE action WHEN 'CONTINUER' THEN -15e0 WHEN 'PAUSE' THEN 25e0 ELSE 0e0 END
       + coalesce(probabilite_panne, 0e0) * 10 AS score
   FROM assessed WHERE reason = 'Disponible')
-SELECT machine_id, round(score, 6) AS score,
+SELECT machine_id, {half_up('score', 6)} AS score,
        'Sélectionnée (score: ' || printf('%.1f', score) || ')' AS reason
 FROM s ORDER BY s.score, pos LIMIT 1""", *ASSESS_VIEWS))
 def q26(spark, sf_dir):
     best = fleet.best_detailed(_assessed(Tables(spark, sf_dir)))
-    return best.withColumn("score", F.round("score", 6))
+    return best.withColumn("score", rounded("score", 6))
 
 
 # The queue at the end of the month: new orders, and interrupted tasks back at the head.
@@ -490,13 +491,13 @@ machines AS (
   SELECT *, row_number() OVER (ORDER BY stateless, score, pos) AS "rank" FROM scored)
 SELECT "rank", task_id, product_name, quantity,
        greatest(1, CAST(trunc(quantity / 1e3) AS INTEGER)) AS duration_minutes, priority,
-       machine_id, round(score, 6) AS score, wake
+       machine_id, {half_up('score', 6)} AS score, wake
 FROM ranked JOIN machines USING ("rank")""", *AVAILABLE_VIEWS, "latest_state", "assignments"))
 def q28(spark, sf_dir):
     t = Tables(spark, sf_dir)
     pairs = work.assign(_queue(t), _scored(t), SCENARIO)
     return pairs.withColumns({"duration_minutes": rules.task_minutes("quantity", SCENARIO),
-                              "score": F.round("score", 6)})
+                              "score": rounded("score", 6)})
 
 
 IDLE_SQL = f"""activity AS (
@@ -542,18 +543,19 @@ def q39(spark, sf_dir):
     return done.unionByName(work.reconciled(work.still_held(t.held(), AS_OF), alerts))
 
 
+AGE = f"date_diff('microsecond', event_time, {MONTH_END})"
+
+
 @query("q39b_task_records", with_views(f"""
 SELECT machine_id, task_id, duration_minutes,
-       round(least(1e0, date_diff('microsecond', event_time, {MONTH_END}) / 1e6
-                        / (duration_minutes * 6e1)), 6) AS progress,
-       round(greatest(0e0, duration_minutes
-             - date_diff('microsecond', event_time, {MONTH_END}) / 6e7), 6) AS time_remaining
+       {half_up(f"least(1e0, {AGE} / 1e6 / (duration_minutes * 6e1))", 6)} AS progress,
+       {half_up(f"greatest(0e0, duration_minutes - {AGE} / 6e7)", 6)} AS time_remaining
 FROM held""", "held"))
 def q39b(spark, sf_dir):
     record = work.task_record(Tables(spark, sf_dir).held(), AS_OF)
     return record.select("machine_id", "task_id", "duration_minutes",
-                         F.round("progress", 6).alias("progress"),
-                         F.round("time_remaining", 6).alias("time_remaining"))
+                         rounded("progress", 6).alias("progress"),
+                         rounded("time_remaining", 6).alias("time_remaining"))
 
 
 # ---- views -------------------------------------------------------------------------
@@ -577,12 +579,12 @@ v AS (
          date_diff('microsecond', started, {MONTH_END}) / 1e6 AS elapsed
   FROM roster r LEFT JOIN latest_status USING (machine_id) LEFT JOIN latest_state
     USING (machine_id) LEFT JOIN pauses USING (machine_id) LEFT JOIN task USING (machine_id))
-SELECT machine_id, pos, statut AS status, label AS status_label, round(temperature, 1)
+SELECT machine_id, pos, statut AS status, label AS status_label, {half_up('temperature', 1)}
          AS temperature,
-       round(charge, 1) AS charge, CASE WHEN statut = 'ASSIGNEE' THEN task_id END AS task,
+       {half_up('charge', 1)} AS charge, CASE WHEN statut = 'ASSIGNEE' THEN task_id END AS task,
        CASE WHEN statut = 'ASSIGNEE' THEN product_name END AS product,
        CASE WHEN statut = 'ASSIGNEE' THEN
-         round(greatest(0e0, least(1e0, elapsed / (duration_minutes * 6e1))), 3) END AS progress,
+         {half_up('greatest(0e0, least(1e0, elapsed / (duration_minutes * 6e1)))', 3)} END AS progress,
        CASE WHEN statut = 'ASSIGNEE' THEN epoch_us(started) / 1e6 END AS task_started,
        CASE WHEN statut = 'ASSIGNEE' THEN CAST(duration_minutes AS BIGINT) * 60 END
          AS task_duration,

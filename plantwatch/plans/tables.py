@@ -215,6 +215,11 @@ NEEDS = {"assignments": ["order_fields"], "held": ["assignments"],
          "latest_status": ["status_events"], "latest_state": ["readings"], "marks": ["flow"]}
 
 
+def half_up(expr: str, places: int) -> str:
+    """SQL that rounds half up on the decimal digits of a number, free of binary noise."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(28, 10)), {places}) AS DOUBLE)"
+
+
 def with_views(sql: str, *names: str) -> str:
     """`sql` with the named views, and those they build on, as common table expressions."""
     wanted: list[str] = []

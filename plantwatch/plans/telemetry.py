@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from plantwatch import schemas
 from plantwatch.functions import decode, rules
+from plantwatch.functions.values import rounded
 from plantwatch.operators import features, latest, rollups
 from plantwatch.plans.registry import query
-from plantwatch.plans.tables import AS_OF, SCENARIO, Tables, with_views
+from plantwatch.plans.tables import AS_OF, SCENARIO, Tables, half_up, with_views
 
 
 def _six(*names):
-    return {n: F.round(n, 6) for n in names}
+    return {n: rounded(n, 6) for n in names}
 
 
 @query("q01_decode_sensor_json", with_views("""
@@ -63,7 +64,7 @@ ENERGY_CLASS = """CASE WHEN consommation_electrique > 135 THEN 'surconsommation'
             WHEN consommation_electrique > 120 AND charge_travail < 30 THEN 'fuite' END"""
 ENERGY_SQL = with_views(f"""
 SELECT machine_id, {ENERGY_CLASS} AS type_alerte,
-       round(consommation_electrique, 2) AS valeur_actuelle, 11e1 AS valeur_normale, event_time
+       {half_up('consommation_electrique', 2)} AS valeur_actuelle, 11e1 AS valeur_normale, event_time
 FROM readings WHERE {ENERGY_CLASS} IS NOT NULL""", "readings")
 
 
@@ -129,7 +130,7 @@ def _hourly(measure, name="mean_value", fn="avg", view="readings", extra=""):
     return f"""
 SELECT time_bucket(INTERVAL 1 HOUR, event_time) AS window_start,
        time_bucket(INTERVAL 1 HOUR, event_time) + INTERVAL 1 HOUR AS window_end,
-       machine_id{extra}, round({fn}({measure}), 6) AS {name}
+       machine_id{extra}, {half_up(f"{fn}({measure})", 6)} AS {name}
 FROM {view} GROUP BY ALL"""
 
 
@@ -158,17 +159,17 @@ def q10(spark, sf_dir):
 @query("q11_anomaly_hourly_mean", with_views(
     _hourly("valeur_actuelle", view=f"""(
   SELECT machine_id, event_time, {ENERGY_CLASS} AS type_alerte,
-         round(consommation_electrique, 2) AS valeur_actuelle FROM readings
+         {half_up('consommation_electrique', 2)} AS valeur_actuelle FROM readings
   WHERE {ENERGY_CLASS} IS NOT NULL)""", extra=", type_alerte"), "readings"))
 def q11(spark, sf_dir):
     anomalies = rollups.energy_anomalies(Tables(spark, sf_dir).readings())
     return rollups.anomaly_mean(anomalies, "1 hour").withColumns(_six("mean_value"))
 
 
-@query("q11b_dashboard_range", with_views("""
+@query("q11b_dashboard_range", with_views(f"""
 SELECT time_bucket(INTERVAL 10 MINUTE, event_time) AS window_start,
        time_bucket(INTERVAL 10 MINUTE, event_time) + INTERVAL 10 MINUTE AS window_end,
-       machine_id, round(avg(temperature), 6) AS mean_value
+       machine_id, {half_up("avg(temperature)", 6)} AS mean_value
 FROM readings WHERE event_time >= TIMESTAMP '2024-01-10' AND event_time < TIMESTAMP '2024-01-17'
 GROUP BY ALL""", "readings"))
 def q11b(spark, sf_dir):
@@ -178,15 +179,15 @@ def q11b(spark, sf_dir):
     return rollups.temperature_mean(week, "10 minutes").withColumns(_six("mean_value"))
 
 
-FEATURE_SQL = """
+FEATURE_SQL = f"""
 SELECT machine_id, event_time, seq, vibration, temperature, pression, consommation_electrique,
        charge_travail,
-       round(avg(vibration) OVER w, 6) AS vib_mean, round(avg(temperature) OVER w, 6) AS temp_mean,
-       round(stddev_pop(vibration) OVER w, 6) AS vib_std,
-       round(stddev_pop(pression) OVER w, 6) AS pres_std,
-       CASE WHEN count(*) OVER w > 1 THEN round(regr_slope(temperature, i) OVER w, 6)
+       {half_up('avg(vibration) OVER w', 6)} AS vib_mean, {half_up('avg(temperature) OVER w', 6)} AS temp_mean,
+       {half_up('stddev_pop(vibration) OVER w', 6)} AS vib_std,
+       {half_up('stddev_pop(pression) OVER w', 6)} AS pres_std,
+       CASE WHEN count(*) OVER w > 1 THEN {half_up('regr_slope(temperature, i) OVER w', 6)}
             ELSE 0e0 END AS temp_slope,
-       CASE WHEN count(*) OVER w > 1 THEN round(regr_slope(vibration, i) OVER w, 6)
+       CASE WHEN count(*) OVER w > 1 THEN {half_up('regr_slope(vibration, i) OVER w', 6)}
             ELSE 0e0 END AS vib_slope,
        max(temperature) OVER w AS temp_max
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY machine_id ORDER BY event_time, seq)
@@ -197,7 +198,7 @@ ROLLED = ["vib_mean", "temp_mean", "vib_std", "pres_std", "temp_slope", "vib_slo
 
 
 def feature_rows(df):
-    return df.withColumns({n: F.round(n, 6) for n in ROLLED}).select(
+    return df.withColumns({n: rounded(n, 6) for n in ROLLED}).select(
         "machine_id", "event_time", "seq", *schemas.FEATURES)
 
 
@@ -214,7 +215,8 @@ CHANGES = f"""
 
 @query("q18_change_alerts", with_views(f"""
 SELECT machine_id, CASE c WHEN 1 THEN 'PAUSE' ELSE 'ARRETER' END AS action,
-       round(temperature, 2) AS temperature, round(charge_travail, 2) AS charge_travail,
+       {half_up('temperature', 2)} AS temperature,
+       {half_up('charge_travail', 2)} AS charge_travail,
        CASE c WHEN 2 THEN 'HAUTE' ELSE 'MOYENNE' END AS severity, event_time, seq
 FROM ({CHANGES}) WHERE is_alert""", "readings"))
 def q18(spark, sf_dir):
@@ -224,7 +226,8 @@ def q18(spark, sf_dir):
 
 @query("q18b_alert_rate", with_views(f"""
 SELECT count(*) AS messages, count(CASE WHEN is_alert THEN 1 END) AS alerts,
-       round(count(CASE WHEN is_alert THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS alert_rate
+       {half_up('count(CASE WHEN is_alert THEN 1 END) / CAST(count(*) AS DOUBLE)', 6)}
+         AS alert_rate
 FROM ({CHANGES})""", "readings"))
 def q18b(spark, sf_dir):
     scored = features.rule_scored(Tables(spark, sf_dir).readings())
@@ -269,9 +272,8 @@ def q20b(spark, sf_dir):
 
 @query("q21_class_balance_weights", with_views(f"""{LABELLED}
 SELECT CAST(label AS INTEGER) AS label, count(*) AS n,
-       round((SELECT count(*) FROM labelled)
-             / (CAST((SELECT count(DISTINCT label) FROM labelled) AS DOUBLE) * count(*)), 6)
-         AS weight
+       {half_up('(SELECT count(*) FROM labelled) / (CAST((SELECT count(DISTINCT label) '
+                'FROM labelled) AS DOUBLE) * count(*))', 6)} AS weight
 FROM labelled GROUP BY label""", "readings"))
 def q21(spark, sf_dir):
     return features.class_balance(Tables(spark, sf_dir).labels()).withColumns(_six("weight"))

@@ -64,6 +64,7 @@ def main():
     prefixes = tuple(sys.argv[2:])
     spark = build(master="local[8]", **{"spark.sql.shuffle.partitions": "8",
                                         "spark.ui.enabled": "false",
+                                        "spark.ui.showConsoleProgress": "false",
                                         "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf), 0
