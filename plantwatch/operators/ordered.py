@@ -138,7 +138,8 @@ def _payload(df: DataFrame, order) -> list:
 
 def _with_rows(o: Ordered, halo: DataFrame) -> Ordered:
     df = o.df if HALO in o.df.columns else o.df.withColumn(HALO, F.lit(False))
-    halo = halo.select("_row.*", SLICE).withColumn(HALO, F.lit(True)).select(*df.columns)
+    halo = (halo.select(SLICE, F.explode("_kept").alias("_row")).select("_row.*", SLICE)
+            .withColumn(HALO, F.lit(True)).select(*df.columns))
     return Ordered(df.unionByName(halo), o.keys, o.order, True)
 
 
@@ -156,7 +157,7 @@ def with_previous(o: Ordered, n: int) -> Ordered:
     earlier = Window.partitionBy(*o.keys).orderBy(SLICE).rowsBetween(-n, -1)
     rows = F.flatten(F.collect_list("_tail").over(earlier))
     kept = F.slice(rows, F.greatest(F.size(rows) - n, F.lit(0)) + 1, F.lit(n))
-    return _with_rows(o, tails.select(SLICE, F.explode(kept).alias("_row")))
+    return _with_rows(o, tails.withColumn("_kept", kept))
 
 
 def with_latest(o: Ordered, conditions: list) -> Ordered:
@@ -171,7 +172,7 @@ def with_latest(o: Ordered, conditions: list) -> Ordered:
     earlier = Window.partitionBy(*o.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = F.array_compact(F.array_distinct(F.array(*[
         F.last(F.col(f"_c{i}"), ignorenulls=True).over(earlier) for i in range(len(conditions))])))
-    return _with_rows(o, latest.select(SLICE, F.explode(carried).alias("_row")))
+    return _with_rows(o, latest.withColumn("_kept", carried))
 
 
 def running_sum(o: Ordered, value: Column, out: str) -> DataFrame:
