@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
@@ -32,6 +34,7 @@ class Learning:
     boosting_depth: int = 8
     boosting_rate: float = 0.08
     boosting_rounds: int = 20
+    parallel_fits: int = 8
 
 
 DEFAULT_LEARNING = Learning()
@@ -77,6 +80,12 @@ def complete(df: DataFrame) -> DataFrame:
     return df.withColumns({f: F.coalesce(f, F.lit(0.0)) for f in schemas.FEATURES})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files over all cores; a large one has enough partitions as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fit(train: DataFrame, estimator) -> PipelineModel:
     return Pipeline(stages=[*preparation(), estimator]).fit(complete(with_weights(train)))
 
@@ -84,19 +93,22 @@ def fit(train: DataFrame, estimator) -> PipelineModel:
 def cross_validate(train: DataFrame, cfg: Learning = DEFAULT_LEARNING, names=None) -> DataFrame:
     """Macro-F1 per candidate and fold, with whole episodes per fold.
 
-    The loop is over models; each fit and each score is a distributed job. Only
-    one number per fit comes back.
+    Each fit and each score is a distributed job; only one number per fit comes
+    back. Several fits run side by side, as their many short jobs leave cores idle.
     """
-    df = with_fold(train, cfg).persist()
-    scores = []
+    df = spread(with_fold(train, cfg)).persist()
+    plans = [(position, name, fold) for position, name in enumerate(candidates(cfg))
+             if not names or name in names for fold in range(cfg.folds)]
+
+    def run(plan):
+        position, name, fold = plan
+        model = fit(df.where(F.col("fold") != fold), candidates(cfg)[name])
+        judged = model.transform(complete(df.where(F.col("fold") == fold)))
+        return name, position, fold, metrics.macro_f1(judged).first()[0]
+
     try:
-        for position, (name, estimator) in enumerate(candidates(cfg).items()):
-            if names and name not in names:
-                continue
-            for fold in range(cfg.folds):
-                model = fit(df.where(F.col("fold") != fold), estimator)
-                judged = model.transform(complete(df.where(F.col("fold") == fold)))
-                scores.append((name, position, fold, metrics.macro_f1(judged).first()[0]))
+        with ThreadPoolExecutor(cfg.parallel_fits) as pool:
+            scores = list(pool.map(inheritable_thread_target(train.sparkSession)(run), plans))
     finally:
         df.unpersist()
     return train.sparkSession.createDataFrame(

@@ -103,14 +103,35 @@ def interruptions(stops: DataFrame, assignments: DataFrame, p: Params = DEFAULTS
              .agg(F.min_by(F.struct("event_time", "seq", "task_event_time", "task_product_name",
                                     "task_quantity", "task_duration_minutes", "task_priority"),
                            F.struct("event_time", "seq")).alias("s")))
-    progress = rules.task_progress("s.task_event_time", "s.task_duration_minutes",
-                                   F.col("s.event_time"))
-    return first.select(
-        F.col("task_task_id").alias("task_id"), "machine_id", progress.alias("progress"),
-        F.col("s.event_time").alias("event_time"), F.col("s.seq").alias("seq"),
-        F.col("s.task_product_name").alias("product_name"),
+    return _outcome(first.select(
+        F.col("task_task_id").alias("task_id"), "machine_id",
+        F.col("s.task_event_time").alias("started"), F.col("s.event_time").alias("event_time"),
+        F.col("s.seq").alias("seq"), F.col("s.task_product_name").alias("product_name"),
         F.col("s.task_quantity").alias("quantity"),
-        F.col("s.task_duration_minutes").alias("duration_minutes"),
+        F.col("s.task_duration_minutes").alias("duration_minutes")), p)
+
+
+def held_interruptions(stops: DataFrame, held: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """As `interruptions`, for the one task each machine holds at the start of an epoch.
+
+    Stops come after the task began, as an epoch starts with what its predecessor
+    assigned, so the first one counts; a machine with many stops costs one row.
+    """
+    tasks = held.select("machine_id", "task_id", F.col("event_time").alias("started"),
+                        "product_name", "quantity", "duration_minutes")
+    first = stops.groupBy("machine_id").agg(
+        F.min(F.struct("event_time", "seq")).alias("s"))
+    hit = first.join(tasks, "machine_id").select(
+        "*", F.col("s.event_time").alias("event_time"), F.col("s.seq").alias("seq")).drop("s")
+    running = seconds_between("started", "event_time")
+    return _outcome(hit.where((running >= 0) & (running < F.col("duration_minutes") * 60)), p)
+
+
+def _outcome(hits: DataFrame, p: Params) -> DataFrame:
+    progress = rules.task_progress("started", "duration_minutes", F.col("event_time"))
+    return hits.select(
+        "task_id", "machine_id", progress.alias("progress"), "event_time", "seq", "product_name",
+        "quantity", "duration_minutes",
         F.when(progress < p.done_ratio, "REQUEUED").otherwise("COMPLETED").alias("outcome"))
 
 

@@ -24,7 +24,7 @@ def training_table(spark, sf_dir):
     labels = t.labels().select("machine_id", "seq", "label")
     path = workdir(spark, "training")
     rolled.join(labels, ["machine_id", "seq"]).write.parquet(path)
-    return spark.read.parquet(path)
+    return learning.spread(spark.read.parquet(path))
 
 
 @query("q36_grouped_cv")

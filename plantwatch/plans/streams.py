@@ -6,14 +6,21 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions import decode
 from plantwatch.functions.values import rounded
+from plantwatch.operators import latest
 from plantwatch.plans.fleet import LIFECYCLE_VIEWS, STATE_SQL, TRANSITION_SQL
 from plantwatch.plans.registry import query
-from plantwatch.plans.tables import SCENARIO, Tables, with_views
+from plantwatch.plans.tables import RUN_START, SCENARIO, Tables, with_views
 from plantwatch.plans.telemetry import ENERGY_SQL, FEATURE_SQL, feature_rows
 from plantwatch.session import workdir
 from plantwatch.sources import lake
 from plantwatch.sources.bus import Bus
 from plantwatch.streaming import jobs, lifecycle
+from plantwatch.streaming.orchestrate import Orchestrator, inbox
+
+
+EPOCH_END = """(SELECT max(event_time) FROM (
+  SELECT ts AS event_time FROM events WHERE event_type IN ('signup', 'error', 'purchase')
+  UNION ALL SELECT event_time - to_seconds((seq * 37) % 86400) FROM assignments))"""
 
 
 def _finish(stream):
@@ -110,3 +117,41 @@ def q46(spark, sf_dir):
     return spark.read.schema(means.schema).parquet(f"{root}/out").select(
         "machine_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
         rounded("mean_value", 6).alias("mean_value"))
+
+
+@query("q45_orchestration_epoch", with_views(f"""
+WITH {STATE_SQL.replace("TIMESTAMP '2024-01-31'", EPOCH_END)},
+metrics AS (
+  SELECT machine_id, arg_max(temperature, (event_time, seq)) AS temperature,
+         arg_max(charge_travail, (event_time, seq)) AS charge_travail
+  FROM readings WHERE event_time <= {EPOCH_END}
+    AND event_time > {EPOCH_END} - INTERVAL 12 HOUR GROUP BY machine_id),
+machines AS (
+  SELECT machine_id, row_number() OVER (ORDER BY m.machine_id IS NULL,
+    coalesce(temperature, 7e1) / 1e2 * 6e-1 + coalesce(charge_travail, 5e1) / 1e2 * 4e-1, pos)
+    AS k
+  FROM roster LEFT JOIN metrics m USING (machine_id)
+  WHERE machine_id NOT IN (SELECT machine_id FROM active)),
+tasks AS (
+  SELECT *, row_number() OVER (ORDER BY priority <> 'HAUTE',
+    event_time - to_seconds((seq * 37) % 86400), seq) AS k FROM assignments)
+SELECT task_id, m.machine_id, product_name, duration_minutes, {EPOCH_END} AS event_time
+FROM tasks t JOIN machines m USING (k)""", "flow", "assignments", "roster", "readings"))
+def q45(spark, sf_dir):
+    """All orders and events of the tables as one epoch of the orchestrator."""
+    t, root = Tables(spark, sf_dir), workdir(spark, "orchestrate")
+    events = t.stream("events")
+    orders = t.arrivals(t.stream("orders")).withColumn("requeue_seq", F.lit(None).cast("long"))
+    rows = inbox(orders, t.alert_events(events), t.maintenance_events(t.stream("events")))
+
+    def metrics_at(as_of):
+        recent = latest.lookback(t.readings(), "event_time", as_of, SCENARIO.state_lookback)
+        return latest.latest_fields(recent, ["machine_id"], ["temperature", "charge_travail"],
+                                    "event_time")
+
+    plant = Orchestrator(t.roster(), metrics_at, f"{root}/state",
+                         Bus(spark, "parquet", f"{root}/bus"), f"{root}/serving",
+                         orders.schema["event_time"].dataType, RUN_START, SCENARIO)
+    _finish(plant.start(rows, f"{root}/checkpoint", availableNow=True))
+    return lake.read_measurement(spark, f"{root}/serving", "assignations").select(
+        "task_id", "machine_id", "product_name", "duration_minutes", "event_time")

@@ -90,9 +90,9 @@ class Tables:
             .alias("action"))
 
     # -- from orders and suppliers ----------------------------------------------
-    def _order_fields(self) -> DataFrame:
+    def _order_fields(self, orders: DataFrame | None = None) -> DataFrame:
         key = F.col("o_orderkey")
-        return self.raw("orders").select(
+        return (self.raw("orders") if orders is None else orders).select(
             F.concat(F.lit("TASK-"), key).alias("task_id"),
             F.col("o_orderstatus").alias("product_name"),
             F.col("o_totalprice").cast("long").alias("quantity"),
@@ -107,19 +107,19 @@ class Tables:
             F.col("o_orderdate").alias("event_time"), "seq", F.lit(None).cast("long")
             .alias("requeue_seq"))
 
-    def assignments(self) -> DataFrame:
+    def assignments(self, orders: DataFrame | None = None) -> DataFrame:
         """Assignments in the month of the events, each at its own second."""
         start = F.lit(RUN_START).cast("timestamp_ntz")
         offset = F.make_dt_interval(secs=(F.col("o_orderkey") * 173) % 2592000)
-        return self._order_fields().select(
+        return self._order_fields(orders).select(
             F.concat(F.lit("M-"), F.col("o_custkey") % 150).alias("machine_id"),
             (start + offset).alias("event_time"), "seq", "task_id", "product_name", "quantity",
             "duration_minutes", "priority")
 
-    def arrivals(self) -> DataFrame:
+    def arrivals(self, orders: DataFrame | None = None) -> DataFrame:
         """The same orders as they came in: up to a day before they were assigned."""
         wait = F.make_dt_interval(secs=(F.col("seq") * 37) % 86400)
-        return self.assignments().withColumn("event_time", F.col("event_time") - wait)
+        return self.assignments(orders).withColumn("event_time", F.col("event_time") - wait)
 
     def held(self, as_of: str = AS_OF) -> DataFrame:
         """Latest assignment per machine, with the duration that its quantity asks for."""

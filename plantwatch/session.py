@@ -32,4 +32,5 @@ def workdir(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="plantwatch-")
         spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/plantwatch/{purpose}-{uuid.uuid4().hex}"

@@ -109,3 +109,12 @@ class StateTable:
     def save(self, df: DataFrame, epoch_id: int) -> None:
         (df.select(*self.schema.fieldNames()).withColumn("_epoch", F.lit(epoch_id).cast("long"))
          .write.mode("overwrite").parquet(self._slot(epoch_id)))
+
+
+def settler(root: str, epoch_id: int):
+    """Stores a step of an epoch below `root` and hands back the stored rows."""
+    def settle(df: DataFrame, name: str) -> DataFrame:
+        table = StateTable(df.sparkSession, f"{root}/{name}", df.schema)
+        table.save(df, epoch_id)
+        return table.after(epoch_id)
+    return settle
