@@ -214,8 +214,7 @@ def evaluation(judged: DataFrame) -> DataFrame:
     """
     rows = judged.select("label", F.col("class_id").alias("model"),
                          rules.risk_class("temperature", "charge_travail").alias("rule"))
-    common = metrics.majority_class(rows).withColumn("_one", F.lit(1))  # one row
-    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(common), "_one")
+    rows = rows.withColumn("prediction", metrics.majority_class(rows).scalar())
     parts = [metrics.macro_f1(rows, pred=c).withColumn("model", F.lit(n))
              for c, n in (("model", "model"), ("rule", "rule"), ("prediction", "majority"))]
     out = parts[0]

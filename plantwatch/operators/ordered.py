@@ -107,7 +107,11 @@ def heavy_keys(df: DataFrame, keys, p: Params = DEFAULTS) -> list:
 
 
 def sliced(df: DataFrame, keys, order, p: Params = DEFAULTS) -> Ordered:
-    """Cut heavy keys (or, without keys, a long frame) into slices along the order."""
+    """Cut heavy keys (or, without keys, a long frame) into slices along the order.
+
+    Reads the input for its row counts, and again for the result: an input that is
+    expensive to compute should be stored (`checkpoint()` or a table) before.
+    """
     keys, order = tuple(keys), tuple(order)
     if not keys:
         rows = df.count()
@@ -175,24 +179,22 @@ def with_latest(o: Ordered, conditions: list) -> Ordered:
     return _with_rows(o, latest.withColumn("_kept", carried))
 
 
-def running_sum(o: Ordered, value: Column, out: str) -> DataFrame:
-    """Running total of `value` along the order, exact across slices."""
-    df = o.df.withColumn(out, value)
-    local = F.sum(out).over(o.so_far)
+def running_sums(o: Ordered, **values: Column) -> DataFrame:
+    """Running totals of `values` along the order, exact across slices."""
+    df = o.df.withColumns(values)
+    local = {out: F.sum(out).over(o.so_far) for out in values}
     if not o.cut:
-        return df.withColumn(out, local)
-    # One total per (key, slice): small, so its window per key is cheap.
+        return df.withColumns(local)
+    # One row of totals per (key, slice): small, so its window per key is cheap.
     earlier = Window.partitionBy(*o.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (df.groupBy(*o.partition).agg(F.sum(out).alias("_total"))
-               .withColumn("_offset", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
-               .drop("_total"))
-    renamed = [F.col(c).alias(f"_k_{c}") for c in o.partition]
+    offsets = df.groupBy(*o.partition).agg(*[F.sum(out).alias(out) for out in values]).select(
+        *[F.col(c).alias(f"_k_{c}") for c in o.partition],
+        *[F.coalesce(F.sum(out).over(earlier), F.lit(0)).alias(f"_o_{out}") for out in values])
     match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in o.partition]
-    summed = df.withColumn(out, local)
-    return (summed.join(offsets.select(*renamed, "_offset"), match)
-            .withColumn(out, F.col(out) + F.when(F.col(SLICE) == WHOLE, F.lit(0))
-                        .otherwise(F.col("_offset")))
-            .drop("_offset", *[f"_k_{c}" for c in o.partition]))
+    summed = df.withColumns(local).join(offsets, match)
+    return summed.select(*[
+        (F.col(c) + F.when(F.col(SLICE) == WHOLE, F.lit(0)).otherwise(F.col(f"_o_{c}"))).alias(c)
+        if c in values else F.col(c) for c in df.columns])
 
 
 def rank_rows(df: DataFrame, order, out: str = "rank", keys=(), p: Params = DEFAULTS) -> DataFrame:
@@ -200,7 +202,7 @@ def rank_rows(df: DataFrame, order, out: str = "rank", keys=(), p: Params = DEFA
     o = sliced(df, keys, order, p)
     if not o.cut:
         return df.withColumn(out, F.row_number().over(o.window).cast("long"))
-    return running_sum(o, F.lit(1).cast("long"), out).drop(SLICE)
+    return running_sums(o, **{out: F.lit(1).cast("long")}).drop(SLICE)
 
 
 def arrange(df: DataFrame, keys, order, previous: int = 0, latest: list | None = None,

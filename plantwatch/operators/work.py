@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from plantwatch.functions import rules
 from plantwatch.functions.times import instant, micros, plus_seconds, seconds_between
 from plantwatch.operators.latest import asof_join
-from plantwatch.operators.ordered import arrange, rank_rows, running_sum, sliced
+from plantwatch.operators.ordered import arrange, rank_rows, running_sums, sliced
 from plantwatch.params import DEFAULTS, Params
 
 TASK = ["task_id", "product_name", "quantity", "duration_minutes", "priority"]
@@ -143,6 +143,23 @@ def requeued(cut_short: DataFrame) -> DataFrame:
         F.col("seq").alias("requeue_seq"))
 
 
+def queue_with_requeued(orders: DataFrame, cut_short: DataFrame) -> DataFrame:
+    """Orders as a queue in which interrupted tasks stand at the head again.
+
+    One join on the task: those that counted as completed leave the queue.
+    """
+    hit = cut_short.select("task_id", "outcome", F.col("event_time").alias("_at"),
+                           F.col("seq").alias("_seq"), F.col("duration_minutes").alias("_minutes"))
+    back = F.col("outcome") == "REQUEUED"
+    return (orders.join(hit, "task_id", "left")
+            .where(F.col("outcome").isNull() | back)
+            .select("task_id", "product_name", "quantity",
+                    F.coalesce("_minutes", "duration_minutes").alias("duration_minutes"),
+                    F.when(back, "HAUTE").otherwise(F.col("priority")).alias("priority"),
+                    F.coalesce("_at", "event_time").alias("event_time"),
+                    F.coalesce("_seq", "seq").alias("seq"), F.col("_seq").alias("requeue_seq")))
+
+
 def task_log(orders: DataFrame, assignments: DataFrame) -> DataFrame:
     """Enqueue, assign and complete events of every task, with the queue change."""
     def events(df, kind, ts, delta):
@@ -182,7 +199,7 @@ def queue_depth(log: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     moves = (log.where(F.col("delta") != 0)
              .withColumn("_kind", F.when(F.col("kind") == "ENQUEUE", 0).otherwise(1)))
     o = sliced(moves, [], ["event_time", "seq", "_kind"], p)
-    return running_sum(o, F.col("delta").cast("long"), "size").select(
+    return running_sums(o, size=F.col("delta").cast("long")).select(
         "event_time", "seq", "kind", "task_id", "delta", "size")
 
 

@@ -263,7 +263,7 @@ FROM t, i, a""", "flow", "marks", "assignments"))
 def q14(spark, sf_dir):
     t = Tables(spark, sf_dir)
     log = work.task_log(t.arrivals(), _long_tasks(t))
-    tasks = work.task_counters(log, _cut_short(t), AS_OF)
+    tasks = work.task_counters(log, _cut_short(t).checkpoint(), AS_OF)
     alerts = lifecycle.alert_counters(lifecycle.transitions(_flow(t), AS_OF, SCENARIO))
     return work.merge_counters(tasks, alerts)
 
@@ -471,9 +471,8 @@ ranked AS (
 
 
 def _queue(t: Tables):
-    cut_short = _cut_short(t)
-    fresh = work.remaining_queue(t.orders_in(), cut_short)
-    return fresh.unionByName(work.requeued(cut_short))
+    """Stored, as ranking reads it for its size and again for the ranks."""
+    return work.queue_with_requeued(t.orders_in(), _cut_short(t)).checkpoint()
 
 
 @query("q27_task_queue_order", with_views(f"""
@@ -495,7 +494,7 @@ SELECT "rank", task_id, product_name, quantity,
 FROM ranked JOIN machines USING ("rank")""", *AVAILABLE_VIEWS, "latest_state", "assignments"))
 def q28(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    pairs = work.assign(_queue(t), _scored(t), SCENARIO)
+    pairs = work.assign(_queue(t), _scored(t).checkpoint(), SCENARIO)
     return pairs.withColumns({"duration_minutes": rules.task_minutes("quantity", SCENARIO),
                               "score": rounded("score", 6)})
 

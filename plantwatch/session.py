@@ -23,14 +23,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin what results depend on: UTC, and a state store that timers need."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    checkpoint_dir(spark)
     return spark
 
 
-def workdir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the checkpoint folder the cluster names."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="plantwatch-")
         spark.conf.set("spark.checkpoint.dir", base)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/plantwatch/{purpose}-{uuid.uuid4().hex}"
+    return base
+
+
+def workdir(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/plantwatch/{purpose}-{uuid.uuid4().hex}"
