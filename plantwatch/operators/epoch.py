@@ -15,6 +15,7 @@ from plantwatch.operators import fleet, lifecycle, work
 from plantwatch.operators.floor import KPI
 from plantwatch.operators.ordered import HALO
 from plantwatch.params import DEFAULTS, Params
+from plantwatch.session import stored
 
 LAST = 2 ** 62  # sequence number after all others of the same time
 
@@ -66,9 +67,9 @@ def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics
     `orders` are new queue rows, `flow` new alert and maintenance events, `metrics`
     the latest temperature and workload per machine. `settle(df, name)` stores a
     step's result and returns the stored rows: later steps read each several times,
-    and their plans stay short. By default it is a reliable checkpoint.
+    and their plans stay short. By default it is a new table below the checkpoint folder.
     """
-    settle = settle or (lambda df, name: df.checkpoint())
+    settle = settle or stored
     time = flow.schema["event_time"].dataType
     now = F.lit(str(as_of)).cast(time)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plantwatch.operators.ordered import running_sums, sliced
 from plantwatch.params import DEFAULTS, Params
+from plantwatch.session import stored
 
 CLASSES = (0, 1, 2)
 
@@ -57,9 +58,9 @@ def average_precision(df: DataFrame, positive: Column, score: str,
                       p: Params = DEFAULTS) -> DataFrame:
     """Sum of precision times recall step over descending score; equal scores form one step."""
     # One row per distinct score, read for its size and again for the totals: stored.
-    steps = (df.groupBy(score).agg(F.count(F.lit(1)).alias("n"),
-                                   F.count(F.when(positive, 1)).alias("hits"))
-             .withColumn("_down", -F.col(score))).checkpoint()
+    steps = stored(df.groupBy(score).agg(F.count(F.lit(1)).alias("n"),
+                                         F.count(F.when(positive, 1)).alias("hits"))
+                   .withColumn("_down", -F.col(score)), "score-steps")
     found = running_sums(sliced(steps, [], ["_down"], p), seen=F.col("n"), found=F.col("hits"))
     # Recall rises by hits / all positives at each step.
     return found.agg(_ratio(F.sum(F.col("hits") * F.col("found") / F.col("seen")),

@@ -110,7 +110,7 @@ def sliced(df: DataFrame, keys, order, p: Params = DEFAULTS) -> Ordered:
     """Cut heavy keys (or, without keys, a long frame) into slices along the order.
 
     Reads the input for its row counts, and again for the result: an input that is
-    expensive to compute should be stored (`checkpoint()` or a table) before.
+    expensive to compute should be stored as a table before.
     """
     keys, order = tuple(keys), tuple(order)
     if not keys:

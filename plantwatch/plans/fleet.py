@@ -9,6 +9,7 @@ from plantwatch.functions.values import rounded
 from plantwatch.operators import features, fleet, floor, latest, lifecycle, work
 from plantwatch.plans.registry import query
 from plantwatch.plans.tables import AS_OF, RUN_START, SCENARIO, Tables, half_up, with_views
+from plantwatch.session import stored
 
 MONTH_END = "TIMESTAMP '2024-01-31'"
 
@@ -263,7 +264,7 @@ FROM t, i, a""", "flow", "marks", "assignments"))
 def q14(spark, sf_dir):
     t = Tables(spark, sf_dir)
     log = work.task_log(t.arrivals(), _long_tasks(t))
-    tasks = work.task_counters(log, _cut_short(t).checkpoint(), AS_OF)
+    tasks = work.task_counters(log, stored(_cut_short(t), "cut-short"), AS_OF)
     alerts = lifecycle.alert_counters(lifecycle.transitions(_flow(t), AS_OF, SCENARIO))
     return work.merge_counters(tasks, alerts)
 
@@ -472,7 +473,7 @@ ranked AS (
 
 def _queue(t: Tables):
     """Stored, as ranking reads it for its size and again for the ranks."""
-    return work.queue_with_requeued(t.orders_in(), _cut_short(t)).checkpoint()
+    return stored(work.queue_with_requeued(t.orders_in(), _cut_short(t)), "queue")
 
 
 @query("q27_task_queue_order", with_views(f"""
@@ -494,7 +495,7 @@ SELECT "rank", task_id, product_name, quantity,
 FROM ranked JOIN machines USING ("rank")""", *AVAILABLE_VIEWS, "latest_state", "assignments"))
 def q28(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    pairs = work.assign(_queue(t), _scored(t).checkpoint(), SCENARIO)
+    pairs = work.assign(_queue(t), stored(_scored(t), "scored"), SCENARIO)
     return pairs.withColumns({"duration_minutes": rules.task_minutes("quantity", SCENARIO),
                               "score": rounded("score", 6)})
 

@@ -9,7 +9,7 @@ from plantwatch.functions.values import rounded
 from plantwatch.operators import features, learning, metrics
 from plantwatch.plans.registry import query
 from plantwatch.plans.tables import Tables
-from plantwatch.session import workdir
+from plantwatch.session import stored
 
 QUICK = learning.Learning(boosting_rounds=3, boosting_depth=4)
 
@@ -22,9 +22,7 @@ def training_table(spark, sf_dir):
     rolled = features.rolling_features(t.episode_readings()).select(
         *keys, "episode_id", *schemas.FEATURES)
     labels = t.labels().select("machine_id", "seq", "label")
-    path = workdir(spark, "training")
-    rolled.join(labels, ["machine_id", "seq"]).write.parquet(path)
-    return learning.spread(spark.read.parquet(path))
+    return learning.spread(stored(rolled.join(labels, ["machine_id", "seq"]), "training"))
 
 
 @query("q36_grouped_cv")
@@ -57,11 +55,8 @@ def q37b(spark, sf_dir):
     """Macro-F1 of forest, rule and majority class on episodes not trained on."""
     train, test = learning.split(training_table(spark, sf_dir), QUICK)
     model = learning.fit(train, learning.candidates(QUICK)["random_forest"])
-    path = workdir(spark, "judged")
-    learning.predict(model, test).select(
-        "label", "class_id", "temperature", "charge_travail", "critical_probability"
-    ).write.parquet(path)
-    judged = spark.read.parquet(path)
+    judged = stored(learning.predict(model, test).select(
+        "label", "class_id", "temperature", "charge_travail", "critical_probability"), "judged")
     average = metrics.average_precision(judged, F.col("label") == 2, "critical_probability")
     return learning.evaluation(judged).unionByName(
         average.select(F.lit("average_precision").alias("model"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,3 +41,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def workdir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/plantwatch/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """`df` written once below the checkpoint folder and read back.
+
+    For results that later steps read several times: computed once, safe from lost
+    executors, and with a short plan. A checkpoint would do the same, but computes
+    its input twice.
+    """
+    path = workdir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
