@@ -69,7 +69,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts
     Both sides go through one shuffle by key as a single ordered frame; the
     newest right row so far is a running value, so no pairs are formed.
     """
-    left_type = F.struct(*left.columns)
+    # The key stays a column of its own, so that later work per key needs no new shuffle.
+    left_row = F.struct(*[c for c in left.columns if c not in (on, left_ts)])
     right_row = F.struct(F.col(right_ts).alias("_at"), *values)
     rows = (
         right.select(F.col(on).alias("_on"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"),
@@ -77,14 +78,15 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts
         .unionByName(
             left.select(F.col(on).alias("_on"), F.col(left_ts).alias("_ts"),
                         F.lit(1).alias("_side"), F.col(left_seq).cast("long").alias("_seq"),
-                        left_type.alias("_left")), allowMissingColumns=True))
+                        left_row.alias("_left")), allowMissingColumns=True))
     o = arrange(rows, ["_on"], ["_ts", "_side", "_seq"], latest=[F.col("_side") == 0], p=p)
     found = o.df.withColumn("_found", F.last("_right", ignorenulls=True).over(o.so_far))
     match: Column = F.col("_found")
     if tolerance:
         match = F.when(F.col("_found._at") > F.col("_ts") - span(tolerance), F.col("_found"))
     return (o.finish(found).where(F.col("_side") == 1)
-            .select("_left.*", match.alias("_match"))
+            .select(F.col("_on").alias(on), F.col("_ts").alias(left_ts), "_left.*",
+                    match.alias("_match"))
             .select(*left.columns, F.col("_match._at").alias(f"{prefix}{right_ts}"),
                     *[F.col(f"_match.{v}").alias(f"{prefix}{v}") for v in values]))
 

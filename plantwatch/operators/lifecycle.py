@@ -153,9 +153,9 @@ def early_return(alerts: DataFrame, starts: DataFrame, load: DataFrame,
     """
     first = (alerts.where(F.col("action") == "PAUSE").join(starts, "machine_id")
              .orderBy("paused_since", "paused_seq").limit(1))
-    urgent = load.where((F.col("queue_size") > 0) & (F.col("available") < p.min_available))
-    # Two single rows meet on a constant.
-    return (first.withColumn("_one", F.lit(1)).join(urgent.withColumn("_one", F.lit(1)), "_one")
+    urgent = (F.col("queue_size") > 0) & (F.col("available") < p.min_available)
+    return (first.where(load.select(urgent).scalar())
+            .withColumn("queue_size", load.select("queue_size").scalar())
             .select("machine_id", "paused_since", "time_remaining", "queue_size"))
 
 
