@@ -10,19 +10,30 @@ from plantwatch.params import DEFAULTS, Params
 
 
 def parse(df: DataFrame, schema) -> DataFrame:
-    """Bus records to contract columns. A broken record yields only NULLs."""
-    return df.select(F.from_json(F.col("value").cast("string"), schema).alias("d")).select("d.*")
+    """Bus records to contract columns. A broken record yields only NULLs.
+
+    `seq` orders records of equal time: the source's own position where it has
+    one, else a hash of the record, which a replay gives again.
+    """
+    seq = F.col("seq") if "seq" in df.columns else F.xxhash64("value")
+    arrived = F.col("arrived_at") if "arrived_at" in df.columns else F.lit(None).cast("timestamp")
+    return df.select(F.from_json(F.col("value").cast("string"), schema).alias("d"),
+                     seq.alias("seq"), arrived.alias("arrived_at")).select(
+        "d.*", "seq", "arrived_at")
 
 
 def event_time(ts="timestamp") -> Column:
     return F.try_to_timestamp(F.col(ts))
 
 
+def _timed(df: DataFrame) -> DataFrame:
+    """Event time, or else the time of arrival where the source tells it."""
+    return df.withColumn("event_time", F.coalesce(event_time(), "arrived_at")).drop("arrived_at")
+
+
 def sensors(df: DataFrame) -> DataFrame:
     """Typed readings with event time and partition keys; no machine, no row."""
-    return (parse(df, schemas.SENSOR)
-            .where(F.col("machine_id").isNotNull())
-            .withColumn("event_time", event_time())
+    return (_timed(parse(df, schemas.SENSOR)).where(F.col("machine_id").isNotNull())
             .withColumns({"year": F.year("event_time"), "month": F.month("event_time"),
                           "day": F.dayofmonth("event_time")}))
 
@@ -32,26 +43,30 @@ def orders(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     priority = F.coalesce(first_text("priority"), F.lit("NORMALE")) if p.honour_priority \
         else F.lit("NORMALE")
     task_id = first_text("task_id", "id", "tache_id")
-    return parse(df, schemas.ORDER).select(
+    return _timed(parse(df, schemas.ORDER)).select(
         task_id.alias("task_id"),
         first_text("product_name", "produit", "product").alias("product_name"),
         first_number("quantity", "quantite", "qty", default=0).alias("quantity"),
         first_number("duration_minutes", "duree_minutes", "duration",
                      default=p.default_duration).cast("int").alias("duration_minutes"),
-        priority.alias("priority"),
-        event_time().alias("event_time"),
-        task_id.isNull().alias("rejected"),
+        priority.alias("priority"), "event_time", "seq", task_id.isNull().alias("rejected"),
     )
 
 
+def queue_rows(orders_df: DataFrame) -> DataFrame:
+    """Accepted orders as new queue rows."""
+    return orders_df.where(~F.col("rejected")).drop("rejected").withColumn(
+        "requeue_seq", F.lit(None).cast("long"))
+
+
 def alerts(df: DataFrame) -> DataFrame:
-    return parse(df, schemas.ML_ALERT).where(F.col("machine_id").isNotNull()).withColumn(
-        "event_time", event_time())
+    return (_timed(parse(df, schemas.ML_ALERT)).where(F.col("machine_id").isNotNull())
+            .withColumn("source", F.lit("ml")))
 
 
 def maintenance(df: DataFrame) -> DataFrame:
-    return parse(df, schemas.MAINTENANCE_ACTION).where(F.col("machine_id").isNotNull()).withColumn(
-        "event_time", event_time())
+    return (_timed(parse(df, schemas.MAINTENANCE_ACTION)).where(F.col("machine_id").isNotNull())
+            .withColumn("source", F.lit("maintenance")))
 
 
 def encode(df: DataFrame, *columns: str, key: str | None = "machine_id") -> DataFrame:

@@ -23,7 +23,7 @@ SELECT machine_id, strftime(event_time, '%Y-%m-%dT%H:%M:%S.%fZ') AS "timestamp",
        CAST(day(event_time) AS INTEGER) AS "day"
 FROM readings""", "readings"))
 def q01(spark, sf_dir):
-    df = decode.sensors(Tables(spark, sf_dir).sensor_json())
+    df = decode.sensors(Tables(spark, sf_dir).sensor_json()).drop("seq")
     return df.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
 
 
@@ -56,7 +56,7 @@ def q02(spark, sf_dir):
     nameless = F.to_json(F.struct("product_name", "quantity"))
     value = F.when(form == 0, contract).when(form == 1, emitted).when(form == 2, alias) \
         .otherwise(nameless)
-    return decode.orders(o.select(value.cast("binary").alias("value"))).withColumn(
+    return decode.orders(o.select(value.cast("binary").alias("value"))).drop("seq").withColumn(
         "event_time", F.col("event_time").cast("timestamp_ntz"))
 
 

@@ -15,6 +15,9 @@ from plantwatch.functions import decode
 from plantwatch.params import DEFAULTS, Params
 from plantwatch.schemas import TOPICS
 
+# Records are keyed by machine, so a machine's offsets are its order of arrival.
+KAFKA = ["value", "offset AS seq", "timestamp AS arrived_at"]
+
 
 @dataclass(frozen=True)
 class Bus:
@@ -33,24 +36,27 @@ class Bus:
         return (reader.format("kafka").option("kafka.bootstrap.servers", self.location)
                 .option("subscribe", self._topic(name)))
 
+    def _files(self, reader, name):
+        """A file topic has one folder per epoch of its writer."""
+        return (reader.format(self.format).schema("value BINARY")
+                .option("recursiveFileLookup", True).options(**self.options)
+                .load(f"{self.location}/{self._topic(name)}"))
+
     def stream(self, name: str) -> DataFrame:
         """New records only; an ongoing query resumes from its checkpoint."""
         reader = self.spark.readStream
         if self.format == "kafka":
             return (self._kafka(reader, name).option("startingOffsets", "latest")
                     .option("maxOffsetsPerTrigger", self.records_per_epoch)
-                    .options(**self.options).load().select("value"))
-        return (reader.format(self.format).schema("value BINARY")
-                .option("maxFilesPerTrigger", self.files_per_epoch).options(**self.options)
-                .load(f"{self.location}/{self._topic(name)}"))
+                    .options(**self.options).load().selectExpr(*KAFKA))
+        return self._files(reader.option("maxFilesPerTrigger", self.files_per_epoch), name)
 
     def table(self, name: str) -> DataFrame:
         """What the topic holds now, as a bounded table."""
         reader = self.spark.read
         if self.format == "kafka":
-            return self._kafka(reader, name).options(**self.options).load().select("value")
-        return (reader.format(self.format).schema("value BINARY").options(**self.options)
-                .load(f"{self.location}/{self._topic(name)}"))
+            return self._kafka(reader, name).options(**self.options).load().selectExpr(*KAFKA)
+        return self._files(reader, name)
 
     def publish(self, df: DataFrame, name: str, epoch_id: int | None = None) -> None:
         """Append records (columns `value` and, optionally, `key`) to a topic.
@@ -80,6 +86,10 @@ class Bus:
         return writer.foreachBatch(lambda batch, epoch: self.publish(batch, name, epoch)).start()
 
     # ---- decoded topics ------------------------------------------------------
+    def flow(self) -> tuple[DataFrame, DataFrame]:
+        """Sensor alerts and maintenance actions, as the event flow takes them."""
+        return self.ml_alerts(), self.maintenance()
+
     def sensors(self) -> DataFrame:
         return decode.sensors(self.stream("sensors"))
 

@@ -23,13 +23,15 @@ def archive_schema() -> T.StructType:
 def archive(readings: DataFrame, path: str) -> None:
     """Append a bounded table. One shuffle by day keeps the file count down; its
     partitions are balanced by size, so a heavy day is split over several files."""
-    (readings.hint("rebalance", *PARTS).write.mode("append").partitionBy(*PARTS).parquet(path))
+    rows = readings.select(*archive_schema().fieldNames())
+    (rows.hint("rebalance", *PARTS).write.mode("append").partitionBy(*PARTS).parquet(path))
 
 
 def archive_stream(readings: DataFrame, path: str, checkpoint: str, p: Params = DEFAULTS,
                    **trigger) -> StreamingQuery:
     """The file sink commits each batch once, also when it is replayed."""
-    return (readings.writeStream.format("parquet").partitionBy(*PARTS)
+    rows = readings.select(*archive_schema().fieldNames())
+    return (rows.writeStream.format("parquet").partitionBy(*PARTS)
             .option("path", path).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": p.trigger})).start())
 

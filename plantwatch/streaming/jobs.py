@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plantwatch import schemas
+from plantwatch.functions.values import rounded
 from plantwatch.operators import features, latest, ordered, rollups
 from plantwatch.params import DEFAULTS, Params
 from plantwatch.sources import lake, records
@@ -34,44 +35,66 @@ def shared(df: DataFrame):
         df.unpersist()
 
 
+def counted(df: DataFrame, **counts):
+    """`df` with counts that are taken while it is written, without a job of their own."""
+    seen = Observation()
+    return df.observe(seen, *[c.alias(n) for n, c in counts.items()]), seen
+
+
+def _report(on_count, epoch_id: int, seen: Observation) -> None:
+    if on_count:
+        on_count(epoch_id, seen.get)
+
+
 def hot_state(readings: DataFrame, serving: str, checkpoint: str, p: Params = DEFAULTS,
               on_count=None, **trigger) -> StreamingQuery:
     """Every reading into the served state, missing values filled."""
     def epoch(batch: DataFrame, epoch_id: int):
-        seen = Observation()
-        rows = latest.fill_serving(batch).observe(seen, F.count(F.lit(1)).alias("archived"))
+        rows, seen = counted(latest.fill_serving(batch), archived=F.count(F.lit(1)))
         lake.write_measurement(rows, serving, "etat_machines", epoch_id)
-        if on_count:
-            on_count(epoch_id, seen.get["archived"])
+        _report(on_count, epoch_id, seen)
     return start(readings, checkpoint, epoch, p, **trigger)
 
 
 def energy(readings: DataFrame, serving: str, bus: Bus, checkpoint: str, p: Params = DEFAULTS,
-           **trigger) -> StreamingQuery:
+           on_count=None, **trigger) -> StreamingQuery:
     """Energy anomalies to the served measurement and to the alert topic."""
     def epoch(batch: DataFrame, epoch_id: int):
         with shared(rollups.energy_anomalies(batch, p)) as anomalies:
-            if anomalies.isEmpty():
-                return
-            lake.write_measurement(anomalies, serving, "anomalies_energie", epoch_id)
+            rows, seen = counted(anomalies, anomalies=F.count(F.lit(1)))
+            lake.write_measurement(rows, serving, "anomalies_energie", epoch_id)
             bus.publish(records.energy_alerts(anomalies), "energy_alerts", epoch_id)
+            _report(on_count, epoch_id, seen)
     return start(readings, checkpoint, epoch, p, **trigger)
 
 
 def predict(readings: DataFrame, serving: str, bus: Bus | None, checkpoint: str, score=None,
-            p: Params = DEFAULTS, **trigger) -> StreamingQuery:
+            p: Params = DEFAULTS, on_count=None, **trigger) -> StreamingQuery:
     """Failure probability per reading, by `score` or by rule; high ones also as alerts."""
     def epoch(batch: DataFrame, epoch_id: int):
         scored = score(batch) if score else rollups.predictions(batch, p)
-        if bus is None:
-            lake.write_measurement(scored, serving, "predictions", epoch_id)
-            return
-        with shared(scored) as rows:
+        with shared(scored) as kept:
+            rows, seen = counted(kept, predictions=F.count(F.lit(1)))
             lake.write_measurement(rows, serving, "predictions", epoch_id)
-            bus.publish(records.failure_alerts(rows, p), "failure_alerts", epoch_id)
+            if bus is not None:
+                bus.publish(records.failure_alerts(kept, p), "failure_alerts", epoch_id)
+            _report(on_count, epoch_id, seen)
     return start(readings, checkpoint, epoch, p, **trigger)
 
 
+def predict_rolling(readings: DataFrame, state: "FeatureState", serving: str, bus: Bus | None,
+                    checkpoint: str, score, p: Params = DEFAULTS, **trigger) -> StreamingQuery:
+    """As `predict`, by a model on rolling features: serving sees what training saw."""
+    def write(rows: DataFrame, epoch_id: int):
+        served = rows.select("machine_id", "event_time", rounded("failure_probability", 4)
+                             .alias("probabilite_panne"))
+        with shared(served) as kept:
+            lake.write_measurement(kept, serving, "predictions", epoch_id)
+            if bus is not None:
+                bus.publish(records.failure_alerts(kept, p), "failure_alerts", epoch_id)
+    return feature_alerts(readings, state, checkpoint, write, p, score, **trigger)
+
+
 def rolling_mean(readings: DataFrame, measure: str, every: str, p: Params = DEFAULTS) -> DataFrame:
     """Streaming form of the hourly means: late rows beyond the watermark are dropped."""
     timed = readings.withColumn("event_time", F.col("event_time").cast("timestamp"))
@@ -108,17 +131,21 @@ class FeatureState:
 
 
 def feature_alerts(readings: DataFrame, state: FeatureState, checkpoint: str, write,
-                   p: Params = DEFAULTS, **trigger) -> StreamingQuery:
+                   p: Params = DEFAULTS, score=features.rule_scored, **trigger) -> StreamingQuery:
     """Scored rows of each epoch to `write(rows, epoch_id)`."""
     def epoch(batch: DataFrame, epoch_id: int):
         with shared(batch.select(*KEPT)) as rows:
-            write(state.epoch(rows, epoch_id), epoch_id)
+            write(state.epoch(rows, epoch_id, score), epoch_id)
     return start(readings, checkpoint, epoch, p, **trigger)
 
 
 def ml_alerts(readings: DataFrame, state: FeatureState, bus: Bus, checkpoint: str,
-              p: Params = DEFAULTS, **trigger) -> StreamingQuery:
-    """Alerts on a change of class, to the alert topic."""
+              p: Params = DEFAULTS, score=features.rule_scored, on_count=None,
+              **trigger) -> StreamingQuery:
+    """Alerts on a change of class, to the alert topic; messages and alerts are counted."""
     def write(rows: DataFrame, epoch_id: int):
+        rows, seen = counted(rows, messages=F.count(F.lit(1)),
+                             alerts=F.count(F.when(F.col("is_alert"), 1)))
         bus.publish(records.ml_alerts(features.alert_records(rows)), "ml_alerts", epoch_id)
-    return feature_alerts(readings, state, checkpoint, write, p, **trigger)
+        _report(on_count, epoch_id, seen)
+    return feature_alerts(readings, state, checkpoint, write, p, score, **trigger)

@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from conftest import SF  # noqa: F401
-from plantwatch import schemas
+from plantwatch import run, schemas
+from plantwatch.functions import decode
 from plantwatch.operators import features, learning, metrics
 from plantwatch.session import stored, workdir
+from plantwatch.sources import lake
+from plantwatch.sources.bus import Bus
 
 CFG = learning.Learning(trees=20, tree_depth=6, boosting_rounds=2, boosting_depth=3, folds=2,
                         regression_rounds=20)
@@ -83,6 +85,26 @@ def test_forest_importances_and_single_reading(spark, episodes):
     assert wrong == 0
 
 
+def test_train_and_predict_jobs(spark, episodes):
+    """Train from a table of episodes, then serve probabilities off a topic."""
+    work = workdir(spark, "test-train")
+    episodes.select("episode_id", "event_time", "seq", "failure_step",
+                    *schemas.MEASURES).write.parquet(f"{work}/episodes")
+    name, summary, scores = run.train(spark, f"{work}/episodes", f"{work}/model", CFG)
+    assert summary.count() == 3 and name in learning.candidates(CFG)
+    got = {r.model: r.macro_f1 for r in scores.collect()}
+    assert got["model"] > got["majority"] + 0.1
+    bus = Bus(spark, "parquet", f"{work}/bus")
+    contract = episodes.withColumns({"timestamp": F.lit("2024-01-01T00:00:00Z")})
+    bus.publish(decode.encode(contract, "machine_id", "timestamp", *schemas.MEASURES), "sensors", 0)
+    for extra in ([], ["--single"]):
+        run.main(["predict", "--work", f"{work}/{len(extra)}", "--bus", f"{work}/bus",
+                  "--bus-format", "parquet", "--model", f"{work}/model", "--once", *extra], spark)
+        served = lake.read_measurement(spark, f"{work}/{len(extra)}/serving", "predictions")
+        assert served.count() == episodes.count()
+        assert served.where("probabilite_panne BETWEEN 0 AND 1").count() == episodes.count()
+
+
 def test_boosting_candidate(episodes):
     model = learning.fit(episodes, learning.candidates(CFG)["hist_gbm"])
     judged = learning.predict(model, episodes)

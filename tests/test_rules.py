@@ -146,6 +146,7 @@ def test_decode_orders(spark):
         ("a", None, 5, 60, "NORMALE", False), ("b", "p", 7, 0, "NORMALE", False),
         ("c", "q", 0, 9, "HAUTE", False), (None, "nameless", 0, 60, "NORMALE", True),
         (None, None, 0, 60, "NORMALE", True)]
+    assert decode.queue_rows(decode.orders(df)).count() == 3
     ignoring = decode.orders(df, DEFAULTS.but(honour_priority=False)).collect()
     assert {r.priority for r in ignoring} == {"NORMALE"}
 

@@ -69,12 +69,10 @@ def test_topics_round_trip(spark, bus, root, tables):
         q = (df.writeStream.format("memory").queryName(name).trigger(availableNow=True).start())
         q.awaitTermination()
         return spark.table(name)
-    spark.conf.set("spark.sql.streaming.schemaInference", "true")
-    glob = Bus(spark, "parquet", f"{root}/bus", {"recursiveFileLookup": "true"})
-    assert {r.task_id for r in drain(glob.orders(), "t_orders").collect()} == {"a", "b"}
-    assert drain(glob.ml_alerts(), "t_alerts").first().event_time.year == 2024
-    assert drain(glob.maintenance(), "t_maint").count() == 1
-    assert drain(glob.sensors(), "t_sensors").count() == tables.readings().count()
+    assert {r.task_id for r in drain(bus.orders(), "t_orders").collect()} == {"a", "b"}
+    assert drain(bus.ml_alerts(), "t_alerts").first().event_time.year == 2024
+    assert drain(bus.maintenance(), "t_maint").count() == 1
+    assert drain(bus.sensors(), "t_sensors").count() == tables.readings().count()
 
 
 def test_archive_prunes_days(spark, root, tables):
@@ -137,23 +135,26 @@ def test_running_jobs(spark, root, bus, tables):
     """Hot state, energy, predictions and alerts off one stream of readings."""
     stream = tables.readings(tables.stream("events"))
     counts = {}
-    jobs.hot_state(stream, f"{root}/serving", f"{root}/cp1", on_count=counts.__setitem__,
-                   availableNow=True).awaitTermination()
-    jobs.energy(stream, f"{root}/serving", bus, f"{root}/cp2",
-                availableNow=True).awaitTermination()
-    jobs.predict(stream, f"{root}/serving", bus, f"{root}/cp3",
-                 availableNow=True).awaitTermination()
+
+    def note(epoch_id, seen):
+        counts.update(seen)
+    once = {"availableNow": True, "on_count": note}
+    jobs.hot_state(stream, f"{root}/serving", f"{root}/cp1", **once).awaitTermination()
+    jobs.energy(stream, f"{root}/serving", bus, f"{root}/cp2", **once).awaitTermination()
+    jobs.predict(stream, f"{root}/serving", bus, f"{root}/cp3", **once).awaitTermination()
     state = jobs.FeatureState(spark, f"{root}/state", stream.select(*jobs.KEPT).schema)
-    jobs.ml_alerts(stream, state, bus, f"{root}/cp4", availableNow=True).awaitTermination()
+    jobs.ml_alerts(stream, state, bus, f"{root}/cp4", **once).awaitTermination()
     readings = tables.readings()
     n = readings.count()
-    assert sum(counts.values()) == n
+    assert counts["archived"] == counts["predictions"] == counts["messages"] == n
+    assert counts["anomalies"] == rollups.energy_anomalies(readings).count()
     hot = lake.read_measurement(spark, f"{root}/serving", "etat_machines")
     assert hot.count() == n and hot.where("etat IS NULL").count() == 0
     assert lake.read_measurement(spark, f"{root}/serving", "predictions").count() == n
     anomalies = rollups.energy_anomalies(readings).count()
     assert bus.table("energy_alerts").count() == anomalies
     alerts = features.changed_class(features.rule_scored(readings)).where("is_alert").count()
+    assert counts["alerts"] == alerts
     assert bus.table("ml_alerts").count() == alerts
     high = rollups.predictions(readings).where("probabilite_panne > 0.7").count()
     assert bus.table("failure_alerts").count() == high
