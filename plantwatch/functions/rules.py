@@ -91,7 +91,7 @@ def task_minutes_left(started, minutes, now) -> Column:
 
 def pause_seconds_left(started, now, p: Params = DEFAULTS) -> Column:
     left = F.lit(float(p.pause_seconds)) - seconds_between(started, now)
-    return F.greatest(F.lit(0.0), left).cast("int")
+    return F.when(left.isNotNull(), F.greatest(F.lit(0.0), left)).cast("int")
 
 
 def pause_expired(action, started, now, p: Params = DEFAULTS) -> Column:

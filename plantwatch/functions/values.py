@@ -6,7 +6,9 @@ from plantwatch.functions.times import as_column
 
 
 def clamp(value, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), as_column(value)))
+    """`value` held between two bounds; NULL stays NULL, which greatest() would skip."""
+    value = as_column(value)
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def real(value) -> Column:

@@ -583,7 +583,7 @@ SELECT machine_id, pos, statut AS status, label AS status_label, {half_up('tempe
          AS temperature,
        {half_up('charge', 1)} AS charge, CASE WHEN statut = 'ASSIGNEE' THEN task_id END AS task,
        CASE WHEN statut = 'ASSIGNEE' THEN product_name END AS product,
-       CASE WHEN statut = 'ASSIGNEE' THEN
+       CASE WHEN statut = 'ASSIGNEE' AND started IS NOT NULL THEN
          {half_up('greatest(0e0, least(1e0, elapsed / (duration_minutes * 6e1)))', 3)} END AS progress,
        CASE WHEN statut = 'ASSIGNEE' THEN epoch_us(started) / 1e6 END AS task_started,
        CASE WHEN statut = 'ASSIGNEE' THEN CAST(duration_minutes AS BIGINT) * 60 END
@@ -644,8 +644,10 @@ SELECT count(CASE statut WHEN 'DISPONIBLE' THEN 1 END) AS disponible,
        count(CASE statut WHEN 'PAUSE' THEN 1 END) AS pause,
        count(CASE statut WHEN 'ARRET' THEN 1 END) AS arret,
        count(CASE statut WHEN 'IDLE' THEN 1 END) AS idle,
-       (SELECT total FROM k) AS total, (SELECT completed FROM k) AS completed,
-       (SELECT interrupted FROM k) AS interrupted, (SELECT in_queue FROM k) AS in_queue,
+       coalesce((SELECT total FROM k), 0) AS total,
+       coalesce((SELECT completed FROM k), 0) AS completed,
+       coalesce((SELECT interrupted FROM k), 0) AS interrupted,
+       coalesce((SELECT in_queue FROM k), 0) AS in_queue,
        CAST(0 AS BIGINT) AS pauses_expired, CAST(0 AS BIGINT) AS emergency_returns,
        CAST(0 AS BIGINT) AS repairs
 FROM latest_status""", "latest_status", "assignments"))

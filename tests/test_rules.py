@@ -96,9 +96,9 @@ def test_pause_clock(spark):
                     rules.pause_expired("a", "s", F.lit(NOW)))
     assert got == [False, True, False]
     left = values_of(spark, [(datetime(2024, 1, 1, 11, 59, 30, 500000),), (NOW,),
-                             (datetime(2023, 1, 1),)], "s timestamp",
+                             (datetime(2023, 1, 1),), (None,)], "s timestamp",
                      rules.pause_seconds_left("s", F.lit(NOW)))
-    assert left == [570, 600, 0]  # 600 - 29.5 cut to whole seconds
+    assert left == [570, 600, 0, None]  # 600 - 29.5 cut to whole seconds
 
 
 def test_scores(spark):
@@ -115,8 +115,8 @@ def test_rounding_and_texts(spark):
                      values.rounded("x", 2)) == [2.68, -2.68, 0.13, None]
     assert values_of(spark, [(0,), (59,), (61,), (600,)], "s int",
                      times.minutes_seconds("s")) == ["0:00", "0:59", "1:01", "10:00"]
-    assert values_of(spark, [(-1.0,), (0.5,), (2.0,)], "x double",
-                     values.clamp("x", 0.0, 1.0)) == [0.0, 0.5, 1.0]
+    assert values_of(spark, [(-1.0,), (0.5,), (2.0,), (None,)], "x double",
+                     values.clamp("x", 0.0, 1.0)) == [0.0, 0.5, 1.0, None]
 
 
 def test_decode_sensors(spark):
