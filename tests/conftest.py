@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from plantwatch.session import build
     s = build("plantwatch-tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s

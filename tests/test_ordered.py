@@ -10,16 +10,15 @@ from plantwatch.params import DEFAULTS
 CUT = DEFAULTS.but(rows_per_slice=25)
 
 
-@pytest.fixture(scope="module", params=["hot", "tied"])
-def skewed(request, tables):
-    """A machine with a third of the rows; in 'tied' half of its rows share one time."""
+@pytest.fixture(scope="module")
+def skewed(tables):
+    """A machine with a third of the rows; half of its rows share one time."""
     r = tables.readings()
     hot = F.col("seq") % 3 == 0
     r = r.withColumn("machine_id", F.when(hot, "HOT").otherwise(F.col("machine_id")))
-    if request.param == "tied":
-        r = r.withColumn("event_time", F.when(
-            hot & (F.col("seq") % 2 == 0),
-            F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).otherwise(F.col("event_time")))
+    r = r.withColumn("event_time", F.when(
+        hot & (F.col("seq") % 2 == 0),
+        F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).otherwise(F.col("event_time")))
     return r.cache()
 
 
