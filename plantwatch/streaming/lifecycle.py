@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from plantwatch.operators.lifecycle import EARLY_RETURN, known
 from plantwatch.params import DEFAULTS, Params
 
+# The processor travels with its code, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTPUT = T.StructType([
     T.StructField("machine_id", T.StringType()), T.StructField("transition", T.StringType()),
     T.StructField("event_time", T.TimestampType()), T.StructField("seq", T.LongType())])
