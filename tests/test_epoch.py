@@ -4,9 +4,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import types as T
 
-from plantwatch.operators import epoch, fleet, lifecycle, work
+from plantwatch.operators import epoch, fleet, work
 from plantwatch.params import DEFAULTS
 from plantwatch.session import workdir
 from plantwatch.sources import lake
@@ -109,10 +109,7 @@ class Plant:
             if effect == "CLEAR":
                 self.repairs += self.alerts.pop(m, None) is not None
             elif self.alerts.get(m, ("",))[0] != "ARRET":
-                if m in self.alerts:
-                    self.alerts[m] = (effect, t)
-                else:
-                    self.alerts[m] = (effect, t)
+                self.alerts[m] = (effect, t)  # a renewed alert keeps its place
             if effect == "ARRET" and m in self.held:
                 task, since = self.held[m]
                 if 0 <= t - since < task["d"] * 60:
