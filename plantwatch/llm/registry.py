@@ -1,6 +1,6 @@
 """Imports every operator, so that their queries register."""
 
-from plantwatch.llm import decontaminate, lengths, mix, quality, secrets, urls  # noqa: F401
+from plantwatch.llm import decontaminate, lengths, mix, pages, quality, secrets, urls  # noqa: F401
 from plantwatch.llm.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
