@@ -16,6 +16,7 @@ its id); empty tables give empty results.
 from __future__ import annotations
 
 import math
+import operator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -26,10 +27,10 @@ from plantwatch.session import stored
 
 SYMBOLS = b"#*$%&|<>"
 TREES, PSI = 100, 256
-MAX_GOOD_LOST = 0.005
+MAX_GOOD_LOST = 0.01
 BINS = 10_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_distinct", "n_digits", "n_upper", "n_lines")
+EXTRA = ("n_distinct", "n_doubled")
 STATS = T.StructType([T.StructField(n, T.LongType()) for n in (*BASE, *EXTRA)])
 
 
@@ -64,9 +65,7 @@ def statistics(text: bytes | None) -> tuple:
     joined = b"".join(ws)
     lines = [x for x in text.split(b"\n") if x.strip()]
     return (len(ws), len(joined.decode("utf-8", "replace")), len(text) - len(text.translate(None, SYMBOLS)),
-            len(lines) - len(set(lines)), repeated_words(ws), len(set(ws)),
-            len(text) - len(text.translate(None, b"0123456789")),
-            len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")), len(lines))
+            len(lines) - len(set(lines)), repeated_words(ws), len(set(ws)), sum(map(operator.eq, ws, ws[1:])))
 
 
 def rule_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -76,11 +75,9 @@ def rule_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
 
 def features(rows: np.ndarray) -> np.ndarray:
     """Rates, one row per document, from columns in the order of STATS."""
-    words, chars, symbols, dup, repeat, distinct, digits, upper, lines = rows.T.astype(np.float64)
+    words, _, symbols, _, repeat, distinct, doubled = rows.T.astype(np.float64)
     n = np.maximum(words, 1)
-    c = np.maximum(chars, 1)
-    return np.stack([np.log1p(words), chars / n, symbols / n, dup / np.maximum(lines, 1), repeat / n,
-                     distinct / n ** 0.9, digits / c, upper / n], axis=1)
+    return np.stack([np.log1p(words), symbols / n, repeat / n, doubled / n, distinct / n ** 0.9], axis=1)
 
 
 def average_path(n):
