@@ -1,6 +1,6 @@
 """Imports every operator, so that their queries register."""
 
-from plantwatch.llm import decontaminate, jaccard, lengths, mix, pages, quality, secret_scan, toxicity, urls  # noqa: F401
+from plantwatch.llm import decontaminate, jaccard, lengths, lines, mix, pages, quality, secret_scan, toxicity, urls  # noqa: F401
 from plantwatch.llm.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
