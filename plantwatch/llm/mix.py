@@ -132,12 +132,17 @@ def by_position(df: DataFrame) -> DataFrame:
 
 def training_rows(docs: DataFrame, **how) -> DataFrame:
     """One row per copy that the mix takes, in training order: the document's columns, its words
-    (`take`) of `size` and its `position`."""
-    mixed = mix(docs, **how)
-    kept = [c for c in without(docs, (*RESULT, "passes", "take"))]
-    return by_position(mixed.withColumn("_p", F.explode("passes")).select(
-        *[col(c) for c in kept], "size", F.col("_p.pass").alias("pass"), F.col("_p.words").alias("take"),
-        F.col("_p.position").alias("position"), "_order"))
+    (`take`) of `size` and its `position`. A document that crosses its source's target is cut to
+    the words taken, joined by spaces."""
+    mixed = mix(docs, **how).withColumn("_p", F.explode("passes"))
+    first = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(SIZE), F.lit(0)), 1, F.col("_p.words").cast("int")))
+    mixed = mixed.withColumn("text", F.when(F.col("_p.words") < F.col("size"), first).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.when(F.col("_p.words") < F.col("size"), F.length("text").cast("long"))
+                                 .otherwise(F.col("n_chars")))
+    return by_position(mixed.select(
+        *[col(c) for c in without(docs, (*RESULT, "passes", "pass", "take"))], "size", F.col("_p.pass").alias("pass"),
+        F.col("_p.words").alias("take"), F.col("_p.position").alias("position"), "_order"))
 
 
 OP3_SQL = r"""
