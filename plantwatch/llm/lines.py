@@ -20,17 +20,17 @@ row stays; null ids are allowed; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plantwatch.llm.catalog import query
 from plantwatch.llm.components import components
-from plantwatch.llm.rows import append, col, raw, read, small, without, words
+from plantwatch.llm.hashes import sequence_hashes, slices, word_hashes
+from plantwatch.llm.rows import WORD_BYTES, append, col, hidden, raw, read, small, without, words
 from plantwatch.session import stored
 
 MIN_WORDS = 3
@@ -39,55 +39,61 @@ SIMILAR = 0.9
 FULL = 256       # mean lines per bucket from which the hash is cut into more blocks
 BLOCK = 1024     # lines of a bucket compared by one task
 PROBE = 8        # share of lines (one in so many) that large buckets are looked for in
-CHUNK = 1 << 16  # words whose bits are held at once
-CACHE = 200_000
-
-
-def simhashes(lines: list[list[bytes]], cache: dict) -> np.ndarray:
-    """64-bit SimHash per line; the first word counts half as much again, so no bit ties."""
-    if len(cache) > CACHE:
-        cache.clear()
-    coded = []
-    for ws in lines:
-        for w in ws:
-            h = cache.get(w)
-            if h is None:
-                h = cache[w] = xxhash.xxh3_64_intdigest(w)
-            coded.append(h)
-    one = np.array(coded, dtype=np.uint64)
-    size = np.array([len(ws) for ws in lines], dtype=np.int64)
-    begin = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(lines)), size)
-    total = np.zeros((len(lines), 64), dtype=np.int32)
-    for at in range(0, len(one), CHUNK):
-        part = owner[at:at + CHUNK]
-        bits = np.unpackbits(one[at:at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1)
-        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        total[part[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    first = np.unpackbits(one[begin].view(np.uint8).reshape(-1, 8), axis=1) if len(lines) else total
-    up = 4 * total + 2 * first.astype(np.int32) > 2 * size[:, None] + 1
-    return np.packbits(up, axis=1).view(np.uint64).ravel()
+LINE_BYTES = WORD_BYTES[:10] + b"\n" + WORD_BYTES[11:]
 
 
-LINE = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("key", T.BinaryType()),
-                                 T.StructField("sim", T.LongType())]))
+#: Bits of a byte as eight counters of eight bits.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+FULL_LANE = 255  # words that one counter takes
 
 
-def key_of(ws: list[bytes]) -> bytes:
-    return hashlib.md5(b" ".join(ws), usedforsecurity=False).digest()
+def simhashes(one: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit SimHash per line from its words' hashes (`size` words each, at least one); the first
+    word counts half as much again, so no bit ties."""
+    begin = np.cumsum(size) - size
+    n = -(-size // FULL_LANE)
+    first = np.cumsum(n) - n
+    starts = np.repeat(begin, n) + (np.arange(n.sum()) - np.repeat(first, n)) * FULL_LANE
+    octets = one.view(np.uint8).reshape(-1, 8)
+    lanes = np.stack([np.add.reduceat(LANES[octets[:, k]], starts) for k in range(8)], axis=1)
+    sums = lanes.view(np.uint8).reshape(-1, 64)
+    total = sums.astype(np.int64) if len(sums) == len(size) else np.add.reduceat(sums, first, axis=0, dtype=np.int64)
+    lead = np.unpackbits(octets[begin], axis=1).astype(np.int64)
+    return np.packbits(4 * total + 2 * lead > 2 * size[:, None] + 1, axis=1).view(np.uint64).ravel()
+
+
+def line_hashes(texts: list[bytes | None], min_words: int):
+    """Of every line with enough words: number of its text, its place, key (two longs) and SimHash."""
+    counts = np.array([0 if t is None else t.count(b"\n") + 1 for t in texts], dtype=np.int64)
+    text = np.repeat(np.arange(len(texts)), counts)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    data = b"\n".join(t for t in texts if t is not None).translate(LINE_BYTES)
+    one, starts = word_hashes(data)
+    ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+    line = np.searchsorted(ends, starts)
+    size = np.bincount(line, minlength=len(text))
+    kept = size >= max(1, min_words)
+    one, size = one[kept[line]], size[kept]
+    if not len(size):
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none, none
+    keys = [k.view(np.int64) for k in sequence_hashes(one, size)]
+    return text[kept], place[kept], *keys, simhashes(one, size).view(np.int64)
+
+
+LINE = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType())] +
+                                [T.StructField(n, T.LongType()) for n in ("k1", "k2", "sim")]))
 
 
 def hashed(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, digest, lines) once per document."""
-    cache: dict = {}
-
+    """(doc_id, digest, lines) for every row."""
     def run(texts):
-        out = []
-        for t in texts:
-            found = [(i, ws) for i, x in enumerate(t.split(b"\n") if t else ()) if len(ws := words(x)) >= min_words]
-            sims = simhashes([ws for _, ws in found], cache).view(np.int64) if found else ()
-            out.append([{"pos": i, "key": key_of(ws), "sim": s} for (i, ws), s in zip(found, list(map(int, sims)))])
-        return [out]
+        parts = [line_hashes(part, min_words) for part in slices(texts)]
+        size = np.concatenate([[0], *(np.bincount(p[0], minlength=n) for p, n in zip(parts, map(len, slices(texts))))])
+        pos, *rest = (np.concatenate(c) for c in list(zip(*parts))[1:])
+        each = pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), *map(pa.array, rest)],
+                                          fields=list(to_arrow_type(LINE).value_type))
+        return [pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), each)]
     source = docs.withColumn("digest", F.xxhash64("text"))
     return append(source, [raw("text")], T.StructType([T.StructField("lines", LINE)]), run, ["doc_id", "digest"])
 
@@ -106,52 +112,58 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def partners(shared_bits: list[int], bits: int = BITS):
-    """Task that marks, in rows sorted by bucket, those with a partner that no earlier table finds."""
-    def near(d, t):
-        ok = np.bitwise_count(d) <= bits
-        for k, m in enumerate(shared_bits):
-            ok &= ~((t > k) & (d & np.uint64(m) == 0))
-        return ok
-
-    def mark(c):
-        key, low, high, block, table, sim, _ = c
-        hit = np.zeros(len(key), dtype=bool)
-        i = np.arange(len(key))
-        for step in range(1, len(key)):
-            i = i[i + step < len(key)]
-            j = i + step
-            same = (key[i] == key[j]) & (low[i] == low[j]) & (high[i] == high[j])
-            i, j = i[same], j[same]
-            if not len(i):
-                break
-            ok = near(sim[i] ^ sim[j], table[i]) & ((low[i] == high[i]) | (block[i] != block[j]))
-            hit[i[ok]] = hit[j[ok]] = True
-        return hit
-
-    names = ["key", "low", "high", "block", "table", "sim", "id"]
+PLACE = ["key", "low", "high"]
 
-    def run(batches):
-        held = None
-
-        def out(c):
-            hit = mark(c)
-            return pa.RecordBatch.from_arrays([pa.array(c[k][hit]) for k in (0, 1, 2, 3, 6)] +
-                                              [pa.array(c[5][hit].view(np.int64))],
-                                              names=["key", "low", "high", "block", "id", "sim"])
-        for batch in batches:
-            c = [batch.column(batch.schema.names.index(n)).to_numpy(zero_copy_only=False) for n in names]
-            c[5] = c[5].astype(np.int64).view(np.uint64)
-            if held is not None:
-                c = [np.concatenate(x) for x in zip(held, c)]
-            if not len(c[0]):
-                continue
-            last = (c[0] == c[0][-1]) & (c[1] == c[1][-1]) & (c[2] == c[2][-1])
-            cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-            held = [x[cut:] for x in c]
-            yield out([x[:cut] for x in c])
+
+def runs(batches, columns: list[str]):
+    """Arrow batches sorted by PLACE, as lists of columns that hold whole places, with their edges."""
+    held = None
+
+    def edges(c):
+        new = np.concatenate(([True], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])))
+        return np.flatnonzero(new)
+    for batch in batches:
+        c = [batch.column(batch.schema.names.index(n)).to_numpy(zero_copy_only=False) for n in columns]
         if held is not None:
-            yield out(held)
+            c = [np.concatenate(x) for x in zip(held, c)]
+        if len(c[0]):
+            at = edges(c)
+            held = [x[at[-1]:] for x in c]
+            if at[-1]:
+                yield [x[:at[-1]] for x in c], at
+    if held is not None and len(held[0]):
+        yield held, np.append(edges(held), len(held[0]))
+
+
+def close(sim: np.ndarray, block: np.ndarray, within: bool, bits: int):
+    """Pairs (i, j), i < j, of one place whose hashes are within `bits`; in slices, as places can be large."""
+    step = max(1, (1 << 20) // len(sim))
+    for at in range(0, len(sim), step):
+        near = np.bitwise_count(sim[at:at + step, None] ^ sim[None, at:]) <= bits
+        i, j = np.nonzero(near)
+        keep = j > i
+        if not within:
+            keep &= block[at + i] != block[at + j]
+        if keep.any():
+            yield at + i[keep], at + j[keep]
+
+
+def partners(shared_bits: list[int], bits: int = BITS):
+    """Task that marks, in rows sorted by place, those with a partner that no earlier table finds."""
+    def run(batches):
+        for (key, low, high, block, table, sim, ids), at in runs(batches, [*PLACE, "block", "table", "sim", "id"]):
+            sim = sim.astype(np.int64).view(np.uint64)
+            hit = np.zeros(len(key), dtype=bool)
+            for a, b in zip(at[:-1], at[1:]):
+                if b - a < 2:
+                    continue
+                for i, j in close(sim[a:b], block[a:b], low[a] == high[a], bits):
+                    d, ok = sim[a + i] ^ sim[a + j], np.ones(len(i), dtype=bool)
+                    for k in range(table[a]):
+                        ok &= d & np.uint64(shared_bits[k]) != 0
+                    hit[a + i[ok]] = hit[a + j[ok]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, low, high, block, ids, sim.view(np.int64))],
+                                             names=[*PLACE, "block", "id", "sim"])
     return run
 
 
@@ -186,31 +198,37 @@ def similar(a: list, b: list, least: float) -> bool:
     return n - min(len(a), len(b)) <= most and distance(a, b) <= most
 
 
-def connect(least: float, shared_bits: list[int], bits: int = BITS):
-    """Task that links the marked lines of a bucket; pairs that are linked already aren't compared."""
-    def run(rows: pa.Table) -> pa.Table:
-        first = {}
-        for i, x in enumerate(rows.column("id").to_pylist()):
-            first.setdefault(x, i)
-        ids, at = np.array(list(first), dtype=np.int64), list(first.values())
-        text = [rows.column("line")[i].as_py().split(b" ") for i in at]
-        sim = rows.column("sim").to_numpy()[at].astype(np.int64).view(np.uint64)
-        block = rows.column("block").to_numpy()[at]
-        within = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
-        root = np.arange(len(ids))
-        for i in range(len(ids)):
-            d = sim[:i] ^ sim[i]
-            near = np.flatnonzero((np.bitwise_count(d) <= bits) & (within | (block[:i] != block[i])))
-            for j in near:
-                if root[i] != root[j] and similar(text[i], text[j], least):
-                    root[root == root[i]] = root[j]
-        linked = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table({"a": pa.array(ids[linked], pa.int64()), "b": pa.array(ids[root[linked]], pa.int64())})
+def connect(least: float, bits: int = BITS):
+    """Task that links the marked lines of each place; pairs that are linked already aren't compared."""
+    def run(batches):
+        for (_, low, high, block, sim, ids, line), at in runs(batches, [*PLACE, "block", "sim", "id", "line"]):
+            sim = sim.astype(np.int64).view(np.uint64)
+            out: list = []
+            for a, b in zip(at[:-1], at[1:]):
+                text: dict[int, list] = {}
+                root = list(range(b - a))
+
+                def find(x):
+                    while root[x] != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+                for i, j in close(sim[a:b], block[a:b], low[a] == high[a], bits):
+                    for x, y in zip(i.tolist(), j.tolist()):
+                        if find(x) != find(y):
+                            for k in (x, y):
+                                if k not in text:
+                                    text[k] = line[a + k].split(b" ")
+                            if ids[a + x] == ids[a + y] or similar(text[x], text[y], least):
+                                root[find(y)] = find(x)
+                out += [(a + x, a + find(x)) for x in range(b - a) if find(x) != x]
+            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
     return run
 
 
 def fuzzy_groups(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) over ids of `distinct` (id, sim, doc_id, digest, pos, key) that have near-equal lines."""
+    """(node, root) over ids of `distinct` (id, sim, doc_id, digest, pos, k1, k2) that have near-equal lines."""
     total = distinct.count()
     tables = masks(total)
     sim = F.col("sim")
@@ -227,11 +245,12 @@ def fuzzy_groups(docs: DataFrame, distinct: DataFrame, similarity: float) -> Dat
             .withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
             .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
                     "block", "table", "sim", "id"))
-    place = ["key", "low", "high"]
-    marked = stored(rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(
+    marked = stored(rows.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(
         partners(tables), "key long, low int, high int, block int, id long, sim long"), "partners")
-    wanted = stored(marked.select("id").distinct().join(distinct.select("id", "doc_id", "digest", "pos", "key"), "id"), "wanted")
-    per_doc = wanted.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("pos", "id", F.col("key").alias("line"))).alias("at"))
+    ids = stored(marked.select("id").distinct(), "marked")
+    wanted = distinct.select("id", "doc_id", "digest", "pos", "k1", "k2").join(small(ids, ids.count(), 16), "id")
+    wanted = stored(wanted, "wanted")
+    per_doc = wanted.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("pos", "id", "k1", "k2")).alias("at"))
     source = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
     held = source.join(small(per_doc, wanted.count(), 48),
                        F.col("_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("digest")))
@@ -240,35 +259,47 @@ def fuzzy_groups(docs: DataFrame, distinct: DataFrame, similarity: float) -> Dat
         out = []
         for t, wish in zip(texts, at):
             lines = t.split(b"\n")
-            ws = [words(lines[x["pos"]]) if x["pos"] < len(lines) else [] for x in wish]
-            out.append([{"id": x["id"], "line": b" ".join(w)} for x, w in zip(wish, ws) if key_of(w) == bytes(x["line"])])
+            found = []
+            for x in wish:
+                line = lines[x["pos"]] if x["pos"] < len(lines) else b""
+                _, _, k1, k2, _ = line_hashes([line], 1)
+                if len(k1) and (k1[0], k2[0]) == (x["k1"], x["k2"]):
+                    found.append({"id": x["id"], "line": b" ".join(words(line))})
+            out.append(found)
         return [out]
     line = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("line", T.BinaryType())]))
     texts = append(held, [raw("text"), F.col("at")], T.StructType([T.StructField("found", line)]), take, [])
     texts = texts.select(F.explode("found").alias("f")).select("f.id", "f.line")
-    edges = (marked.join(texts, "id").groupBy(*place).applyInArrow(connect(similarity, tables), "a long, b long"))
-    return components(edges, "line-groups")
+    met = marked.join(texts, "id").repartition(*PLACE).sortWithinPartitions(*PLACE)
+    return components(met.mapInArrow(connect(similarity), "a long, b long"), "line-groups")
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILAR) -> DataFrame:
     """(doc_id, digest, n_lines, rows, gone): documents with lines to remove, and those whose rows repeat."""
-    once = stored(hashed(docs, min_words).groupBy("doc_id", "digest").agg(
-        F.first("lines").alias("lines"), F.count("*").cast("int").alias("rows")), "lines")
+    whole = docs.select("doc_id", F.xxhash64("text").alias("digest")).groupBy("doc_id", "digest").agg(
+        F.count("*").cast("int").alias("rows")).where("rows > 1")
+    again = stored(whole, "repeated-rows")
+    once = hashed(docs, min_words)
+    if not again.isEmpty():  # rows that repeat id and text are one document
+        once = once.dropDuplicates(["doc_id", "digest"])
+    once = stored(once, "lines")
     each = once.select("doc_id", "digest", F.explode("lines").alias("l")).select("doc_id", "digest", "l.*")
-    distinct = stored(each.groupBy("key").agg(
+    distinct = stored(each.groupBy("k1", "k2").agg(
         F.first("sim").alias("sim"), F.min(F.struct("doc_id", "digest", "pos")).alias("f"), F.count("*").alias("times"))
-        .select("key", "sim", "f.*", "times").withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
+        .select("k1", "k2", "sim", "f.*", "times").withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
     groups = fuzzy_groups(docs, distinct, similarity)
+    groups = stored(groups, "line-groups")
+    groups = small(groups, groups.count(), 32)
     known = (distinct.join(groups, distinct["id"] == groups["node"], "left").where("times > 1 or root is not null")
-             .select("key", F.coalesce("root", "id").alias("root"), F.struct("doc_id", "digest", "pos").alias("f")))
+             .select("k1", "k2", F.coalesce("root", "id").alias("root"), F.struct("doc_id", "digest", "pos").alias("f")))
     known = stored(known, "repeated-lines")
     stays = known.groupBy("root").agg(F.min("f").alias("stays"))
-    known = stored(known.join(stays, "root").select("key", "stays"), "repeated-lines")
-    gone = (each.join(small(known, known.count(), 80), "key")
+    known = stored(known.join(stays, "root").select("k1", "k2", "stays"), "repeated-lines")
+    gone = (each.join(small(known, known.count(), 80), ["k1", "k2"])
             .where(~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("stays")))
             .groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list("pos")).alias("gone")))
     none = F.lit(None).cast("array<int>")
-    again = once.where("rows > 1").select("doc_id", "digest", "rows", none.alias("gone"))
+    again = again.withColumn("gone", none)
     return stored(gone.select("doc_id", "digest", F.lit(1).alias("rows"), "gone").union(again)
                   .groupBy("doc_id", "digest").agg(F.max("rows").alias("rows"),
                                                    F.first("gone", ignorenulls=True).alias("gone")), "removals")
@@ -280,6 +311,7 @@ CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_line
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILAR) -> DataFrame:
     """`docs` with `text` without its repeated lines, n_lines (lines before) and n_removed."""
+    docs, back = hidden(docs.select(*[col(c) for c in without(docs, CUT.names[1:])]), ("doc_id", "text"))
     found = removals(docs, min_words, similarity)
     found = small(found.toDF("_id", "_digest", "_rows", "_gone"), found.count(), 128)
     kept = [c for c in without(docs, CUT.names)]
@@ -299,7 +331,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     done = append(source, [raw("_text"), F.col("_gone")], CUT, cut, [*kept, "_doc", "_dig", "_rows"])
     several = F.coalesce(F.col("_rows"), F.lit(1)) > 1
     once = done.where(several).dropDuplicates(["_doc", "_dig"])
-    return done.where(~several).unionByName(once).select(*[col(c) for c in kept], *CUT.names)
+    return done.where(~several).unionByName(once).select(*back, *CUT.names[1:])
 
 
 @query("op8_lines")

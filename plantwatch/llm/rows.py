@@ -35,6 +35,13 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def hidden(df: DataFrame, needed) -> tuple[DataFrame, list[Column]]:
+    """`df` with all columns but the needed ones under names that nothing uses, and the columns
+    that bring every name back."""
+    names = {c: c if c in needed else f"__{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[col(c).alias(n) for c, n in names.items()]), [col(n).alias(c) for c, n in names.items()]
+
+
 def append(df: DataFrame, inputs: list[Column], fields: T.StructType, fn, keep: list[str] | None = None) -> DataFrame:
     """`df` with new columns made by `fn`, in one narrow pass.
 
