@@ -11,41 +11,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plantwatch.llm import decontaminate, jaccard, lines, mix, toxicity as toxic
-from plantwatch.llm.rows import col, read
+from plantwatch.llm.rows import hidden, read
 from plantwatch.session import stored
 
 ORACLE_SQL = None
 
 
-def _like(done: DataFrame, docs: DataFrame, text_changed: bool = False) -> DataFrame:
-    """The columns of `docs`, with n_chars counted anew where the text has changed."""
-    if text_changed and "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*[col(c) for c in docs.columns])
+def _counted(done: DataFrame) -> DataFrame:
+    """n_chars anew, where documents have it and the text has changed."""
+    if "n_chars" not in done.columns:
+        return done
+    return done.withColumn("n_chars", F.length("text").cast(done.schema["n_chars"].dataType))
 
 
 def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
+    docs, back = hidden(docs, ("doc_id", "text"))
     scored = toxic.toxicity(docs, read(spark, sf_dir, "labels"))
-    return _like(scored.where("predicted = 0"), docs)
+    return scored.where("predicted = 0").select(*back)
 
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents of which nothing else is left."""
+    docs, back = hidden(docs, ("doc_id", "text", "n_chars"))
     done = lines.dedup_lines(docs)
     empty = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x00-\x20]")
-    return _like(done.where(~F.coalesce(empty, F.lit(False))), docs, text_changed=True)
+    return _counted(done.where(~F.coalesce(empty, F.lit(False)))).select(*back)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return _like(jaccard.keep_one(docs), docs)
+    return jaccard.keep_one(docs)
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; shorter benchmark passages are cut out of the others."""
+    docs, back = hidden(docs, ("doc_id", "text", "n_chars"))
     found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), cut=True)
-    return _like(found.where(~F.col("contaminated")), docs, text_changed=True)
+    return _counted(found.where(~F.col("contaminated"))).select(*back)
 
 
 def mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plantwatch.llm.catalog import query
-from plantwatch.llm.rows import col, read, without
+from plantwatch.llm.rows import col, hidden, read, without
 from plantwatch.session import stored
 
 WEIGHTS = (5, 2, 1)
@@ -124,25 +124,27 @@ def mix(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, shapes=SHAPES)
                     F.col("_digest").alias("_order")))
 
 
-def by_position(df: DataFrame) -> DataFrame:
+def by_position(df: DataFrame, digest: str = "_order") -> DataFrame:
     """Range-sorted along training time; the digest breaks ties and spreads rows that aren't taken."""
-    order = [F.col("position").asc_nulls_last(), F.col("_order")]
-    return df.repartitionByRange(*order).sortWithinPartitions(*order).drop("_order")
+    order = [F.col("position").asc_nulls_last(), F.col(digest)]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).drop(digest)
 
 
 def training_rows(docs: DataFrame, **how) -> DataFrame:
     """One row per copy that the mix takes, in training order: the document's columns, its words
     (`take`) of `size` and its `position`. A document that crosses its source's target is cut to
     the words taken, joined by spaces."""
+    docs = docs.select(*[col(c) for c in without(docs, ("size", "pass", "take", "position"))])
+    n_chars = "n_chars" in docs.columns
+    docs, back = hidden(docs, ("doc_id", "text", "source", "n_chars"))
     mixed = mix(docs, **how).withColumn("_p", F.explode("passes"))
+    cut = F.col("_p.words") < F.col("size")
     first = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(SIZE), F.lit(0)), 1, F.col("_p.words").cast("int")))
-    mixed = mixed.withColumn("text", F.when(F.col("_p.words") < F.col("size"), first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.when(F.col("_p.words") < F.col("size"), F.length("text").cast("long"))
-                                 .otherwise(F.col("n_chars")))
-    return by_position(mixed.select(
-        *[col(c) for c in without(docs, (*RESULT, "passes", "pass", "take"))], "size", F.col("_p.pass").alias("pass"),
-        F.col("_p.words").alias("take"), F.col("_p.position").alias("position"), "_order"))
+    mixed = mixed.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    if n_chars:
+        mixed = mixed.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return by_position(mixed.select(*back, "size", F.col("_p.pass").alias("pass"), F.col("_p.words").alias("take"),
+                                    F.col("_p.position").alias("position"), F.col("_order").alias("__order")), "__order")
 
 
 OP3_SQL = r"""

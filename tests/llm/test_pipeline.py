@@ -69,3 +69,36 @@ def test_mix_stage(stages):
 
 def test_run_gives_the_last_stage(spark, sf, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, stages[-1][1].collect()))
+
+
+ODD = ("doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, n_lines long, "
+       "cls string, digest long, spans string, contaminated boolean, size long, _doc string, _order string, "
+       "position double, _cls binary, KEY string")
+
+
+def odd_rows():
+    long = " ".join(f"word{i}" for i in range(30_000))
+    texts = [None, "", " \n\t", "one", "a few words here", "A few words here!", long, long + " and more", "x" * 300_000,
+             "same line of text\nsame line of text\nanother line here", "é" * 50 + " ß\n\n", None]
+    return [(None if i == 10 else i, t, None, None if i % 3 else f"s{i}", None, 0.5, 7, None, "c", 1, f"span{i}", None, 3, "d", "o",
+             None, None, "k") for i, t in enumerate(texts)] * 2
+
+
+def test_stages_take_odd_tables(spark, sf):
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert {r.spans for r in rows} <= {r.spans for r in docs.collect()} and all(r.score == 0.5 and r.predicted == 7 for r in rows)
+        if name in ("toxicity", "decontamination"):
+            assert len(rows) == docs.count()
+        if name == "line dedup":  # rows that repeat id and text count once
+            assert len(rows) == len({(r.doc_id, r.text) for r in docs.collect()})
+        if name == "near duplicates":
+            assert [r.text for r in rows].count(None) == 4 and sum("few" in (r.text or "") for r in rows) == 1
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert set(docs.columns) - {"size", "position"} <= set(mixed.columns)
+    assert all(r["take"] > 0 and len(r.text.split()) == r["take"] for r in mixed.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
