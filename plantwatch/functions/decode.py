@@ -48,7 +48,8 @@ def orders(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         first_text("product_name", "produit", "product").alias("product_name"),
         first_number("quantity", "quantite", "qty", default=0).alias("quantity"),
         first_number("duration_minutes", "duree_minutes", "duration",
-                     default=p.default_duration).cast("int").alias("duration_minutes"),
+                     default=p.default_duration, limit=2.0 ** 31).cast("int")
+        .alias("duration_minutes"),
         priority.alias("priority"), "event_time", "seq", task_id.isNull().alias("rejected"),
     )
 
@@ -64,6 +65,30 @@ def alerts(df: DataFrame) -> DataFrame:
             .withColumn("source", F.lit("ml")))
 
 
+def rejects(orders_df: DataFrame, *flows: DataFrame) -> DataFrame:
+    """Raw records that no job takes, with the reason: orders without an id, alert and
+    maintenance records without a machine or with an unknown action."""
+    raw = F.col("value").cast("string").alias("raw")
+
+    def read(df, schema, reason):
+        arrived = F.col("arrived_at") if "arrived_at" in df.columns \
+            else F.lit(None).cast("timestamp")
+        rows = df.select(raw, arrived.alias("arrived_at"),
+                         F.from_json(F.col("value").cast("string"), schema).alias("d"))
+        return rows.select("raw", F.coalesce(event_time("d.timestamp"), "arrived_at")
+                           .alias("event_time"), reason.alias("reason")).where("reason IS NOT NULL")
+
+    no_id = F.when(first_text("d.task_id", "d.id", "d.tache_id").isNull(), "order without id")
+    rows = read(orders_df, schemas.ORDER, no_id)
+    for df, schema, actions in zip(flows, (schemas.ML_ALERT, schemas.MAINTENANCE_ACTION),
+                                   (schemas.ACTIONS, schemas.MAINTENANCE_ACTIONS)):
+        known = F.coalesce(F.col("d.action").isin(*actions), F.lit(False))
+        reason = (F.when(F.col("d.machine_id").isNull(), "event without machine")
+                  .when(~known, "unknown action"))
+        rows = rows.unionByName(read(df, schema, reason))
+    return rows
+
+
 def maintenance(df: DataFrame) -> DataFrame:
     return (_timed(parse(df, schemas.MAINTENANCE_ACTION)).where(F.col("machine_id").isNotNull())
             .withColumn("source", F.lit("maintenance")))

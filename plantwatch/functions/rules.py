@@ -66,7 +66,9 @@ def status_label(status) -> Column:
 
 
 def task_minutes(quantity, p: Params = DEFAULTS) -> Column:
-    return F.greatest(F.lit(1), (as_column(quantity) / F.lit(p.units_per_minute)).cast("int"))
+    minutes = as_column(quantity) / F.lit(p.units_per_minute)
+    bounded = F.greatest(F.lit(1.0), F.least(minutes, F.lit(2.0 ** 31 - 1))).cast("int")
+    return F.when(minutes.isNull(), F.lit(1)).otherwise(bounded)
 
 
 # ---- clocks of tasks and pauses ------------------------------------------

@@ -22,12 +22,14 @@ def first_text(*columns) -> Column:
     return F.coalesce(*[F.nullif(F.trim(as_column(c)), F.lit("")) for c in columns])
 
 
-def first_number(*columns, default=None) -> Column:
+def first_number(*columns, default=None, limit: float = 2.0 ** 63) -> Column:
     """First alias that holds a number other than zero, cut to a whole number.
 
-    The last alias counts even when it is zero.
+    The last alias counts even when it is zero. NaN and numbers of `limit` or more
+    count as absent, so that one broken record can't end a stream.
     """
-    numbers = [as_column(c).try_cast("double") for c in columns]
+    texts = [as_column(c).try_cast("double") for c in columns]
+    numbers = [F.when(F.abs(n) < limit, n) for n in texts]  # NaN is above every limit
     found = [F.nullif(n, F.lit(0.0)) for n in numbers[:-1]] + numbers[-1:]
     if default is not None:
         found.append(F.lit(float(default)))
@@ -44,5 +46,8 @@ def percent(value) -> Column:
 
 def rounded(value, places: int) -> Column:
     """Half up on the decimal digits. Going through a decimal first drops the binary
-    noise of computed numbers, so that 0.125 held as 0.12499999999999 rounds up too."""
-    return F.round(as_column(value).cast("decimal(28,10)"), places).cast("double")
+    noise of computed numbers, so that 0.125 held as 0.12499999999999 rounds up too.
+    Numbers too large for that have no digits to round."""
+    value = as_column(value)
+    exact = F.round(value.try_cast("decimal(28,10)"), places).cast("double")
+    return F.coalesce(exact, real(value.cast("double")))

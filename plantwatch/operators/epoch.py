@@ -60,6 +60,15 @@ def _kept_alerts(events: DataFrame, as_of, p: Params) -> DataFrame:
     return newest.join(over, ["machine_id", "effect"], "left_anti").drop("effect")
 
 
+def _new_orders(orders: DataFrame, state: dict[str, DataFrame]) -> DataFrame:
+    """One row per task that is neither queued nor held: an order may come twice."""
+    first = F.min_by(F.struct(*[c for c in orders.columns if c != "task_id"]),
+                     F.struct("event_time", "seq"))
+    known = state["queue"].select("task_id").unionByName(state["held"].select("task_id"))
+    return (orders.groupBy("task_id").agg(first.alias("_o")).select("task_id", "_o.*")
+            .select(*orders.columns).join(known, "task_id", "left_anti"))
+
+
 def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics: DataFrame,
         roster: DataFrame, as_of, started, p: Params = DEFAULTS, settle=None) -> Epoch:
     """Advance the state to `as_of`.
@@ -94,7 +103,8 @@ def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics
     going = state["held"].join(cut_short.select("task_id"), "task_id", "left_anti")
     finished = settle(work.completed(going, as_of), "finished")
     held = work.still_held(going, as_of)
-    queue = settle(state["queue"].unionByName(orders.select(*state["queue"].columns))
+    orders = settle(_new_orders(orders.select(*state["queue"].columns), state), "orders")
+    queue = settle(state["queue"].unionByName(orders)
                    .unionByName(work.requeued(cut_short).select(*state["queue"].columns)),
                    "waiting")
     waiting = not queue.isEmpty()
@@ -158,6 +168,9 @@ def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics
                                            "duration_minutes", "event_time"),
             "statuses": statuses, "interruptions": cut_short,
             "pause_starts": lifecycle.pause_starts(changes),
+            "commands": changes.where(F.col("transition").isin("PAUSE_STARTED", "STOPPED")).select(
+                "machine_id", F.when(F.col("transition") == "STOPPED", "ARRETER")
+                .otherwise("PAUSE").alias("action")),
             "stats": totals.withColumn("event_time", now),
             "queue_size": totals.select(F.col("in_queue").alias("size"), now.alias("event_time")),
         })

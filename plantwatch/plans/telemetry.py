@@ -27,17 +27,7 @@ def q01(spark, sf_dir):
     return df.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
 
 
-@query("q02_task_decode_aliases", with_views("""
-SELECT CASE WHEN seq % 4 = 3 THEN NULL ELSE task_id END AS task_id,
-       CASE WHEN seq % 4 = 0 THEN NULL ELSE product_name END AS product_name,
-       CASE WHEN seq % 4 = 1 THEN 0 ELSE quantity END AS quantity,
-       CAST(CASE WHEN seq % 4 IN (1, 2) THEN duration_minutes ELSE 60 END AS INTEGER)
-         AS duration_minutes,
-       CASE WHEN seq % 4 = 1 THEN priority ELSE 'NORMALE' END AS priority,
-       CASE WHEN seq % 4 = 1 THEN o_orderdate END AS event_time,
-       seq % 4 = 3 AS rejected
-FROM order_fields""", "order_fields"))
-def q02(spark, sf_dir):
+def _spellings(spark, sf_dir):
     """Orders in four spellings: contract, emitted, aliases with an empty first
     choice, and one without any id."""
     o = Tables(spark, sf_dir).orders_in()
@@ -56,7 +46,29 @@ def q02(spark, sf_dir):
     nameless = F.to_json(F.struct("product_name", "quantity"))
     value = F.when(form == 0, contract).when(form == 1, emitted).when(form == 2, alias) \
         .otherwise(nameless)
-    return decode.orders(o.select(value.cast("binary").alias("value"))).drop("seq").withColumn(
+    return o.select(value.cast("binary").alias("value"))
+
+
+@query("q02b_rejected_orders", with_views("""
+SELECT '{"product_name":"' || product_name || '","quantity":' || quantity || '}' AS raw,
+       'order without id' AS reason
+FROM order_fields WHERE seq % 4 = 3""", "order_fields"))
+def q02b(spark, sf_dir):
+    return decode.rejects(_spellings(spark, sf_dir)).select("raw", "reason")
+
+
+@query("q02_task_decode_aliases", with_views("""
+SELECT CASE WHEN seq % 4 = 3 THEN NULL ELSE task_id END AS task_id,
+       CASE WHEN seq % 4 = 0 THEN NULL ELSE product_name END AS product_name,
+       CASE WHEN seq % 4 = 1 THEN 0 ELSE quantity END AS quantity,
+       CAST(CASE WHEN seq % 4 IN (1, 2) THEN duration_minutes ELSE 60 END AS INTEGER)
+         AS duration_minutes,
+       CASE WHEN seq % 4 = 1 THEN priority ELSE 'NORMALE' END AS priority,
+       CASE WHEN seq % 4 = 1 THEN o_orderdate END AS event_time,
+       seq % 4 = 3 AS rejected
+FROM order_fields""", "order_fields"))
+def q02(spark, sf_dir):
+    return decode.orders(_spellings(spark, sf_dir)).drop("seq").withColumn(
         "event_time", F.col("event_time").cast("timestamp_ntz"))
 
 

@@ -7,6 +7,7 @@ same through spark-submit.
     predict      failure probabilities to serving and to the alert topic
     alerts       change alerts to the alert topic
     orchestrate  orders, alerts and maintenance to assignments and statuses
+    rejects      records that no job takes, to serving, with the reason
     train        choose, fit and save a model from a table of episodes
 """
 
@@ -33,7 +34,7 @@ def arguments(argv=None):
     parser = argparse.ArgumentParser(description=__doc__,
                                      formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("job", choices=["archive", "hot-state", "energy", "predict", "alerts",
-                                        "orchestrate", "train"])
+                                        "orchestrate", "rejects", "train"])
     parser.add_argument("--work", required=True, help="shared folder for tables and checkpoints")
     parser.add_argument("--bus", default="", help="broker list, or folder of file topics")
     parser.add_argument("--bus-format", default="kafka")
@@ -102,7 +103,13 @@ def start(args, spark: SparkSession, p: Params = DEFAULTS):
                                         learning.scorer(model), p, **trigger)
         return jobs.ml_alerts(readings, state, bus, checkpoint, p, learning.scorer(model),
                               **trigger)
-    rows = inbox(decode.queue_rows(bus.orders(p)), *bus.flow())
+    if args.job == "rejects":
+        return jobs.rejects(bus, serving, checkpoint, p, **trigger)
+    # A timer keeps the plant going while the bus is quiet; it can't be read to an end.
+    ticks = None if args.once else (
+        spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        .select(F.col("timestamp").alias("event_time")))
+    rows = inbox(decode.queue_rows(bus.orders(p)), *bus.flow(), ticks=ticks)
     plant = Orchestrator(roster(spark, args.roster), served_metrics(spark, serving, p),
                          f"{args.work}/state/orchestrate", bus, serving, T.TimestampType(),
                          args.started, p)

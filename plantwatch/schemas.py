@@ -68,7 +68,15 @@ MEASUREMENTS = {
     "resource_manager_stats": ["total", "completed", "interrupted", "in_queue",
                                "pauses_expired", "emergency_returns", "repairs"],
     "task_queue": ["size"],
+    "interruptions": ["machine_id", "task_id", "progress", "outcome"],
+    "rejects": ["raw", "reason"],
 }
+# Columns of measurements that aren't text.
+MEASUREMENT_TYPES = (
+    dict.fromkeys([*MEASURES, "probabilite_panne", "valeur_actuelle", "valeur_normale",
+                   "pause_start_timestamp", "progress"], _D)
+    | dict.fromkeys([*MEASUREMENTS["resource_manager_stats"], "size"], _L)
+    | {"duration_minutes": _I})
 
 # Vocabularies.
 STATUSES = ["DISPONIBLE", "ASSIGNEE", "PAUSE", "ARRET", "IDLE"]

@@ -61,8 +61,8 @@ class Bus:
     def publish(self, df: DataFrame, name: str, epoch_id: int | None = None) -> None:
         """Append records (columns `value` and, optionally, `key`) to a topic.
 
-        Brokers get them at least once. In a file topic an epoch is one folder,
-        so a replayed epoch replaces its own records.
+        Brokers get them at least once. In a file topic an epoch is one folder, and
+        a replayed epoch whose folder is complete writes nothing.
         """
         if self.format == "kafka":
             (df.write.format("kafka").option("kafka.bootstrap.servers", self.location)
@@ -73,9 +73,14 @@ class Bus:
         out = df.select(df["value"].cast("binary").alias("value"))
         if epoch_id is None:
             out.write.format(self.format).mode("append").save(path)
-        else:
+        elif not self._published(f"{path}/epoch_id={epoch_id}"):
             out.write.format(self.format).mode("overwrite").save(f"{path}/epoch_id={epoch_id}")
 
+    def _published(self, folder: str) -> bool:
+        """Whether an epoch's folder was committed: a replay must not give its readers new files."""
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        return done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
+
     def publish_stream(self, df: DataFrame, name: str, checkpoint: str,
                        p: Params = DEFAULTS, **trigger) -> StreamingQuery:
         writer = (df.writeStream.option("checkpointLocation", checkpoint)

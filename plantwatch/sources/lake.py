@@ -67,8 +67,23 @@ def write_measurement(df: DataFrame, root: str, name: str, epoch_id: int) -> Non
      .partitionBy("event_date", "epoch_id").parquet(f"{root}/{name}"))
 
 
+def measurement_schema(name: str) -> T.StructType:
+    columns = [T.StructField(c, schemas.MEASUREMENT_TYPES.get(c, T.StringType()))
+               for c in schemas.MEASUREMENTS[name]]
+    return T.StructType([*columns, T.StructField("event_time", T.TimestampType()),
+                         T.StructField("ingest_time", T.TimestampType()),
+                         T.StructField("event_date", T.DateType()),
+                         T.StructField("epoch_id", T.LongType())])
+
+
 def read_measurement(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}")
+    """A measurement as written so far; one never written, or without rows, is empty."""
+    try:
+        return spark.read.parquet(f"{root}/{name}")
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], measurement_schema(name))
 
 
 def measurement_lookback(df: DataFrame, as_of, length: str) -> DataFrame:
@@ -101,8 +116,8 @@ class StateTable:
             return self.spark.createDataFrame([], self.schema)
         try:
             df = self.spark.read.schema(stored).parquet(self._slot(epoch_id - 1))
-        except AnalysisException:
-            return self.spark.createDataFrame([], self.schema)
+        except AnalysisException as error:
+            raise RuntimeError(f"{self.path} has no state of epoch {epoch_id - 1}") from error
         return df.where(F.col("_epoch") == epoch_id - 1).drop("_epoch")
 
     def after(self, epoch_id: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plantwatch import schemas
+from plantwatch.functions import decode
 from plantwatch.functions.values import rounded
 from plantwatch.operators import features, latest, ordered, rollups
 from plantwatch.params import DEFAULTS, Params
@@ -68,6 +69,17 @@ def energy(readings: DataFrame, serving: str, bus: Bus, checkpoint: str, p: Para
     return start(readings, checkpoint, epoch, p, **trigger)
 
 
+def rejects(bus: Bus, serving: str, checkpoint: str, p: Params = DEFAULTS,
+            **trigger) -> StreamingQuery:
+    """Raw records that no job takes; one without any time counts as of its epoch."""
+    rows = decode.rejects(bus.stream("orders"), bus.stream("ml_alerts"), bus.stream("maintenance"))
+
+    def epoch(batch: DataFrame, epoch_id: int):
+        timed = batch.withColumn("event_time", F.coalesce("event_time", F.current_timestamp()))
+        lake.write_measurement(timed, serving, "rejects", epoch_id)
+    return start(rows, checkpoint, epoch, p, **trigger)
+
+
 def predict(readings: DataFrame, serving: str, bus: Bus | None, checkpoint: str, score=None,
             p: Params = DEFAULTS, on_count=None, **trigger) -> StreamingQuery:
     """Failure probability per reading, by `score` or by rule; high ones also as alerts."""

@@ -236,3 +236,87 @@ def test_replayed_epoch_changes_nothing(spark):
     first = look()
     plant.epoch(rows, 0)
     assert look() == first and first[1] == 1 and first[2][0][0] == "a"
+
+
+INBOX = ("kind string, task_id string, product_name string, quantity long, duration_minutes int, "
+         "priority string, event_time timestamp, seq long, requeue_seq long, machine_id string, "
+         "source string, action string")
+
+
+def order(task, when, seq, minutes=5):
+    return ("order", task, "p", 1, minutes, "NORMALE", when, seq, None, None, None, None)
+
+
+def event(machine, when, seq, action, source="maintenance"):
+    return ("event", None, None, None, None, None, when, seq, None, machine, source, action)
+
+
+def tick(when):
+    return ("tick", None, None, None, None, None, when, None, None, None, None, None)
+
+
+@pytest.fixture()
+def plant(spark):
+    root = workdir(spark, "test-clock")
+    roster = spark.createDataFrame([("a", 0), ("b", 1)], "machine_id string, pos long")
+
+    def metrics_at(as_of):
+        return lake.read_measurement(spark, f"{root}/serving", "etat_machines")
+    p = Orchestrator(roster, metrics_at, f"{root}/state", Bus(spark, "parquet", f"{root}/bus"),
+                     f"{root}/serving", T.TimestampType(), at(0))
+    p.run = lambda n, *rows: p.epoch(spark.createDataFrame(list(rows), INBOX), n)
+    p.ids = lambda table, n: sorted(r[0] if table == "queue" else r[1]
+                                    for r in p.tables[table].after(n).collect())
+    return p
+
+
+def test_orders_without_a_time_keep_the_state(plant):
+    plant.run(0, order("t1", at(5), 1, 90), order("t2", at(5), 2, 90), order("t3", at(6), 3))
+    plant.run(1, order("t4", None, 4))
+    plant.run(2, order("t5", at(60), 5))
+    assert plant.ids("held", 2) == ["t1", "t2"] and plant.ids("queue", 2) == ["t3", "t4", "t5"]
+    assert plant.tables["counters"].after(2).first().total == 5
+
+
+def test_the_clock_never_runs_back(plant):
+    plant.run(0, event("a", at(600), 1, "FORCER_ARRET"), event("b", at(600), 2, "FORCER_ARRET"))
+    plant.run(1, order("t1", at(5), 3))
+    assert plant.ids("held", 1) == [] and plant.ids("queue", 1) == ["t1"]
+    plant.run(2, event("b", at(700), 4, "REPARER"))
+    assert plant.ids("held", 2) == ["t1"]
+
+
+def test_ticks_drive_a_quiet_plant(plant):
+    plant.run(0, order("t1", at(5), 1), order("t2", at(5), 2), order("t3", at(5), 3), tick(at(10)))
+    assert plant.ids("queue", 0) == ["t3"]
+    plant.run(1, tick(at(400)))
+    assert plant.ids("held", 1) == ["t3"]
+    # a time from the future moves nothing, and its alert holds at once
+    plant.run(2, tick(at(410)), event("a", at(99_999), 4, "FORCER_ARRET"), order("t4", at(88_888), 5))
+    assert plant.ids("held", 2) in (["t3"], ["t4"], ["t3", "t4"])
+    assert plant.clock.after(2).first()[0] == at(410)
+    statuses = {r.machine_id: r.statut for r in lake.read_measurement(
+        plant.roster.sparkSession, plant.serving, "statut_machines").where("epoch_id = 2").collect()}
+    assert statuses["a"] == "ARRET"
+
+
+def test_an_order_that_comes_twice_is_one_task(plant):
+    plant.run(0, order("t1", at(5), 1), order("t1", at(6), 2))
+    plant.run(1, order("t1", at(7), 3))
+    assert plant.ids("held", 1) == ["t1"] and plant.ids("queue", 1) == []
+    assert plant.tables["counters"].after(1).first().total == 1
+
+
+def test_a_missing_state_is_an_error(plant):
+    with pytest.raises(RuntimeError, match="no state of epoch 6"):
+        plant.run(7, order("t1", at(5), 1))
+
+
+def test_interruptions_and_commands_are_kept(plant):
+    plant.run(0, order("t1", at(5), 1, 60))
+    plant.run(1, event("a", at(65), 2, "FORCER_ARRET"))
+    spark = plant.roster.sparkSession
+    row = lake.read_measurement(spark, plant.serving, "interruptions").first()
+    assert (row.machine_id, row.task_id, row.outcome) == ("a", "t1", "REQUEUED")
+    assert [r.value for r in plant.bus.table("commands").collect()] == [
+        b'{"machine_id":"a","action":"ARRETER"}']

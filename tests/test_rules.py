@@ -165,3 +165,27 @@ def test_alert_rate_of_nothing(spark):
 def test_nan_does_not_fail_rounding(spark):
     got = values_of(spark, [(NAN,)], "x double", values.rounded("x", 2))
     assert got == [None] or math.isnan(got[0])
+
+
+def test_poison_numbers_do_not_end_a_batch(spark):
+    texts = ['{"task_id":"a","quantity":"1e30","duration":3000000000}', '{"task_id":"b","quantity":"NaN","qty":"7"}',
+             '{"task_id":"c","quantite":"-Infinity","duration_minutes":"x"}', '{"task_id":"d","quantity":12.9}']
+    rows = decode.orders(spark.createDataFrame([(t.encode(),) for t in texts], "value binary")).collect()
+    assert [(r.task_id, r.quantity, r.duration_minutes) for r in rows] == [
+        ("a", 0, DEFAULTS.default_duration), ("b", 7, DEFAULTS.default_duration),
+        ("c", 0, DEFAULTS.default_duration), ("d", 12, DEFAULTS.default_duration)]
+    assert values_of(spark, [(1e19,), (0.125,), (None,), (NAN,), (-2e30,)], "v double",
+                     values.rounded("v", 2)) == [1e19, 0.13, None, None, -2e30]
+    assert values_of(spark, [(2 ** 62,), (None,), (-2 ** 62,)], "q long", rules.task_minutes("q")) == [
+        2 ** 31 - 1, 1, 1]
+
+
+def test_rejects_keep_the_raw_record(spark):
+    def topic(*texts):
+        return spark.createDataFrame([(t.encode(),) for t in texts], "value binary")
+    got = decode.rejects(topic('{"id":"x"}', '{"qty":1}', "broken"), topic('{"machine_id":"m","action":"PAUSE"}', '{"action":"PAUSE"}'),
+                         topic('{"machine_id":"m","action":"DANSER","timestamp":"2024-01-01T00:00:00Z"}'))
+    assert sorted((r.raw, r.reason) for r in got.collect()) == [
+        ("broken", "order without id"), ('{"action":"PAUSE"}', "event without machine"),
+        ('{"machine_id":"m","action":"DANSER","timestamp":"2024-01-01T00:00:00Z"}', "unknown action"),
+        ('{"qty":1}', "order without id")]

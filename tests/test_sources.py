@@ -102,7 +102,9 @@ def test_measurement_replay(spark, root, tables):
 def test_state_table(spark, root):
     schema = spark.range(1).schema
     t = lake.StateTable(spark, root, schema)
-    assert t.before(0).count() == 0 and t.before(5).count() == 0
+    assert t.before(0).count() == 0
+    with pytest.raises(RuntimeError, match="no state of epoch 4"):
+        t.before(5)
     for epoch in range(4):
         n = t.before(epoch).count()
         t.save(spark.range(n + 1), epoch)
@@ -158,3 +160,30 @@ def test_running_jobs(spark, root, bus, tables):
     assert bus.table("ml_alerts").count() == alerts
     high = rollups.predictions(readings).where("probabilite_panne > 0.7").count()
     assert bus.table("failure_alerts").count() == high
+
+
+def test_absent_measurements_are_empty(spark, root):
+    assert lake.read_measurement(spark, root, "etat_machines").count() == 0
+    empty = spark.createDataFrame([], "machine_id string, probabilite_panne double, event_time timestamp")
+    lake.write_measurement(empty, root, "predictions", 0)
+    rows = lake.read_measurement(spark, root, "predictions")
+    assert rows.count() == 0 and {"event_date", "epoch_id", "probabilite_panne"} <= set(rows.columns)
+
+
+def test_a_published_epoch_is_not_written_again(spark, bus, root):
+    record = spark.createDataFrame([(b"x",)], "value binary")
+    for _ in range(2):
+        bus.publish(record, "commands", 3)
+    files = bus.table("commands").inputFiles()
+    bus.publish(record, "commands", 3)
+    assert bus.table("commands").inputFiles() == files and bus.table("commands").count() == 1
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from plantwatch import session
+    conf = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", applicationId="x"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(far)
