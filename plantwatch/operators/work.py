@@ -13,8 +13,8 @@ from plantwatch.params import DEFAULTS, Params
 TASK = ["task_id", "product_name", "quantity", "duration_minutes", "priority"]
 
 
-def queue_ranks(queue: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Order in which tasks leave the queue.
+def queue_ranks(queue: DataFrame, p: Params = DEFAULTS, first: int | None = None) -> DataFrame:
+    """Order in which tasks leave the queue; with `first`, of as many tasks at its head.
 
     Urgent tasks first; among equals, tasks put back at the head (the latest one
     put back leads) and then by arrival.
@@ -27,8 +27,10 @@ def queue_ranks(queue: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     # Urgency and head place first as one number, so that slicing sees arrival next.
     keyed = keyed.withColumn("_lane", F.when(F.col("_back") < 1, F.col("_back") - 1).otherwise(0))
     lane = F.col("_urgent").cast("double") * 1e15 + F.col("_lane")
-    ranked = rank_rows(keyed.withColumn("_lane", lane), ["_lane", "_at", "seq", "task_id"],
-                       "rank", p=p)
+    keyed, order = keyed.withColumn("_lane", lane), ["_lane", "_at", "seq", "task_id"]
+    if first is not None and first <= p.max_top:
+        keyed = keyed.orderBy(*order).limit(first)
+    ranked = rank_rows(keyed, order, "rank", p=p)
     return ranked.drop("_urgent", "_back", "_at", "_lane")
 
 
@@ -42,9 +44,10 @@ def assign(queue: DataFrame, scored: DataFrame, p: Params = DEFAULTS) -> DataFra
     """Best machine takes the first task, the next best the second, and so on.
 
     A score depends on neither the task nor earlier picks, so the loop of picks
-    is a join on rank. Both sides are ranked in parallel and meet one to one.
+    is a join on rank. Both sides meet one to one, and of the queue only as many
+    tasks as there are machines are ranked.
     """
-    tasks = queue_ranks(queue, p).select("rank", *TASK)
+    tasks = queue_ranks(queue, p, scored.count()).select("rank", *TASK)
     machines = machine_ranks(scored, p).select("rank", "machine_id", "score", "wake")
     return tasks.join(machines, "rank")
 
@@ -140,7 +143,7 @@ def requeued(cut_short: DataFrame) -> DataFrame:
     return cut_short.where(F.col("outcome") == "REQUEUED").select(
         "task_id", "product_name", "quantity", "duration_minutes",
         F.lit("HAUTE").alias("priority"), "event_time", "seq",
-        F.col("seq").alias("requeue_seq"))
+        micros("event_time").alias("requeue_seq"))
 
 
 def queue_with_requeued(orders: DataFrame, cut_short: DataFrame) -> DataFrame:

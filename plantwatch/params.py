@@ -51,6 +51,7 @@ class Params:
     rows_per_slice: int = 2_000_000
     max_slices: int = 50_000
     max_listed_keys: int = 10_000
+    max_top: int = 100_000  # rows of a head that one task may sort
 
     def but(self, **changes) -> "Params":
         return replace(self, **changes)

@@ -30,7 +30,7 @@ def _finish(stream):
 @query("q40_stream_energy", ENERGY_SQL)
 def q40(spark, sf_dir):
     t, root = Tables(spark, sf_dir), workdir(spark, "energy")
-    readings = t.readings(t.stream("events"))
+    readings = t.readings(t.replayed("events", "ts"))
     bus = Bus(spark, "parquet", f"{root}/bus")
     _finish(jobs.energy(readings, f"{root}/serving", bus, f"{root}/checkpoint", availableNow=True))
     return lake.read_measurement(spark, f"{root}/serving", "anomalies_energie").select(
@@ -40,7 +40,7 @@ def q40(spark, sf_dir):
 @query("q41_stream_features", with_views(FEATURE_SQL, "readings"))
 def q41(spark, sf_dir):
     t, root = Tables(spark, sf_dir), workdir(spark, "features")
-    readings = t.readings(t.stream("events"))
+    readings = t.readings(t.replayed("events", "ts"))
     state = jobs.FeatureState(spark, f"{root}/state", readings.select(*jobs.KEPT).schema)
 
     def write(rows, epoch_id):
@@ -89,7 +89,7 @@ SELECT machine_id, etat, charge_travail, consommation_electrique, vibration, tem
        event_time FROM readings""", "readings"))
 def q43b(spark, sf_dir):
     t, root = Tables(spark, sf_dir), workdir(spark, "archive-stream")
-    readings = t.readings(t.stream("events"))
+    readings = t.readings(t.replayed("events", "ts"))
     contract = (readings.withColumn("timestamp", F.col("event_time").cast("string"))
                 .withColumn("event_time", F.col("event_time").cast("timestamp"))
                 .withColumns({"year": F.year("event_time"), "month": F.month("event_time"),
@@ -111,7 +111,7 @@ WHERE window_start + INTERVAL 1 HOUR
 def q46(spark, sf_dir):
     """Hourly means in append mode: windows that the watermark has closed."""
     t, root = Tables(spark, sf_dir), workdir(spark, "hourly")
-    means = jobs.rolling_mean(t.readings(t.stream("events")), "temperature", "1 hour")
+    means = jobs.rolling_mean(t.readings(t.replayed("events", "ts")), "temperature", "1 hour")
     _finish(means.writeStream.format("parquet").option("path", f"{root}/out")
             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     return spark.read.schema(means.schema).parquet(f"{root}/out").select(

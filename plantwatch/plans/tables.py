@@ -13,7 +13,7 @@ from plantwatch import schemas
 from plantwatch.functions import rules
 from plantwatch.functions.times import iso
 from plantwatch.params import Params
-from plantwatch.session import prepare
+from plantwatch.session import prepare, workdir
 
 AS_OF = "2024-01-31 00:00:00"
 RUN_START = "2024-01-01 00:00:00"
@@ -42,6 +42,22 @@ class Tables:
         return (self.spark.readStream.schema(schema)
                 .option("pathGlobFilter", f"{name}.parquet").parquet(self.dir))
 
+    def replayed(self, name: str, time: str, epochs: int = 6) -> DataFrame:
+        """A table as a stream of several epochs: its rows, cut by time and written one cut
+        after the other, are read as many files per epoch as a cut has."""
+        rows, path = self.raw(name), workdir(self.spark, f"replay-{name}")
+        low, high = rows.agg(F.min(time), F.max(time)).first()
+        edges = [low + (high - low) * k / epochs for k in range(1, epochs)] if low else []
+        # A row belongs to the first cut whose edge lies after it; the last has no edge.
+        kind, cut = rows.schema[time].dataType, F.lit(len(edges))
+        for k, edge in reversed(list(enumerate(edges))):
+            cut = F.when(F.col(time) < F.lit(edge).cast(kind), k).otherwise(cut)
+        for k in range(len(edges) + 1):
+            rows.where(cut == k).write.mode("append").parquet(path)
+        files = len(self.spark.read.schema(rows.schema).parquet(path).inputFiles())
+        return (self.spark.readStream.schema(rows.schema)
+                .option("maxFilesPerTrigger", max(1, files // epochs)).parquet(path))
+
     # -- from events -----------------------------------------------------------
     def readings(self, events: DataFrame | None = None) -> DataFrame:
         e = self.raw("events") if events is None else events
