@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from plantwatch.llm import jaccard, lines, mix, toxicity
+from plantwatch.llm import hashes, jaccard, lines, mix, toxicity
 from plantwatch.llm.components import components
 from plantwatch.llm.rows import words
 
@@ -258,11 +258,31 @@ def test_edit_distance():
         assert lines.distance(a, b) == plain_distance(a, b)
 
 
+def plain_word_hash(word):
+    """The definition of hashes.word_hashes, on whole numbers."""
+    m = hashes.mixed(np.array([5], dtype=np.uint64), 3)[0] | np.uint64(1)
+    total = sum(int(hashes.VALUES[b]) * pow(int(m), i, 2 ** 64) for i, b in enumerate(word)) + len(word)
+    return int(hashes.mixed(np.array([total % 2 ** 64], dtype=np.uint64), 5)[0])
+
+
+def test_word_hashes():
+    rng = random.Random(6)
+    ws = [bytes(rng.choice(b"abz09\xc3\xa9") for _ in range(rng.choice([1, 5, 63, 64, 65, 900]))) for _ in range(80)]
+    got, starts = hashes.word_hashes(b"  " + b" \n".join(ws) + b" ")
+    assert got.tolist() == [plain_word_hash(w) for w in ws] and len(set(starts)) == len(ws)
+    assert hashes.word_hashes(b" \n ")[0].tolist() == [] and hashes.word_hashes(b"")[0].tolist() == []
+    size = np.array([3, 1, 76])
+    one = hashes.sequence_hashes(got, size)
+    two = hashes.sequence_hashes(got[4:], np.array([76]))
+    assert [x[2] for x in one] == [x[0] for x in two] and one[0][0] != one[1][0]
+    swapped = hashes.sequence_hashes(got[[1, 0, 2]], np.array([3]))
+    assert swapped[0][0] != one[0][0] and swapped[1][0] != one[1][0]
+
+
 def plain_simhash(ws):
-    import xxhash
     sums = [0] * 64
     for k, w in enumerate(ws):
-        h = xxhash.xxh3_64_intdigest(w)
+        h = plain_word_hash(w)
         for b in range(64):
             sums[b] += (3 if k == 0 else 2) * (1 if h >> b & 1 else -1)
     return sum(1 << b for b in range(64) if sums[b] > 0)
@@ -330,6 +350,13 @@ def test_blocks_find_every_pair_within_the_bits():
     assert len(lines.masks(10)) == 4 and len(lines.masks(10 ** 8)) == 10
 
 
+def test_simhashes_of_long_lines():
+    rng = random.Random(2)
+    ls = [[f"w{rng.randint(0, 5000)}".encode() for _ in range(rng.choice([1, 2, 3, 40, 254, 255, 256, 600]))] for _ in range(150)]
+    one = np.concatenate([hashes.word_hashes(b" ".join(ws))[0] for ws in ls])
+    assert lines.simhashes(one, np.array([len(ws) for ws in ls])).tolist() == [plain_simhash(ws) for ws in ls]
+
+
 def test_lines_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lines.dedup_lines(none).count() == 0
