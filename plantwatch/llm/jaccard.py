@@ -42,6 +42,7 @@ BRANCH, RUNS, LEVELS = 5, 3, 3
 BUCKET = 64
 BLOCK_SETS, BLOCK_ITEMS = 1024, 2_000_000
 RESEMBLE = 0.4       # mean overlap from which a large bucket is compared instead of split
+PROBE = 128          # sets of a large bucket that tell whether it is split
 FEWEST = 0.35        # share of the expected common draws below which a pair isn't compared
 
 
@@ -112,16 +113,20 @@ def buckets(classes: DataFrame) -> DataFrame:
         if level + 1 == LEVELS or large.isEmpty():
             leaves.append(met.select("id", "path"))
             break
-        further = (large.join(classes.select("id", "keys"), "id")
-                   .select("path", "c", "id", "run", F.explode(F.get("keys", F.col("run") * LEVELS + level + 1)).alias("key")))
-        further = stored(further, "split")
-        alike = (further.groupBy("path", "c", "key").agg(F.count("*").alias("k"))
-                 .groupBy("path", "c").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("pairs"), F.sum("k").alias("all"))
-                 .where(F.col("pairs") >= RESEMBLE * (F.col("c") - 1) * F.col("all")).select("path"))
+        def split(rows):
+            return (rows.join(classes.select("id", "keys"), "id")
+                    .select("path", "id", "run", F.explode(F.get("keys", F.col("run") * LEVELS + level + 1)).alias("key")))
+        # About PROBE sets of each bucket tell whether its sets resemble one another; the result is the same.
+        probe = stored(large.where(F.pmod(F.xxhash64("id", "path"), F.col("c")) < PROBE), "probe")
+        chosen = probe.groupBy("path").agg(F.count("*").alias("s"))
+        alike = (split(probe).groupBy("path", "key").agg(F.count("*").alias("k"))
+                 .groupBy("path").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("pairs"), F.sum("k").alias("all"))
+                 .join(chosen, "path").where(F.col("pairs") >= RESEMBLE * (F.col("s") - 1) * F.col("all")).select("path"))
         alike = stored(alike, "alike")
         leaves += [met.where(F.col("c") <= BUCKET).select("id", "path"),
                    large.join(alike, "path", "left_semi").select("id", "path")]
-        now = further.join(alike, "path", "left_anti").select("id", "run", F.xxhash64("path", "key").alias("path"))
+        now = stored(split(large.join(alike, "path", "left_anti"))
+                     .select("id", "run", F.xxhash64("path", "key").alias("path")), "split")
     every = leaves[0]
     for x in leaves[1:]:
         every = every.union(x)

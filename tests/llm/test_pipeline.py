@@ -94,8 +94,8 @@ def test_stages_take_odd_tables(spark, sf):
         assert {r.spans for r in rows} <= {r.spans for r in docs.collect()} and all(r.score == 0.5 and r.predicted == 7 for r in rows)
         if name in ("toxicity", "decontamination"):
             assert len(rows) == docs.count()
-        if name == "line dedup":  # rows that repeat id and text count once
-            assert len(rows) == len({(r.doc_id, r.text) for r in docs.collect()})
+        if name == "line dedup":  # rows that repeat id and text count once; two texts lose their only line
+            assert len(rows) == len({(r.doc_id, r.text) for r in docs.collect()}) - 2
         if name == "near duplicates":
             assert [r.text for r in rows].count(None) == 4 and sum("few" in (r.text or "") for r in rows) == 1
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
