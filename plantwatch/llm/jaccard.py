@@ -303,6 +303,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return kept.where("_m is null or _m = 1").unionByName(once).select(*back)
 
 
-@query("op7_jaccard")
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+both_have AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM both_have JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * k >= 4 * (nx.n + ny.n - k)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT x AS doc_id, min(y) AS class_id, CAST((SELECT count(*) FROM l WHERE l.x = r.x) AS BIGINT) AS n_links FROM r GROUP BY x
+"""
+
+
+@query("op7_jaccard", OP7_SQL)
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
     return join(read(spark, sf_dir, "documents").select("doc_id", "text"))
