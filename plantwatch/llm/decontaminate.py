@@ -5,7 +5,7 @@ block of items. Documents stream through it word by word. The longest match that
 ends at a word tells whether a window (13 item words, or a whole shorter item)
 ends there, and the automaton's state tells which items hold it. Nothing is
 shuffled: each block's automaton is broadcast (its size is bounded by
-`block_words`) and documents pass all blocks in turn.
+`block_words`) and documents pass all blocks in turn, stored after every `PASSES`.
 
 Defined cases: null and empty texts have no words, no hits and are clean. Items
 without words never match. Repeated items count once per item_id; an item whose
@@ -28,6 +28,7 @@ from plantwatch.session import stored
 WINDOW = 13
 COVERAGE = 20  # a document with at least 1 hit word in 20 is contaminated
 BLOCK_WORDS = 50_000
+PASSES = 4      # blocks that documents pass before they are stored
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -199,7 +200,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     empty = (F.lit(None).cast(SPAN), F.lit(None).cast("array<string>"), F.lit(0).cast("long"))
     held = docs.select(*without(docs, FOUND.names))
     inputs = list(empty)
-    for automaton in blocks(items, window, block_words):
+    for k, automaton in enumerate(blocks(items, window, block_words)):
+        if k and k % PASSES == 0:  # keeps plans short and few Python steps in a task
+            held = stored(held, "decontaminate")
         def run(text, spans, found, longest, automaton=automaton):
             out: list[list] = [[] for _ in FOUND.names]
             for t, s, f, far in zip(text, spans, found, longest):
