@@ -168,7 +168,7 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
         rows = np.array(columns, dtype=np.int64).T
         return [forest().score(features(rows)).tolist() if len(rows) and forest() else [0.0] * len(rows)]
     scored = append(stats, [F.col(n) for n in STATS.names],
-                    T.StructType([T.StructField("anomaly", T.DoubleType())]), score)
+                    T.StructType([T.StructField("anomaly", T.DoubleType())]), score, rows=1 << 14)
     scored = scored.withColumn("base_failed", (F.col("n_words") < 10) |
                                (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
     cut = threshold(scored.where(~F.col("base_failed")), labels)

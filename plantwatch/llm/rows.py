@@ -13,6 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128
                    else 32 for b in range(256))
 BROADCAST_BYTES = 32 << 20
+ROWS = 256         # rows of an Arrow batch that are Python objects at once
+BATCH_ROWS = 1000  # rows of an Arrow batch: texts can be long, and both sides hold whole batches
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -42,13 +45,19 @@ def hidden(df: DataFrame, needed) -> tuple[DataFrame, list[Column]]:
     return df.select(*[col(c).alias(n) for c, n in names.items()]), [col(n).alias(c) for c, n in names.items()]
 
 
-def append(df: DataFrame, inputs: list[Column], fields: T.StructType, fn, keep: list[str] | None = None) -> DataFrame:
+def append(df: DataFrame, inputs: list[Column], fields: T.StructType, fn, keep: list[str] | None = None,
+           rows: int = ROWS) -> DataFrame:
     """`df` with new columns made by `fn`, in one narrow pass.
 
-    fn gets one Python list per input for each Arrow batch and returns one list
-    per new field. Input columns named like a new field are replaced; the
-    columns in `keep` (default: all) go through untouched.
+    fn gets one Python list per input for every `rows` rows and returns one list
+    per new field, so that a worker holds few texts as Python objects; the
+    session's Arrow batches are cut to `BATCH_ROWS` if they are larger. Input
+    columns named like a new field are replaced; the columns in `keep` (default:
+    all) go through untouched.
     """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
     kept = [c for c in (df.columns if keep is None else keep) if c in without(df, fields.names)]
     source = df.select(*[col(c).alias(f"k{i}") for i, c in enumerate(kept)],
                        *[c.alias(f"i{i}") for i, c in enumerate(inputs)])
@@ -57,12 +66,14 @@ def append(df: DataFrame, inputs: list[Column], fields: T.StructType, fn, keep:
     n = len(kept)
 
     def run(batches):
-        for batch in batches:
-            new = fn(*[batch.column(n + i).to_pylist() for i in range(batch.num_columns - n)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(n)] +
-                [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(new, made)],
-                names=[f"k{i}" for i in range(n)] + made.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                new = fn(*[batch.column(n + i).to_pylist() for i in range(batch.num_columns - n)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i) for i in range(n)] +
+                    [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(new, made)],
+                    names=[f"k{i}" for i in range(n)] + made.names)
 
     done = source.mapInArrow(run, out)
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *fields.names)

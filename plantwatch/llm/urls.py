@@ -148,7 +148,7 @@ def filter_urls(pages: DataFrame, base=BASE, globs=GLOBS, default: str = "allow"
     host, path, tail = parts(col(url))
     source = pages.select(*[col(c) for c in kept], host.alias("host"), path.alias("path"), tail.alias("_tail"))
     canonical = F.concat(F.lit("."), "host", "path", "_tail").cast("binary")
-    return append(source, [canonical], JUDGED, run, [*kept, "host", "path"])
+    return append(source, [canonical], JUDGED, run, [*kept, "host", "path"], rows=1 << 12)
 
 
 OP6_SQL = r"""
