@@ -1,13 +1,19 @@
-"""8. Fuzzy line deduplication with SimHash blocks.
+"""8. Fuzzy line deduplication: blocks of words, edit similarity, connected groups.
 
 Lines are normalised to lower-case words; equal lines are counted first, so a
-line that millions of documents share is one row. Every distinct line gets a
-64-bit SimHash of its words. Two lines whose hashes differ in at most `BITS` bits
-agree on some of the blocks that the hash is cut into, so joining on blocks finds
-every such pair (pigeonhole); how many blocks there are follows the number of
-lines and changes the cost, not the result. Pairs must then reach the edit
-similarity `SIMILAR` (over words, 1 - distance / longer length). Connected lines
-form a group, and the group's first occurrence stays: smallest doc_id, then place.
+line that millions of documents share is one row. Distinct lines are near-equal
+if they reach the edit similarity `SIMILAR` (over words, 1 - distance / longer
+length). One edit changes at most `q` of a line's runs of `q` words, so of all runs
+in any fixed order, the first few of two such lines (`blocks`) must have one in
+common (pigeonhole): joining on those finds every such pair. The order puts runs
+that a part of the documents shows to be common last, which changes the cost, not
+the result. Of the pairs met, those whose lengths or parities of hashed words
+(`parities`) differ by more than the edits allow can't be near-equal; the others
+are compared. Connected lines form a group, and the group's first occurrence
+stays: smallest doc_id, then place.
+
+SimHash (`simhashes`, `masks`) doesn't choose pairs: one changed word moves the
+hash of a short line by more than `BITS` bits, so most near-equal lines were lost.
 
 No pairs are written: a task compares one bucket, or two blocks of a large one,
 marks the lines that have a partner, and after their texts have come returns one
@@ -20,6 +26,7 @@ row stays; null ids are allowed; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -29,8 +36,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from plantwatch.llm.catalog import query
 from plantwatch.llm.components import components
-from plantwatch.llm.hashes import sequence_hashes, slices, word_hashes
-from plantwatch.llm.rows import WORD_BYTES, append, col, hidden, raw, read, small, without, words
+from plantwatch.llm.hashes import mixed, sequence_hashes, slices, word_hashes
+from plantwatch.llm.rows import WORD_BYTES, append, col, hidden, raw, read, shared, small, without, words
 from plantwatch.session import stored
 
 MIN_WORDS = 3
@@ -39,6 +46,8 @@ SIMILAR = 0.9
 FULL = 256       # mean lines per bucket from which the hash is cut into more blocks
 BLOCK = 1024     # lines of a bucket compared by one task
 PROBE = 8        # share of lines (one in so many) that large buckets are looked for in
+SAMPLE = 64      # share of documents (one in so many) that common runs of words are looked for in
+COMMON = 1 << 16  # common runs that are known at most
 LINE_BYTES = WORD_BYTES[:10] + b"\n" + WORD_BYTES[11:]
 
 
@@ -62,8 +71,52 @@ def simhashes(one: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.packbits(4 * total + 2 * lead > 2 * size[:, None] + 1, axis=1).view(np.uint64).ravel()
 
 
-def line_hashes(texts: list[bytes | None], min_words: int):
-    """Of every line with enough words: number of its text, its place, key (two longs) and SimHash."""
+def run_length(least: float) -> int:
+    """Words per run: two, if lines of similarity `least` always share such a run."""
+    return 2 if 4 * (1 - least) <= 1 + 1e-9 else 1
+
+
+@lru_cache(1 << 16)
+def block_count(n: int, least: float) -> int:
+    """How many first runs of a line of n words must be looked at; none if no other line can be near-equal."""
+    q, top = run_length(least), int(n / least + 1e-6)
+    edits = [int((1 - least) * m + 1e-9) for m in range(n, top + 1)]
+    return max(n - m + q * e + 1 for m, e in zip(range(n, top + 1), edits)) if edits[-1] else 0
+
+
+def run_values(one: np.ndarray, size: np.ndarray, least: float):
+    """Number of its line and a hash of 48 bits, for every run of words of lines that can have near-equal ones."""
+    want = np.array([block_count(n, least) for n in size.tolist()], dtype=np.int64)
+    line = np.repeat(np.arange(len(size)), size)
+    ok = want[line] > 0
+    if run_length(least) == 2:
+        ok[np.cumsum(size) - 1] = False
+        one = mixed(one, 10) + np.append(one[1:], one[:1])
+    return line[ok], mixed(one[ok], 11) >> np.uint64(16), want
+
+
+def blocks(one: np.ndarray, size: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]):
+    """Per line the number of its blocks, and all blocks (hashes of 32 bits)."""
+    line, value, want = run_values(one, size, least)
+    known, count = common
+    if len(known) and len(value):
+        at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+        value = value | np.where(known[at] == value, count[at], 0).astype(np.uint64) << np.uint64(48)
+    order = np.lexsort((value, line))
+    line, value = line[order], value[order]
+    begin = np.searchsorted(line, np.arange(len(size)))
+    keep = np.arange(len(line)) - begin[line] < want[line]
+    keep[1:] &= (line[1:] != line[:-1]) | (value[1:] != value[:-1])
+    return np.bincount(line[keep], minlength=len(size)), (mixed(value[keep], 12) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def parities(one: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 parities of each line's words, dealt by hash: one edit changes at most two."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (one & np.uint64(63)), np.cumsum(size) - size)
+
+
+def line_words(texts: list[bytes | None], min_words: int):
+    """Of every line with enough words: number of its text, its place, number of words; and all word hashes."""
     counts = np.array([0 if t is None else t.count(b"\n") + 1 for t in texts], dtype=np.int64)
     text = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -73,25 +126,54 @@ def line_hashes(texts: list[bytes | None], min_words: int):
     line = np.searchsorted(ends, starts)
     size = np.bincount(line, minlength=len(text))
     kept = size >= max(1, min_words)
-    one, size = one[kept[line]], size[kept]
+    return text[kept], place[kept], size[kept], one[kept[line]]
+
+
+def line_hashes(texts: list[bytes | None], min_words: int, least: float, common):
+    """Of every line with enough words: number of its text, its place, key (two longs), number of words,
+    parities and number of blocks; and all blocks."""
+    text, place, size, one = line_words(texts, min_words)
     if not len(size):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none
+        return none, none, none, none, none, none, none, none.astype(np.int32)
     keys = [k.view(np.int64) for k in sequence_hashes(one, size)]
-    return text[kept], place[kept], *keys, simhashes(one, size).view(np.int64)
+    return text, place, *keys, size, parities(one, size).view(np.int64), *blocks(one, size, least, common)
+
 
+LINE = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("k1", T.LongType()),
+                                 T.StructField("k2", T.LongType()), T.StructField("n", T.IntegerType()),
+                                 T.StructField("odd", T.LongType()), T.StructField("blocks", T.ArrayType(T.IntegerType()))]))
 
-LINE = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType())] +
-                                [T.StructField(n, T.LongType()) for n in ("k1", "k2", "sim")]))
 
+def common_runs(docs: DataFrame, min_words: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of words that a part of the documents has more than once, sorted, and their counts."""
+    part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select(raw("text").alias("t"))
 
-def hashed(docs: DataFrame, min_words: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for texts in slices(batch.column(0).to_pylist()):
+                _, _, size, one = line_words(texts, min_words)
+                if len(size):
+                    value, count = np.unique(run_values(one, size, least)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(count)], names=["v", "c"])
+    found = (part.mapInArrow(run, "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).where("c > 1")
+             .orderBy(F.desc("c"), "v").limit(COMMON).collect())
+    pairs = np.array(sorted((r.v, min(r.c, (1 << 16) - 1)) for r in found), dtype=np.uint64).reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
+def hashed(docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """(doc_id, digest, lines) for every row."""
+    common = shared(docs.sparkSession, common_runs(docs, min_words, similarity))
+
     def run(texts):
-        parts = [line_hashes(part, min_words) for part in slices(texts)]
-        size = np.concatenate([[0], *(np.bincount(p[0], minlength=n) for p, n in zip(parts, map(len, slices(texts))))])
-        pos, *rest = (np.concatenate(c) for c in list(zip(*parts))[1:])
-        each = pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), *map(pa.array, rest)],
+        groups = slices(texts)
+        parts = [line_hashes(part, min_words, similarity, common()) for part in groups]
+        size = np.concatenate([[0], *(np.bincount(p[0], minlength=n) for p, n in zip(parts, map(len, groups)))])
+        pos, k1, k2, n, odd, many, block = (np.concatenate(c) for c in list(zip(*parts))[1:])
+        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(block))
+        each = pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), pa.array(k1), pa.array(k2),
+                                           pa.array(n.astype(np.int32)), pa.array(odd), inner],
                                           fields=list(to_arrow_type(LINE).value_type))
         return [pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), each)]
     source = docs.withColumn("digest", F.xxhash64("text"))
@@ -108,10 +190,6 @@ def masks(lines: int, bits: int = BITS) -> list[int]:
     return [sum(block[i] for i in pick) for pick in combinations(range(cuts), cuts - bits)]
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 PLACE = ["key", "low", "high"]
 
 
@@ -135,11 +213,14 @@ def runs(batches, columns: list[str]):
         yield held, np.append(edges(held), len(held[0]))
 
 
-def close(sim: np.ndarray, block: np.ndarray, within: bool, bits: int):
-    """Pairs (i, j), i < j, of one place whose hashes are within `bits`; in slices, as places can be large."""
-    step = max(1, (1 << 20) // len(sim))
-    for at in range(0, len(sim), step):
-        near = np.bitwise_count(sim[at:at + step, None] ^ sim[None, at:]) <= bits
+def close(odd: np.ndarray, n: np.ndarray, block: np.ndarray, within: bool, least: float):
+    """Pairs (i, j), i < j, of one place whose lengths and parities allow the similarity; in slices, as places can be large."""
+    most = ((1 - least) * n + 1e-9).astype(np.int32)
+    step = max(1, (1 << 20) // len(odd))
+    for at in range(0, len(odd), step):
+        edits = np.maximum(most[at:at + step, None], most[None, at:])
+        near = np.abs(n[at:at + step, None] - n[None, at:]) <= edits
+        near &= np.bitwise_count(odd[at:at + step, None] ^ odd[None, at:]) <= 2 * edits
         i, j = np.nonzero(near)
         keep = j > i
         if not within:
@@ -148,22 +229,24 @@ def close(sim: np.ndarray, block: np.ndarray, within: bool, bits: int):
             yield at + i[keep], at + j[keep]
 
 
-def partners(shared_bits: list[int], bits: int = BITS):
-    """Task that marks, in rows sorted by place, those with a partner that no earlier table finds."""
+def partners(least: float):
+    """Task that marks, in rows sorted by place, those with a possible partner. Undivided places are named
+    by the lines marked in them, so that lines that meet in several places can be compared once."""
     def run(batches):
-        for (key, low, high, block, table, sim, ids), at in runs(batches, [*PLACE, "block", "table", "sim", "id"]):
-            sim = sim.astype(np.int64).view(np.uint64)
+        for (key, low, high, block, many, n, odd, ids), at in runs(batches, [*PLACE, "block", "many", "n", "odd", "id"]):
+            odd, key = odd.astype(np.int64).view(np.uint64), key.astype(np.int64)
             hit = np.zeros(len(key), dtype=bool)
             for a, b in zip(at[:-1], at[1:]):
                 if b - a < 2:
                     continue
-                for i, j in close(sim[a:b], block[a:b], low[a] == high[a], bits):
-                    d, ok = sim[a + i] ^ sim[a + j], np.ones(len(i), dtype=bool)
-                    for k in range(table[a]):
-                        ok &= d & np.uint64(shared_bits[k]) != 0
-                    hit[a + i[ok]] = hit[a + j[ok]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, low, high, block, ids, sim.view(np.int64))],
-                                             names=[*PLACE, "block", "id", "sim"])
+                for i, j in close(odd[a:b], n[a:b], block[a:b], low[a] == high[a], least):
+                    hit[a + i] = hit[a + j] = True
+                if many[a] == 1 and hit[a:b].any():
+                    names = mixed(np.unique(ids[a:b][hit[a:b]]).astype(np.int64).view(np.uint64), 13)
+                    # negative, as the places of divided buckets are not
+                    key[a:b] = np.bitwise_xor.reduce(names).view(np.int64) | np.int64(-1 << 63)
+            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, low, high, block, ids, n, odd.view(np.int64))],
+                                             names=[*PLACE, "block", "id", "n", "odd"])
     return run
 
 
@@ -198,14 +281,15 @@ def similar(a: list, b: list, least: float) -> bool:
     return n - min(len(a), len(b)) <= most and distance(a, b) <= most
 
 
-def connect(least: float, bits: int = BITS):
+def connect(least: float):
     """Task that links the marked lines of each place; pairs that are linked already aren't compared."""
     def run(batches):
-        for (_, low, high, block, sim, ids, line), at in runs(batches, [*PLACE, "block", "sim", "id", "line"]):
-            sim = sim.astype(np.int64).view(np.uint64)
+        for (_, low, high, block, n, odd, ids, line), at in runs(batches, [*PLACE, "block", "n", "odd", "id", "line"]):
+            odd = odd.astype(np.int64).view(np.uint64)
             out: list = []
             for a, b in zip(at[:-1], at[1:]):
                 text: dict[int, list] = {}
+                bits: dict[int, int] = {}
                 root = list(range(b - a))
 
                 def find(x):
@@ -213,13 +297,16 @@ def connect(least: float, bits: int = BITS):
                         root[x] = root[root[x]]
                         x = root[x]
                     return x
-                for i, j in close(sim[a:b], block[a:b], low[a] == high[a], bits):
+                for i, j in close(odd[a:b], n[a:b], block[a:b], low[a] == high[a], least):
                     for x, y in zip(i.tolist(), j.tolist()):
                         if find(x) != find(y):
                             for k in (x, y):
                                 if k not in text:
-                                    text[k] = line[a + k].split(b" ")
-                            if ids[a + x] == ids[a + y] or similar(text[x], text[y], least):
+                                    text[k], bits[k] = line[a + k].split(b" "), 0
+                                    for w in text[k]:
+                                        bits[k] ^= 1 << (hash(w) & 4095)
+                            edits = (1 - least) * max(len(text[x]), len(text[y])) + 1e-9
+                            if (bits[x] ^ bits[y]).bit_count() <= 2 * edits and similar(text[x], text[y], least):
                                 root[find(y)] = find(x)
                 out += [(a + x, a + find(x)) for x in range(b - a) if find(x) != x]
             pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
@@ -228,13 +315,9 @@ def connect(least: float, bits: int = BITS):
 
 
 def fuzzy_groups(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) over ids of `distinct` (id, sim, doc_id, digest, pos, k1, k2) that have near-equal lines."""
-    total = distinct.count()
-    tables = masks(total)
-    sim = F.col("sim")
-    pick = F.explode(F.array(*[F.struct(F.lit(k).alias("table"), F.xxhash64(F.lit(k), sim.bitwiseAND(F.lit(signed(m)))).alias("key"))
-                               for k, m in enumerate(tables)]))
-    rows = distinct.select("id", "sim", pick.alias("p")).select("id", "sim", "p.table", "p.key")
+    """(node, root) over ids of `distinct` (id, n, odd, blocks, doc_id, digest, pos, k1, k2) that have near-equal lines."""
+    rows = distinct.select("id", "n", "odd", F.explode("blocks").alias("key"))
+    rows = rows.withColumn("key", F.col("key").cast("long") + F.lit(1 << 31))  # not negative, see `partners`
     # Buckets that look large in a part of the lines are dealt in blocks; the result is the same.
     large = (rows.where(F.pmod(F.xxhash64("id"), F.lit(PROBE)) == 0).groupBy("key").agg(F.count("*").alias("c"))
              .where(F.col("c") * PROBE > BLOCK).select("key", F.ceil(F.col("c") * PROBE / BLOCK).cast("int").alias("blocks")))
@@ -244,9 +327,9 @@ def fuzzy_groups(docs: DataFrame, distinct: DataFrame, similarity: float) -> Dat
     rows = (rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), many).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
             .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                    "block", "table", "sim", "id"))
+                    "block", many.alias("many"), "n", "odd", "id"))
     marked = stored(rows.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(
-        partners(tables), "key long, low int, high int, block int, id long, sim long"), "partners")
+        partners(similarity), "key long, low int, high int, block int, id long, n int, odd long").distinct(), "partners")
     ids = stored(marked.select("id").distinct(), "marked")
     wanted = distinct.select("id", "doc_id", "digest", "pos", "k1", "k2").join(small(ids, ids.count(), 16), "id")
     wanted = stored(wanted, "wanted")
@@ -262,8 +345,8 @@ def fuzzy_groups(docs: DataFrame, distinct: DataFrame, similarity: float) -> Dat
             found = []
             for x in wish:
                 line = lines[x["pos"]] if x["pos"] < len(lines) else b""
-                _, _, k1, k2, _ = line_hashes([line], 1)
-                if len(k1) and (k1[0], k2[0]) == (x["k1"], x["k2"]):
+                _, _, size, one = line_words([line], 1)
+                if len(size) and tuple(k.view(np.int64)[0] for k in sequence_hashes(one, size)) == (x["k1"], x["k2"]):
                     found.append({"id": x["id"], "line": b" ".join(words(line))})
             out.append(found)
         return [out]
@@ -279,14 +362,14 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     whole = docs.select("doc_id", F.xxhash64("text").alias("digest")).groupBy("doc_id", "digest").agg(
         F.count("*").cast("int").alias("rows")).where("rows > 1")
     again = stored(whole, "repeated-rows")
-    once = hashed(docs, min_words)
+    once = hashed(docs, min_words, similarity)
     if not again.isEmpty():  # rows that repeat id and text are one document
         once = once.dropDuplicates(["doc_id", "digest"])
     once = stored(once, "lines")
     each = once.select("doc_id", "digest", F.explode("lines").alias("l")).select("doc_id", "digest", "l.*")
     distinct = stored(each.groupBy("k1", "k2").agg(
-        F.first("sim").alias("sim"), F.min(F.struct("doc_id", "digest", "pos")).alias("f"), F.count("*").alias("times"))
-        .select("k1", "k2", "sim", "f.*", "times").withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
+        *[F.first(c).alias(c) for c in ("n", "odd", "blocks")], F.min(F.struct("doc_id", "digest", "pos")).alias("f"), F.count("*").alias("times"))
+        .select("k1", "k2", "n", "odd", "blocks", "f.*", "times").withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
     groups = fuzzy_groups(docs, distinct, similarity)
     groups = stored(groups, "line-groups")
     groups = small(groups, groups.count(), 32)

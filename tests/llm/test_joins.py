@@ -357,6 +357,52 @@ def test_simhashes_of_long_lines():
     assert lines.simhashes(one, np.array([len(ws) for ws in ls])).tolist() == [plain_simhash(ws) for ws in ls]
 
 
+def edited(rng, ws, n):
+    """n words replaced, left out or put in."""
+    ws = list(ws)
+    for _ in range(n):
+        k, at = rng.randrange(3), rng.randrange(len(ws))
+        ws[at:at + (k > 0)] = [f"w{rng.randint(0, 400)}"] * (k < 2)
+    return ws
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_all_similar_lines_are_found(spark, monkeypatch, block):
+    """As comparing all lines with all, whatever their SimHash."""
+    monkeypatch.setattr(lines, "BITS", 64)  # plain_dedup then compares all
+    monkeypatch.setattr(lines, "BLOCK", block)
+    monkeypatch.setattr(lines, "SAMPLE", 4)
+    rng, rows = random.Random(12), []
+    phrase = some_words(rng, 6)
+    for i in range(36):
+        ws = some_words(rng, rng.choice([8, 9, 10, 11, 19, 20, 29, 30, 60, 100])) + phrase * (i % 3 == 0)
+        rows += [(4 * i, " ".join(ws)), (4 * i + 1, " ".join(edited(rng, ws, len(ws) // 10))),
+                 (4 * i + 2, " ".join(edited(rng, ws, len(ws) // 9))), (4 * i + 3, " ".join(edited(rng, ws, 1 + len(ws) // 9)))]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == plain_dedup(rows)
+    assert sum(r.n_removed for r in got) > 40
+
+
+@pytest.mark.parametrize("least", [0.9, 0.95, 0.8, 0.75, 0.5])
+def test_similar_lines_share_blocks(least):
+    rng, met = random.Random(13), 0
+    none = np.zeros(0, dtype=np.uint64)
+    for _ in range(1500):
+        a = [f"w{rng.randint(0, 30)}".encode() for _ in range(rng.choice([3, 9, 10, 19, 20, 40, 90]))]
+        b = [w.encode() for w in edited(rng, [w.decode() for w in a], max(1, int((1 - least) / least * len(a))))]
+        if not b or a == b or not lines.similar(a, b, least):
+            continue
+        one, size = hashes.word_hashes(b" ".join(a + b))[0], np.array([len(a), len(b)])
+        value = np.unique(lines.run_values(one, size, least)[1])[::3]
+        for common in ((none, none), (value, np.arange(len(value), dtype=np.uint64) + np.uint64(2))):
+            count, keys = lines.blocks(one, size, least, common)
+            assert set(keys[:count[0]]) & set(keys[count[0]:])
+        x, y = lines.parities(one, size)
+        assert int(x ^ y).bit_count() <= 2 * plain_distance(a, b)
+        met += 1
+    assert met > 100
+
+
 def test_lines_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lines.dedup_lines(none).count() == 0
