@@ -11,8 +11,6 @@ from plantwatch.plans.registry import query
 from plantwatch.plans.tables import Tables
 from plantwatch.session import stored
 
-QUICK = learning.Learning(boosting_rounds=3, boosting_depth=4)
-
 
 def training_table(spark, sf_dir):
     """Features and labels of all episodes, written once: fits read it many times,
@@ -27,14 +25,14 @@ def training_table(spark, sf_dir):
 
 @query("q36_grouped_cv")
 def q36(spark, sf_dir):
-    train, _ = learning.split(training_table(spark, sf_dir), QUICK)
-    return learning.summarise(learning.cross_validate(train, QUICK))
+    train, _ = learning.split(training_table(spark, sf_dir))
+    return learning.summarise(learning.cross_validate(train))
 
 
 @query("q36b_top_importances")
 def q36b(spark, sf_dir):
-    train, _ = learning.split(training_table(spark, sf_dir), QUICK)
-    model = learning.fit(train, learning.candidates(QUICK)["random_forest"])
+    train, _ = learning.split(training_table(spark, sf_dir))
+    model = learning.fit(train, learning.candidates()["random_forest"])
     return metrics.top_importances(learning.importances(model))
 
 
@@ -42,7 +40,7 @@ def q36b(spark, sf_dir):
 def q37(spark, sf_dir):
     """Every reading scored by the forest: class, confidence and failure probability."""
     table = training_table(spark, sf_dir)
-    model = learning.fit(table, learning.candidates(QUICK)["random_forest"])
+    model = learning.fit(table, learning.candidates()["random_forest"])
     rolled = features.rolling_features(Tables(spark, sf_dir).readings())
     return learning.predict(model, rolled).select(
         "machine_id", "event_time", "seq", "class_id", "label_text",
@@ -53,8 +51,8 @@ def q37(spark, sf_dir):
 @query("q37b_model_evaluation")
 def q37b(spark, sf_dir):
     """Macro-F1 of forest, rule and majority class on episodes not trained on."""
-    train, test = learning.split(training_table(spark, sf_dir), QUICK)
-    model = learning.fit(train, learning.candidates(QUICK)["random_forest"])
+    train, test = learning.split(training_table(spark, sf_dir))
+    model = learning.fit(train, learning.candidates()["random_forest"])
     judged = stored(learning.predict(model, test).select(
         "label", "class_id", "temperature", "charge_travail", "critical_probability"), "judged")
     average = metrics.average_precision(judged, F.col("label") == 2, "critical_probability")

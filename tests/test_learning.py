@@ -134,3 +134,17 @@ def test_report_with_absent_class(spark):
     got = {r.candidate: (round(r["mean"], 6), round(r["std"], 6))
            for r in metrics.fold_summary(folds).collect()}
     assert got == {"a": (0.6, 0.1), "b": (0.1, 0.0)}
+
+
+def test_registered_plan_uses_the_declared_candidates(spark, monkeypatch):
+    """q36 fits every candidate with the default settings."""
+    from plantwatch.plans import models
+    used = []
+    monkeypatch.setattr(models, "training_table", lambda spark, sf_dir: spark.createDataFrame(
+        [("E1",)], "episode_id string"))
+    monkeypatch.setattr(learning, "cross_validate", lambda train, cfg=learning.DEFAULT_LEARNING: used.append(cfg))
+    monkeypatch.setattr(learning, "summarise", lambda scores: scores)
+    models.q36(spark, "")
+    assert used == [learning.Learning()]
+    boosting = learning.candidates(used[0])["hist_gbm"].getClassifier()
+    assert (boosting.getMaxIter(), boosting.getMaxDepth()) == (20, 8)
