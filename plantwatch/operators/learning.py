@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -18,12 +17,12 @@ from plantwatch import schemas
 from plantwatch.functions import rules
 from plantwatch.functions.values import rounded
 from plantwatch.operators import features, metrics
+from plantwatch.operators.boosting import BoostedModel, Boosting, fit_folds
 
 
 @dataclass(frozen=True)
 class Learning:
-    # Candidate settings. Boosting rounds are fewer, because MLlib
-    # boosts one binary model per class.
+    # Candidate settings.
     seed: int = 42
     train_percent: int = 80
     folds: int = 5
@@ -33,7 +32,7 @@ class Learning:
     leaf_rows: int = 20
     boosting_depth: int = 8
     boosting_rate: float = 0.08
-    boosting_rounds: int = 20
+    boosting_rounds: int = 350
     parallel_fits: int = 8
 
 
@@ -64,9 +63,8 @@ def candidates(cfg: Learning = DEFAULT_LEARNING) -> dict:
         "random_forest": RandomForestClassifier(
             numTrees=cfg.trees, maxDepth=cfg.tree_depth, minInstancesPerNode=cfg.leaf_rows,
             seed=cfg.seed, **common),
-        "hist_gbm": OneVsRest(classifier=GBTClassifier(
-            maxDepth=cfg.boosting_depth, stepSize=cfg.boosting_rate, maxIter=cfg.boosting_rounds,
-            seed=cfg.seed), **common),
+        "hist_gbm": Boosting(depth=cfg.boosting_depth, rate=cfg.boosting_rate,
+                             rounds=cfg.boosting_rounds, leaf_rows=cfg.leaf_rows, seed=cfg.seed),
     }
 
 
@@ -86,7 +84,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def fit(train: DataFrame, estimator) -> PipelineModel:
+def fit(train: DataFrame, estimator) -> PipelineModel | BoostedModel:
+    if isinstance(estimator, Boosting):
+        return fit_folds(complete(train), schemas.FEATURES, cfg=estimator)[0]
     return Pipeline(stages=[*preparation(), estimator]).fit(complete(with_weights(train)))
 
 
@@ -97,16 +97,19 @@ def cross_validate(train: DataFrame, cfg: Learning = DEFAULT_LEARNING, names=Non
     back. Several fits run side by side, as their many short jobs leave cores idle.
     """
     df = spread(with_fold(train, cfg)).persist()
+    boosted = []  # all folds grow together
     plans = [(position, name, fold) for position, name in enumerate(candidates(cfg))
              if not names or name in names for fold in range(cfg.folds)]
 
     def run(plan):
         position, name, fold = plan
-        model = fit(df.where(F.col("fold") != fold), candidates(cfg)[name])
+        model = boosted[fold] if name == "hist_gbm" else fit(df.where(F.col("fold") != fold), candidates(cfg)[name])
         judged = model.transform(complete(df.where(F.col("fold") == fold)))
         return name, position, fold, metrics.macro_f1(judged).first()[0]
 
     try:
+        if any(name == "hist_gbm" for _, name, _ in plans):
+            boosted += fit_folds(complete(df), schemas.FEATURES, cfg.folds, candidates(cfg)["hist_gbm"])
         with ThreadPoolExecutor(cfg.parallel_fits) as pool:
             scores = list(pool.map(inheritable_thread_target(train.sparkSession)(run), plans))
     finally:
@@ -131,22 +134,21 @@ def select_and_train(train: DataFrame, everything: DataFrame, path: str | None =
     chosen = summary.where("selected").first()["candidate"]
     model = fit(everything, candidates(cfg)[chosen])
     if path:
-        model.write().overwrite().save(path)
+        save_model(model, everything.sparkSession, path)
     return chosen, model, summary
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def save_model(model: PipelineModel | BoostedModel, spark: SparkSession, path: str) -> None:
+    if isinstance(model, BoostedModel):
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def predict(model: PipelineModel | BoostedModel, df: DataFrame) -> DataFrame:
     """Class, confidence and failure probability from a fitted pipeline."""
     out = model.transform(complete(df))
-    classifier = model.stages[-1]
-    if "probability" in out.columns:
-        p = vector_to_array("probability")
-    else:
-        # One-vs-rest gives a raw margin per class; log-odds become shares.
-        raw = F.transform(vector_to_array(classifier.getRawPredictionCol()),
-                          lambda m: 1 / (1 + F.exp(-2 * m)))
-        total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-        p = F.transform(raw, lambda x: x / total)
+    p = F.col("probability") if isinstance(model, BoostedModel) else vector_to_array("probability")
     return (out.withColumn("_p", p)
             .withColumns({"class_id": F.col("prediction").cast("int"),
                           "confidence": F.array_max("_p"),
@@ -156,15 +158,16 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
             .drop("raw", "features", "rawPrediction", "probability", "prediction", "_p"))
 
 
-def load_model(spark: SparkSession, path: str | None) -> PipelineModel | None:
-    """The saved pipeline, or nothing when there is none."""
-    if not path:
-        return None
-    try:
-        spark.read.text(f"{path}/metadata")
-    except AnalysisException:
-        return None
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str | None) -> PipelineModel | BoostedModel | None:
+    """The saved model, or nothing when there is none."""
+    for folder, load in (("boosting", lambda: BoostedModel.load(spark, path)),
+                         ("metadata", lambda: PipelineModel.load(path))) if path else ():
+        try:
+            spark.read.text(f"{path}/{folder}")
+        except AnalysisException:
+            continue
+        return load()
+    return None
 
 
 def scorer(model: PipelineModel | None):
@@ -195,6 +198,8 @@ def failure_predictions(readings: DataFrame, model: PipelineModel | None,
 
 def importances(model: PipelineModel) -> DataFrame | None:
     """Importance per feature for tree models."""
+    if isinstance(model, BoostedModel):
+        return None
     classifier = model.stages[-1]
     if not hasattr(classifier, "featureImportances"):
         return None

@@ -56,3 +56,17 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = workdir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it; a missing one is fine."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a frame that `stored` returned and that nothing reads any more."""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if "/plantwatch/" in folder:
+            remove(df.sparkSession, folder)

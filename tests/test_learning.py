@@ -1,11 +1,12 @@
 """Training, scoring and evaluation on episodes that do wear out."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
 from plantwatch import run, schemas
 from plantwatch.functions import decode
-from plantwatch.operators import features, learning, metrics
+from plantwatch.operators import boosting, features, learning, metrics
 from plantwatch.session import stored, workdir
 from plantwatch.sources import lake
 from plantwatch.sources.bus import Bus
@@ -105,11 +106,72 @@ def test_train_and_predict_jobs(spark, episodes):
         assert served.where("probabilite_panne BETWEEN 0 AND 1").count() == episodes.count()
 
 
-def test_boosting_candidate(episodes):
-    model = learning.fit(episodes, learning.candidates(CFG)["hist_gbm"])
-    judged = learning.predict(model, episodes)
-    assert judged.where("class_id = label").count() > 0.6 * judged.count()
-    assert judged.where("abs(confidence) > 1").count() == 0
+def test_boosting_candidate(spark, episodes):
+    """Held-out macro-F1, the saved model, and rounds that end when the loss no longer falls."""
+    train, test = learning.split(episodes)
+    cfg = learning.candidates(learning.Learning(boosting_rounds=8, boosting_depth=3))["hist_gbm"]
+    model = learning.fit(train, cfg)
+    path = workdir(spark, "test-boosting")
+    learning.save_model(model, spark, path)
+    judged = learning.predict(learning.load_model(spark, path), test).cache()
+    scores = {r.model: r.macro_f1 for r in learning.evaluation(judged).collect()}
+    assert scores["model"] > scores["majority"] + 0.3
+    assert judged.where("abs(confidence) > 1 or failure_probability < 0").count() == 0
+    assert model.rounds == 8 and learning.importances(model) is None
+    again = learning.predict(model, test).select("machine_id", "seq", "confidence")
+    assert again.exceptAll(judged.select("machine_id", "seq", "confidence")).count() == 0
+
+
+def plain_tree(bins, g, h, cfg):
+    """Leaves (as frozensets of rows) and their values, grown best first one cut at a time."""
+    def cut(rows):
+        best = None
+        for f in range(bins.shape[1]):
+            for b in range(cfg.bins - 1):
+                left, right = rows[bins[rows, f] <= b], rows[bins[rows, f] > b]
+                if min(len(left), len(right)) < cfg.leaf_rows:
+                    continue
+                gain = sum(g[x].sum() ** 2 / h[x].sum() for x in (left, right)) - g[rows].sum() ** 2 / h[rows].sum()
+                if gain > 1e-9 and (best is None or gain > best[0]):
+                    best = gain, left, right
+        return best
+    leaves = [(np.arange(len(bins)), 0)]
+    while len(leaves) < cfg.leaves:
+        ready = [(c, i) for i, (rows, d) in enumerate(leaves) if d < cfg.depth and (c := cut(rows))]
+        if not ready:
+            break
+        (_, left, right), i = max(ready, key=lambda x: x[0][0])
+        depth = leaves.pop(i)[1] + 1
+        leaves += [(left, depth), (right, depth)]
+    return {frozenset(rows.tolist()): -cfg.rate * g[rows].sum() / h[rows].sum() for rows, _ in leaves}
+
+
+def test_boosting_grows_the_trees_of_a_plain_search(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 12, (400, 3)).astype(float)
+    y = (x[:, 0] + x[:, 1] > 11).astype(int) + (x[:, 2] > 8) * (x[:, 0] > 5)
+    cfg = boosting.Boosting(depth=4, rounds=1, leaves=6, leaf_rows=15, bins=16, aside_percent=0)
+    df = spark.createDataFrame([(*map(float, r), int(k)) for r, k in zip(x, y)], "a double, b double, c double, label int")
+    model = boosting.fit_folds(df.repartition(5), ["a", "b", "c"], cfg=cfg)[0]
+    bins = np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(model.edge)], axis=1)
+    w = (len(y) / (3 * np.bincount(y)))[y]
+    for c, tree in model.trees:
+        want = plain_tree(bins, w * (1 / 3 - (y == c)), w * (2 / 9), cfg)
+        at = tree.leaf(bins)
+        got = {frozenset(np.flatnonzero(at == n).tolist()): tree.value[n] for n in set(at.tolist())}
+        assert set(got) == set(want)
+        assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
+def test_boosting_of_folds_in_one(spark, episodes):
+    """Each fold's model is blind to the fold's own labels."""
+    df = learning.with_fold(episodes, CFG)
+    cfg = learning.candidates(CFG)["hist_gbm"]
+    models = boosting.fit_folds(df, schemas.FEATURES, 2, cfg)
+    changed = df.withColumn("label", F.when(F.col("fold") == 0, 2 - F.col("label")).otherwise(F.col("label")))
+    other = boosting.fit_folds(changed, schemas.FEATURES, 2, cfg)
+    assert models[0].trees == other[0].trees and models[1].trees != other[1].trees
+    assert boosting.fit_folds(df.limit(0), schemas.FEATURES, 0, cfg)[0].rounds == 0
 
 
 def test_no_model_falls_back_to_rules(spark, episodes):
@@ -146,5 +208,5 @@ def test_registered_plan_uses_the_declared_candidates(spark, monkeypatch):
     monkeypatch.setattr(learning, "summarise", lambda scores: scores)
     models.q36(spark, "")
     assert used == [learning.Learning()]
-    boosting = learning.candidates(used[0])["hist_gbm"].getClassifier()
-    assert (boosting.getMaxIter(), boosting.getMaxDepth()) == (20, 8)
+    declared = learning.candidates(used[0])["hist_gbm"]
+    assert (declared.rounds, declared.depth, declared.rate) == (350, 8, 0.08)
