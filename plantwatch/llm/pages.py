@@ -9,7 +9,8 @@ content from boilerplate, and the content blocks are the text, in page order.
 Pages are independent, so this is one narrow pass. Defined cases: null and empty
 html give an empty text; open or crossed tags are repaired the way browsers do
 for paragraphs, list items and table parts; an unclosed script, style or comment
-runs to the end; repeated rows repeat.
+runs to the end; a tag without its > is text; repeated rows repeat. The work on a page
+grows with its length, however its tags are nested.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\
 NAMED = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style title noscript template iframe svg math object textarea canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
+SILENT = frozenset("script style title template textarea".split())
+#: Elements inside a line; text that stands in for pictures, players and formulas is part of it.
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i iframe img ins kbd mark math "
+                   "mfrac mi mn mo mover mroot mrow ms msqrt msub msubsup msup mtext munder munderover noscript object "
+                   "q rp rt ruby s samp semantics small span strike strong sub sup svg text time tspan tt u var video wbr".split())
 #: Start tags that end an open element of the second set.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
@@ -70,7 +73,9 @@ def context(tag: str, attributes: str, inside: bool) -> float:
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """(text, log-odds of being content, number of the parent element) per block, in page order."""
     out: list[tuple[str, float, int]] = []
-    stack = [("", 0.0, False, 0)]  # tag, score of the context, inside an article, number
+    stack = [("", 0.0, False, 0, 0)]  # tag, score of the context, inside an article, number, place of the block it is in
+    where: dict[str, list[int]] = {}  # places of the open elements by tag
+    scopes: list[int] = []            # places of those that close() stops at
     parts: list[str] = []
     linked, in_link, count, done = 0, 0, 0, 0
 
@@ -78,10 +83,8 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            depth = len(stack) - 1
-            while depth and stack[depth][0] in INLINE:
-                depth -= 1
-            tag, score, _, number = stack[depth]
+            depth = stack[-1][4]
+            tag, score, _, number, _ = stack[depth]
             n = text.count(" ") + 1
             odds = (BIAS + score + BLOCK_SCORE.get(tag, 0.0) + LENGTH * min(4.0, n.bit_length())
                     + LINKS * min(1.0, linked / len(text)))
@@ -97,21 +100,26 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if in_link:
             linked += len(text.strip())
 
-    def close(tag: str, within=frozenset()):
+    def close(tag: str, scoped: bool = False):
         nonlocal in_link
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
-                in_link = max(0, in_link - sum(1 for x in stack[k:] if x[0] == "a"))
-                del stack[k:]
-                return
-            if stack[k][0] in within:
-                return
-
-    at = 0
-    while m := MARKUP.search(page, at):
+        places = where.get(tag)
+        if not places or scoped and scopes and scopes[-1] > places[-1]:
+            return
+        for old, *_ in reversed(stack[places[-1]:]):
+            where[old].pop()
+            if old in SCOPE:
+                scopes.pop()
+            in_link -= old == "a"
+            stack.pop()
+
+    at, last = 0, page.rfind(">") + 1
+    while m := MARKUP.search(page, at, last):
         if m.start() > done:
             say(page[done:m.start()])
         at = done = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            done = len(page)
+            break
         name = m[2] or m[5]
         if not name:
             continue
@@ -133,14 +141,19 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             continue
         if tag not in INLINE:
             flush()
-            close("p", SCOPE)
+            close("p", True)
             for old in CLOSES.get(tag, ()):
-                close(old, SCOPE)
-        _, score, inside, _ = stack[-1]
+                close(old, True)
+        _, score, inside, _, block = stack[-1]
         count += 1
-        stack.append((tag, score + context(tag, attributes, inside), inside or tag in ("article", "main"), count))
+        where.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
+        stack.append((tag, score + context(tag, attributes, inside), inside or tag in ("article", "main"), count,
+                      block if tag in INLINE else len(stack)))
         in_link += tag == "a"
-    say(page[done:])
+    rest = page[done:]
+    say(rest[:rest.index("<!--")] if "<!--" in rest else rest)
     flush()
     return out
 
