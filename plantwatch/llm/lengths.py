@@ -7,13 +7,15 @@ limit. Sums run inside blocks of lengths plus block totals, so no task sorts the
 whole histogram.
 
 Defined cases: null and empty texts have length 0 and count as documents; bytes
-that are no UTF-8 are replaced before encoding; an empty table gives no rows.
+that are no UTF-8 are replaced before encoding; an empty table gives no rows; white space
+runs of any length are pieces of their own, counted apart from the text around them.
 The vocabulary's bytes (at most `MAX_VOCABULARY`) are broadcast.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import tiktoken
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -26,6 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY = 16 << 20
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space (as the pattern has it) that is too long for the pattern's matcher.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 BLOCK = 64
 LIMITS = (512, 1024, 2048, 4096, 8192, 32768)
 
@@ -42,10 +46,20 @@ def counter(spark, vocabulary: str = VOCABULARY):
         if not held:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content().splitlines())}
             held.append(tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}))
-        return len(held[0].encode_ordinary(text.decode("utf-8", "replace"))) if text else 0
+        return counted(held[0], text.decode("utf-8", "replace")) if text else 0
     return count
 
 
+def counted(encoding, text: str) -> int:
+    """Number of tokens. A long run of white space is one piece, but for its last character where more follows."""
+    n, at = 0, 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        n += len(encoding.encode_ordinary(text[at:m.start()])) + len(encoding._encode_single_piece(text[m.start():end]))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:] if at else text))
+
+
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """`docs` with `n_tokens`."""
     count = counter(docs.sparkSession, vocabulary)
