@@ -12,8 +12,8 @@ the result. Of the pairs met, those whose lengths or parities of hashed words
 are compared. Connected lines form a group, and the group's first occurrence
 stays: smallest doc_id, then place.
 
-SimHash (`simhashes`, `masks`) doesn't choose pairs: one changed word moves the
-hash of a short line by more than `BITS` bits, so most near-equal lines were lost.
+SimHash doesn't choose pairs: one changed word moves the hash of a short line by more
+bits than blocks of it can leave alone, so most near-equal lines were lost.
 
 No pairs are written: a task compares one bucket, or two blocks of a large one,
 marks the lines that have a partner, and after their texts have come returns one
@@ -26,9 +26,6 @@ row stays; null ids are allowed; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import lru_cache
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -41,9 +38,7 @@ from plantwatch.llm.rows import WORD_BYTES, append, col, hidden, raw, read, shar
 from plantwatch.session import stored
 
 MIN_WORDS = 3
-BITS = 3
 SIMILAR = 0.9
-FULL = 256       # mean lines per bucket from which the hash is cut into more blocks
 BLOCK = 1024     # lines of a bucket compared by one task
 PROBE = 8        # share of lines (one in so many) that large buckets are looked for in
 SAMPLE = 64      # share of documents (one in so many) that common runs of words are looked for in
@@ -51,32 +46,11 @@ COMMON = 1 << 16  # common runs that are known at most
 LINE_BYTES = WORD_BYTES[:10] + b"\n" + WORD_BYTES[11:]
 
 
-#: Bits of a byte as eight counters of eight bits.
-LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
-FULL_LANE = 255  # words that one counter takes
-
-
-def simhashes(one: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit SimHash per line from its words' hashes (`size` words each, at least one); the first
-    word counts half as much again, so no bit ties."""
-    begin = np.cumsum(size) - size
-    n = -(-size // FULL_LANE)
-    first = np.cumsum(n) - n
-    starts = np.repeat(begin, n) + (np.arange(n.sum()) - np.repeat(first, n)) * FULL_LANE
-    octets = one.view(np.uint8).reshape(-1, 8)
-    lanes = np.stack([np.add.reduceat(LANES[octets[:, k]], starts) for k in range(8)], axis=1)
-    sums = lanes.view(np.uint8).reshape(-1, 64)
-    total = sums.astype(np.int64) if len(sums) == len(size) else np.add.reduceat(sums, first, axis=0, dtype=np.int64)
-    lead = np.unpackbits(octets[begin], axis=1).astype(np.int64)
-    return np.packbits(4 * total + 2 * lead > 2 * size[:, None] + 1, axis=1).view(np.uint64).ravel()
-
-
 def run_length(least: float) -> int:
     """Words per run: two, if lines of similarity `least` always share such a run."""
     return 2 if 4 * (1 - least) <= 1 + 1e-9 else 1
 
 
-@lru_cache(1 << 16)
 def block_count(n: int, least: float) -> int:
     """How many first runs of a line of n words must be looked at; none if no other line can be near-equal."""
     q, top = run_length(least), int(n / least + 1e-6)
@@ -86,7 +60,8 @@ def block_count(n: int, least: float) -> int:
 
 def run_values(one: np.ndarray, size: np.ndarray, least: float):
     """Number of its line and a hash of 48 bits, for every run of words of lines that can have near-equal ones."""
-    want = np.array([block_count(n, least) for n in size.tolist()], dtype=np.int64)
+    length, at = np.unique(size, return_inverse=True)
+    want = np.array([block_count(n, least) for n in length.tolist()], dtype=np.int64)[at]
     line = np.repeat(np.arange(len(size)), size)
     ok = want[line] > 0
     if run_length(least) == 2:
@@ -180,16 +155,6 @@ def hashed(docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
     return append(source, [raw("text")], T.StructType([T.StructField("lines", LINE)]), run, ["doc_id", "digest"])
 
 
-def masks(lines: int, bits: int = BITS) -> list[int]:
-    """Bits that a pair within `bits` must share in at least one case: all choices of the blocks that can agree."""
-    cuts = bits + 1
-    while cuts < 3 * bits + 1 and lines > FULL * 2 ** (64 * (cuts - bits) // cuts):
-        cuts += 1
-    edge = [64 * i // cuts for i in range(cuts + 1)]
-    block = [(1 << edge[i + 1]) - (1 << edge[i]) for i in range(cuts)]
-    return [sum(block[i] for i in pick) for pick in combinations(range(cuts), cuts - bits)]
-
-
 PLACE = ["key", "low", "high"]
 
 

@@ -279,15 +279,6 @@ def test_word_hashes():
     assert swapped[0][0] != one[0][0] and swapped[1][0] != one[1][0]
 
 
-def plain_simhash(ws):
-    sums = [0] * 64
-    for k, w in enumerate(ws):
-        h = plain_word_hash(w)
-        for b in range(64):
-            sums[b] += (3 if k == 0 else 2) * (1 if h >> b & 1 else -1)
-    return sum(1 << b for b in range(64) if sums[b] > 0)
-
-
 def plain_dedup(rows):
     """Rows left, as (id, text), by comparing all lines with all."""
     docs = list(dict.fromkeys(rows))
@@ -297,13 +288,18 @@ def plain_dedup(rows):
             ws = words(x.encode())
             if len(ws) >= lines.MIN_WORDS:
                 keys.setdefault(tuple(ws), []).append((d, p))
-    sims = {k: plain_simhash(k) for k in keys}
+    by_length = defaultdict(list)
     for a in keys:
         groups.find(a)
-        for b in keys:
-            if a < b and (sims[a] ^ sims[b]).bit_count() <= lines.BITS and \
-                    plain_distance(a, b) <= (1 - lines.SIMILAR) * max(len(a), len(b)) + 1e-9:
-                groups.join(a, b)
+        by_length[len(a)].append(a)
+    for a in keys:
+        for n in range(len(a), int(len(a) / lines.SIMILAR) + 2):  # longer ones can't be near-equal
+            most = (1 - lines.SIMILAR) * max(len(a), n) + 1e-9
+            for b in by_length.get(n, ()):
+                # words that only one of the two has: an edit changes at most two
+                if (len(a), a) < (n, b) and ((Counter(a) - Counter(b)) + (Counter(b) - Counter(a))).total() <= 2 * most \
+                        and plain_distance(a, b) <= most:
+                    groups.join(a, b)
     where = defaultdict(list)
     for k, v in keys.items():
         where[groups.find(k)] += v
@@ -340,23 +336,6 @@ def test_lines_equal_brute_force(spark, monkeypatch, block, full):
     assert all(r.n_removed >= 0 for r in got) and sum(r.n_removed for r in got) > 100
 
 
-def test_blocks_find_every_pair_within_the_bits():
-    rng = random.Random(1)
-    for n in (10, 10 ** 8, 10 ** 11, 10 ** 13):
-        tables = lines.masks(n)
-        for _ in range(200):
-            d = sum(1 << b for b in rng.sample(range(64), lines.BITS))
-            assert any(d & m == 0 for m in tables)
-    assert len(lines.masks(10)) == 4 and len(lines.masks(10 ** 8)) == 10
-
-
-def test_simhashes_of_long_lines():
-    rng = random.Random(2)
-    ls = [[f"w{rng.randint(0, 5000)}".encode() for _ in range(rng.choice([1, 2, 3, 40, 254, 255, 256, 600]))] for _ in range(150)]
-    one = np.concatenate([hashes.word_hashes(b" ".join(ws))[0] for ws in ls])
-    assert lines.simhashes(one, np.array([len(ws) for ws in ls])).tolist() == [plain_simhash(ws) for ws in ls]
-
-
 def edited(rng, ws, n):
     """n words replaced, left out or put in."""
     ws = list(ws)
@@ -368,8 +347,7 @@ def edited(rng, ws, n):
 
 @pytest.mark.parametrize("block", [1024, 8])
 def test_all_similar_lines_are_found(spark, monkeypatch, block):
-    """As comparing all lines with all, whatever their SimHash."""
-    monkeypatch.setattr(lines, "BITS", 64)  # plain_dedup then compares all
+    """As comparing all lines with all."""
     monkeypatch.setattr(lines, "BLOCK", block)
     monkeypatch.setattr(lines, "SAMPLE", 4)
     rng, rows = random.Random(12), []

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -314,3 +315,47 @@ def test_lengths_of_odd_texts(spark):
     rows = lengths.curve(lengths.histogram(d)).collect()
     assert sum(r.docs for r in rows) == 4 and {r.length: r.docs for r in rows}[0] == 2
     assert lengths.curve(lengths.histogram(d.limit(0))).count() == 0
+
+
+# ---- hostile input -----------------------------------------------------------------------------
+
+@pytest.mark.parametrize("page", ["<a " * 200_000, "<div>" * 50_000 + "</x>" * 100_000, "<p>" + "<b>" * 50_000 + "x<hr>" * 50_000,
+                                  "<dt><ul>" + "<x>" * 30_000 + "<dd>y" * 30_000, "<div>w" * 50_000, "<a \">" * 100_001],
+                         ids=["open", "unmatched", "inline", "scoped", "nested", "quotes"])
+def test_hostile_pages_take_seconds(page):
+    start = time.process_time()
+    pages.main_text(page)
+    assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize("inner, text", [
+    ("The formula holds <math><mi>x</mi><mo>=</mo><mn>2</mn></math> for every case we looked at in this work.",
+     "The formula holds x=2 for every case we looked at in this work."),
+    ("See <object data=a>the fallback text of the object</object> in this paragraph of words.",
+     "See the fallback text of the object in this paragraph of words."),
+    ("<noscript><p>A paragraph for readers without scripts in this article.</p></noscript>",
+     "A paragraph for readers without scripts in this article."),
+    ("Words before an open comment are kept as they are <!-- open <b>x</b>", "Words before an open comment are kept as they are")])
+def test_fallback_text_of_the_article_stays(inner, text):
+    page = f"<html><body><nav>menu</nav><article><p>{inner}</p></article></body></html>"
+    assert pages.main_text(page) == text
+
+
+def test_lengths_of_long_white_space(spark):
+    """The matcher of the split pattern fails on such runs; shorter ones tell what they count for."""
+    encoding = bytes_encoding()
+    # " a" is one token, two line breaks are one token, the last of a run stands alone
+    for run in (" ", "\n", " \n\t", "\u3000 ", "\x1c "):
+        for after in ("", "b", "!"):
+            text = "a" + run * 3000 + after + run * 1200 + "c"
+            assert lengths.counted(encoding, text) == len(encoding.encode_ordinary(text))
+    rows = [(1, " " * 5_000_000 + "a"), (2, "\n" * 5_000_000), (3, "a" + "\n" * 1_000_000 + "b")]
+    got = lengths.encoded_lengths(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [5_000_000, 2_500_000, 500_003]
+
+
+def bytes_encoding():
+    import tiktoken
+    with open(lengths.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=lengths.PATTERN, mergeable_ranks=ranks, special_tokens={})
