@@ -7,7 +7,7 @@ suppliers are the roster.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plantwatch import schemas
 from plantwatch.functions import rules
@@ -42,9 +42,10 @@ class Tables:
         return (self.spark.readStream.schema(schema)
                 .option("pathGlobFilter", f"{name}.parquet").parquet(self.dir))
 
-    def replayed(self, name: str, time: str, epochs: int = 6) -> DataFrame:
+    def replayed(self, name: str, time: str, epochs: int = 6, late: Column | None = None) -> DataFrame:
         """A table as a stream of several epochs: its rows, cut by time and written one cut
-        after the other, are read as many files per epoch as a cut has."""
+        after the other, are read as many files per epoch as a cut has. Rows that are `late`
+        come with the cut after theirs."""
         rows, path = self.raw(name), workdir(self.spark, f"replay-{name}")
         low, high = rows.agg(F.min(time), F.max(time)).first()
         edges = [low + (high - low) * k / epochs for k in range(1, epochs)] if low else []
@@ -52,6 +53,8 @@ class Tables:
         kind, cut = rows.schema[time].dataType, F.lit(len(edges))
         for k, edge in reversed(list(enumerate(edges))):
             cut = F.when(F.col(time) < F.lit(edge).cast(kind), k).otherwise(cut)
+        if late is not None:
+            cut = F.when(late, F.least(cut + 1, F.lit(len(edges)))).otherwise(cut)
         for k in range(len(edges) + 1):
             rows.where(cut == k).write.mode("append").parquet(path)
         files = len(self.spark.read.schema(rows.schema).parquet(path).inputFiles())

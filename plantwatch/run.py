@@ -6,6 +6,7 @@ same through spark-submit.
     energy       energy anomalies to serving and to the alert topic
     predict      failure probabilities to serving and to the alert topic
     alerts       change alerts to the alert topic
+    lifecycle    starts, ends and stops of alerts to serving and to the system alerts
     orchestrate  orders, alerts and maintenance to assignments and statuses
     rejects      records that no job takes, to serving, with the reason
     train        choose, fit and save a model from a table of episodes
@@ -23,7 +24,8 @@ from plantwatch.operators import features, latest, learning
 from plantwatch.params import DEFAULTS, Params
 from plantwatch.sources import lake
 from plantwatch.sources.bus import Bus
-from plantwatch.streaming import jobs
+from plantwatch.operators.lifecycle import FLOW
+from plantwatch.streaming import jobs, lifecycle
 from plantwatch.streaming.orchestrate import Orchestrator, inbox
 
 # Fixed value: the default fleet.
@@ -34,7 +36,7 @@ def arguments(argv=None):
     parser = argparse.ArgumentParser(description=__doc__,
                                      formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("job", choices=["archive", "hot-state", "energy", "predict", "alerts",
-                                        "orchestrate", "rejects", "train"])
+                                        "lifecycle", "orchestrate", "rejects", "train"])
     parser.add_argument("--work", required=True, help="shared folder for tables and checkpoints")
     parser.add_argument("--bus", default="", help="broker list, or folder of file topics")
     parser.add_argument("--bus-format", default="kafka")
@@ -105,6 +107,11 @@ def start(args, spark: SparkSession, p: Params = DEFAULTS):
                               **trigger)
     if args.job == "rejects":
         return jobs.rejects(bus, serving, checkpoint, p, **trigger)
+    if args.job == "lifecycle":
+        state = lifecycle.LifecycleState(spark, f"{args.work}/state/lifecycle", T.TimestampType(), p, delay_seconds=60)
+        first, second = bus.flow()
+        flow = first.select(*FLOW).unionByName(second.select(*FLOW))
+        return lifecycle.lifecycle(flow, state, serving, checkpoint, bus, p, **trigger)
     # A timer keeps the plant going while the bus is quiet; it can't be read to an end.
     ticks = None if args.once else (
         spark.readStream.format("rate").option("rowsPerSecond", 1).load()

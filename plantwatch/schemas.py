@@ -70,13 +70,15 @@ MEASUREMENTS = {
     "task_queue": ["size"],
     "interruptions": ["machine_id", "task_id", "progress", "outcome"],
     "rejects": ["raw", "reason"],
+    "transitions": ["machine_id", "transition", "seq", "change"],
+    "late_events": ["raw", "reason"],
 }
 # Columns of measurements that aren't text.
 MEASUREMENT_TYPES = (
     dict.fromkeys([*MEASURES, "probabilite_panne", "valeur_actuelle", "valeur_normale",
                    "pause_start_timestamp", "progress"], _D)
     | dict.fromkeys([*MEASUREMENTS["resource_manager_stats"], "size"], _L)
-    | {"duration_minutes": _I})
+    | {"duration_minutes": _I, "seq": _L, "change": _I})
 
 # Vocabularies.
 STATUSES = ["DISPONIBLE", "ASSIGNEE", "PAUSE", "ARRET", "IDLE"]

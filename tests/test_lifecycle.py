@@ -1,13 +1,18 @@
 """Alert lifecycle against a plain state machine, in batch and as a stream."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from plantwatch import run
+from plantwatch.functions import decode
 from plantwatch.operators import lifecycle
 from plantwatch.params import DEFAULTS
 from plantwatch.session import workdir
+from plantwatch.sources import lake
+from plantwatch.sources.bus import Bus
 from plantwatch.streaming import lifecycle as live
 
 P = DEFAULTS.but(pause_seconds=600)
@@ -116,20 +121,72 @@ def test_state_and_early_return(spark):
     assert release(0, 0) == [] and release(3, 1) == []
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_stream_equals_batch(spark, parts):
-    """Events in order over one or several epochs; a late marker moves the watermark on."""
+def epochs(spark, flows, delay=0, horizon=86_400):
+    """Changes and late rows of a stream whose epochs are the given frames; the second runs twice."""
     root = workdir(spark, "test-lifecycle")
-    flow = flow_of(spark, {**SEQUENCES, "zz": [(9000, "ml", "PAUSE")]})
+    state = live.LifecycleState(spark, f"{root}/state", T.TimestampType(), P, delay, horizon)
+    changes, late = [], []
+    for n, flow in enumerate(flows):
+        for _ in range(2 if n == 1 else 1):  # a replay gives the same
+            said, rejected = state.epoch(flow, n)
+            rows = said.collect(), rejected.collect()
+        changes += rows[0]
+        late += rows[1]
+    return changes, late
+
+
+def holding(spark, changes):
+    df = spark.createDataFrame(changes, "machine_id string, transition string, event_time timestamp, seq long, change int")
+    return live.net(df).cache()
+
+
+@pytest.mark.parametrize("parts, delay", [(1, 0), (3, 700)])
+def test_stream_equals_batch(spark, parts, delay):
+    """Events in order over one or several epochs; a last marker moves the watermark on."""
+    flow = flow_of(spark, {**SEQUENCES, "zz": [(9000 + delay, "ml", "PAUSE")]})
+    t = F.col("event_time").cast("double") - F.lit(T0).cast("double")
     edges = [-1, *[3000 * (i + 1) // parts for i in range(parts - 1)], 10 ** 6]
-    stream = live.transitions(spark.readStream.schema(SCHEMA).parquet(f"{root}/in/*"), P,
-                              watermark="0 seconds")
-    for i in range(parts):
-        t = (F.col("event_time").cast("double") - F.lit(T0).cast("double"))
-        flow.where((t > edges[i]) & (t <= edges[i + 1])).write.parquet(f"{root}/in/part={i}")
-        query = (stream.writeStream.format("parquet").option("path", f"{root}/out")
-                 .option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start())
-        query.awaitTermination()
-    df = spark.read.schema(stream.schema).parquet(f"{root}/out").cache()
+    changes, late = epochs(spark, [flow.where((t > a) & (t <= b)) for a, b in zip(edges, edges[1:])], delay)
+    assert {r.reason for r in late} == {"unknown action"} and all(r.change == 1 for r in changes)
+    df = holding(spark, changes)
     for machine, events in SEQUENCES.items():
         assert found(df, machine) == by_hand(events, 9000), machine
+
+
+def test_late_events_correct_what_was_said(spark):
+    """Any order of arrival ends in what a batch says; what can't be placed is kept as a reject."""
+    rng = random.Random(3)
+    events = {f"m{k}": sorted((rng.randrange(0, 4000), *rng.choice(
+        [("ml", "PAUSE"), ("maintenance", "FORCER_ARRET"), ("maintenance", "REPARER")])) for _ in range(12)) for k in range(6)}
+    events = {m: [e for i, e in enumerate(v) if i == 0 or e[0] != v[i - 1][0]] for m, v in events.items()}
+    flow = flow_of(spark, {**events, "zz": [(9000, "ml", "PAUSE")]}).cache()
+    seen = F.pmod(F.xxhash64("machine_id", "event_time"), F.lit(3))
+    last = F.col("machine_id") == "zz"
+    changes, late = epochs(spark, [flow.where((seen == k) & ~last) for k in (2, 0)] + [flow.where((seen == 1) | last)])
+    assert not late and any(r.change == -1 for r in changes)
+    df = holding(spark, changes)
+    for machine, rows in events.items():
+        assert found(df, machine) == by_hand(rows, 9000), machine
+
+    odd = spark.createDataFrame([("m0", None, 1, "ml", "PAUSE"), (None, T0, 2, "ml", "PAUSE"), ("m0", T0, 3, "ml", "DANCE"),
+                                 ("m0", T0, 4, "ml", "PAUSE")], SCHEMA)
+    changes, late = epochs(spark, [flow.limit(0), flow, odd], horizon=600)
+    assert sorted(r.reason for r in late) == ["event older than the kept history", "event without machine",
+                                              "event without time", "unknown action"]
+    df = holding(spark, changes)
+    for machine, rows in events.items():
+        assert found(df, machine) == by_hand(rows, 9000), machine
+
+
+def test_job_writes_changes_late_rows_and_system_alerts(spark):
+    root = workdir(spark, "test-lifecycle-job")
+    bus = Bus(spark, "parquet", f"{root}/bus")
+    flow = flow_of(spark, SEQUENCES)
+    for source, topic in (("ml", "ml_alerts"), ("maintenance", "maintenance")):
+        rows = flow.where(F.col("source") == source).withColumn("timestamp", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        bus.publish(decode.encode(rows, "machine_id", "action", "timestamp"), topic, 0)
+    run.main(["lifecycle", "--work", f"{root}/work", "--bus", f"{root}/bus", "--bus-format", "parquet", "--once"], spark)
+    changes = lake.read_measurement(spark, f"{root}/work/serving", "transitions")
+    stops = changes.where("transition = 'STOPPED' AND change = 1").count()
+    alerts = [r[0] for r in bus.table("system_alerts").selectExpr("CAST(value AS STRING)").collect()]
+    assert stops > 0 and sum('"STOPPED"' in a for a in alerts) == stops and all('"timestamp"' in a for a in alerts)
