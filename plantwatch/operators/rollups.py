@@ -22,6 +22,27 @@ def mean_by_machine(df: DataFrame, measure: str, every: str, ts: str = "event_ti
     return tumbling(df, ts, every, ["machine_id"], mean_value=F.avg(measure))
 
 
+# ---- kept rollups ------------------------------------------------------------------
+
+def partials(df: DataFrame, measures, every: str, ts: str = "event_time") -> DataFrame:
+    """Sum, count and maximum per machine, measure and window: what coarser windows, ranges and
+    further epochs can be put together from. `event_time` is the start of the window."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+                               for m in measures]))
+    rows = df.select("machine_id", ts, each.alias("_m")).where("_m.value IS NOT NULL")
+    value = F.col("_m.value")
+    return (tumbling(rows.withColumn("measure", F.col("_m.measure")), ts, every, ["machine_id", "measure"],
+                     total=F.sum(value), n=F.count(value), peak=F.max(value))
+            .withColumn("event_time", F.col("window_start")).drop("window_start", "window_end"))
+
+
+def merged(kept: DataFrame, every: str) -> DataFrame:
+    """Mean, maximum and count per window of `every`, a multiple of the kept windows."""
+    return (tumbling(kept, "event_time", every, ["machine_id", "measure"],
+                     total=F.sum("total"), n=F.sum("n"), max_value=F.max("peak"))
+            .withColumn("mean_value", F.col("total") / F.col("n")).drop("total"))
+
+
 def temperature_mean(readings: DataFrame, every: str) -> DataFrame:
     return mean_by_machine(readings, "temperature", every)
 

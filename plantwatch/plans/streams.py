@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from plantwatch.functions import decode
 from plantwatch.functions.values import rounded
-from plantwatch.operators import latest
+from plantwatch.operators import latest, rollups
 from plantwatch.plans.fleet import LIFECYCLE_VIEWS, STATE_SQL, TRANSITION_SQL
 from plantwatch.plans.registry import query
-from plantwatch.plans.tables import RUN_START, SCENARIO, Tables, with_views
+from plantwatch.plans.tables import RUN_START, SCENARIO, Tables, half_up, with_views
 from plantwatch.plans.telemetry import ENERGY_SQL, FEATURE_SQL, feature_rows
 from plantwatch.session import workdir
 from plantwatch.sources import lake
@@ -37,6 +38,45 @@ def q40(spark, sf_dir):
         "machine_id", "type_alerte", "valeur_actuelle", "valeur_normale", "event_time")
 
 
+@query("q47_stream_resume", ENERGY_SQL)
+def q47(spark, sf_dir):
+    """The energy job broken off twice, each time with an epoch written but not committed, and resumed."""
+    t, root = Tables(spark, sf_dir), workdir(spark, "resume")
+    readings = t.readings(t.replayed("events", "ts"))
+    bus = Bus(spark, "parquet", f"{root}/bus")
+
+    def run(last):
+        def stop(epoch_id, seen):
+            if epoch_id == last:
+                raise RuntimeError(f"broken off in epoch {last}")
+        _finish(jobs.energy(readings, f"{root}/serving", bus, f"{root}/checkpoint", on_count=stop, availableNow=True))
+    for last in (1, 3):
+        try:
+            run(last)
+        except StreamingQueryException:  # a table too small for so many epochs runs through
+            pass
+    run(None)
+    return lake.read_measurement(spark, f"{root}/serving", "anomalies_energie").select(
+        "machine_id", "type_alerte", "valeur_actuelle", "valeur_normale", "event_time")
+
+
+@query("q48_panel_from_rollups", with_views(f"""
+SELECT time_bucket(INTERVAL 1 HOUR, event_time) AS window_start, machine_id,
+       {half_up("avg(temperature)", 6)} AS mean_value, max(temperature) AS max_value, count(*) AS n
+FROM readings WHERE event_time >= TIMESTAMP '2024-01-10' AND event_time < TIMESTAMP '2024-01-17'
+GROUP BY ALL""", "readings"))
+def q48(spark, sf_dir):
+    """A week's panel by the hour from rollups of 10 minutes that a stream has kept."""
+    t, root = Tables(spark, sf_dir), workdir(spark, "rollups")
+    readings = t.readings(t.replayed("events", "ts", late=F.col("event_id") % 5 == 0))
+    _finish(jobs.rollup(readings, f"{root}/serving", f"{root}/checkpoint", availableNow=True))
+    kept = lake.read_measurement(spark, f"{root}/serving", "rollups").where("measure = 'temperature'")
+    days = kept.where("event_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-16'")
+    week = latest.between(days, "event_time", "2024-01-10 00:00:00", "2024-01-17 00:00:00")
+    return rollups.merged(week, "1 hour").select(
+        "window_start", "machine_id", rounded("mean_value", 6).alias("mean_value"), "max_value", "n")
+
+
 @query("q41_stream_features", with_views(FEATURE_SQL, "readings"))
 def q41(spark, sf_dir):
     t, root = Tables(spark, sf_dir), workdir(spark, "features")

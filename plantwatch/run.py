@@ -8,6 +8,7 @@ same through spark-submit.
     alerts       change alerts to the alert topic
     lifecycle    starts, ends and stops of alerts to serving and to the system alerts
     orchestrate  orders, alerts and maintenance to assignments and statuses
+    rollup       sums, counts and maxima per ten minutes to serving, for panels
     rejects      records that no job takes, to serving, with the reason
     train        choose, fit and save a model from a table of episodes
 """
@@ -36,7 +37,7 @@ def arguments(argv=None):
     parser = argparse.ArgumentParser(description=__doc__,
                                      formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("job", choices=["archive", "hot-state", "energy", "predict", "alerts",
-                                        "lifecycle", "orchestrate", "rejects", "train"])
+                                        "lifecycle", "orchestrate", "rejects", "rollup", "train"])
     parser.add_argument("--work", required=True, help="shared folder for tables and checkpoints")
     parser.add_argument("--bus", default="", help="broker list, or folder of file topics")
     parser.add_argument("--bus-format", default="kafka")
@@ -105,6 +106,8 @@ def start(args, spark: SparkSession, p: Params = DEFAULTS):
                                         learning.scorer(model), p, **trigger)
         return jobs.ml_alerts(readings, state, bus, checkpoint, p, learning.scorer(model),
                               **trigger)
+    if args.job == "rollup":
+        return jobs.rollup(bus.sensors(), serving, checkpoint, p=p, **trigger)
     if args.job == "rejects":
         return jobs.rejects(bus, serving, checkpoint, p, **trigger)
     if args.job == "lifecycle":

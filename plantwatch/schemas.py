@@ -72,13 +72,14 @@ MEASUREMENTS = {
     "rejects": ["raw", "reason"],
     "transitions": ["machine_id", "transition", "seq", "change"],
     "late_events": ["raw", "reason"],
+    "rollups": ["machine_id", "measure", "total", "n", "peak"],
 }
 # Columns of measurements that aren't text.
 MEASUREMENT_TYPES = (
     dict.fromkeys([*MEASURES, "probabilite_panne", "valeur_actuelle", "valeur_normale",
                    "pause_start_timestamp", "progress"], _D)
     | dict.fromkeys([*MEASUREMENTS["resource_manager_stats"], "size"], _L)
-    | {"duration_minutes": _I, "seq": _L, "change": _I})
+    | {"duration_minutes": _I, "seq": _L, "change": _I, "total": _D, "n": _L, "peak": _D})
 
 # Vocabularies.
 STATUSES = ["DISPONIBLE", "ASSIGNEE", "PAUSE", "ARRET", "IDLE"]

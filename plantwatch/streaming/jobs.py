@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plantwatch import schemas
 from plantwatch.functions import decode
+from plantwatch.functions.times import instant
 from plantwatch.functions.values import rounded
 from plantwatch.operators import features, latest, ordered, rollups
 from plantwatch.params import DEFAULTS, Params
@@ -71,15 +72,29 @@ def energy(readings: DataFrame, serving: str, bus: Bus, checkpoint: str, p: Para
 
 def rejects(bus: Bus, serving: str, checkpoint: str, p: Params = DEFAULTS,
             **trigger) -> StreamingQuery:
-    """Raw records that no job takes; one without any time counts as of its epoch."""
+    """Raw records that no job takes; one without any time counts as of the newest of its epoch,
+    so that a replay on another day meets the same partition."""
     rows = decode.rejects(bus.stream("orders"), bus.stream("ml_alerts"), bus.stream("maintenance"))
 
     def epoch(batch: DataFrame, epoch_id: int):
-        timed = batch.withColumn("event_time", F.coalesce("event_time", F.current_timestamp()))
-        lake.write_measurement(timed, serving, "rejects", epoch_id)
+        with shared(batch) as kept:
+            newest = kept.agg(F.max("event_time")).first()[0]
+            known = F.coalesce("event_time", instant(kept, "event_time", newest or "1970-01-01"))
+            lake.write_measurement(kept.withColumn("event_time", known), serving, "rejects", epoch_id)
     return start(rows, checkpoint, epoch, p, **trigger)
 
 
+def rollup(readings: DataFrame, serving: str, checkpoint: str, every: str = "10 minutes",
+           p: Params = DEFAULTS, on_count=None, **trigger) -> StreamingQuery:
+    """Sums, counts and maxima per window of each epoch: panels add them up instead of reading
+    the readings again. A late reading is a row more in its window, whatever the watermark."""
+    def epoch(batch: DataFrame, epoch_id: int):
+        rows, seen = counted(rollups.partials(batch, schemas.MEASURES, every), windows=F.count(F.lit(1)))
+        lake.write_measurement(rows, serving, "rollups", epoch_id)
+        _report(on_count, epoch_id, seen)
+    return start(readings, checkpoint, epoch, p, **trigger)
+
+
 def predict(readings: DataFrame, serving: str, bus: Bus | None, checkpoint: str, score=None,
             p: Params = DEFAULTS, on_count=None, **trigger) -> StreamingQuery:
     """Failure probability per reading, by `score` or by rule; high ones also as alerts."""
