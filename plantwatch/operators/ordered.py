@@ -4,7 +4,8 @@
 is left alone and a plain window per key does. Keys above `rows_per_slice` are
 cut along the order into slices of about that size, and each slice gets the few
 earlier rows it needs as `_halo` rows. Windows then run per (key, slice), and
-`finish` drops the halo. The result is the same row by row.
+`finish` drops the halo. The result is the same row by row. A frame without keys
+is dealt in ranges of its order instead, one slice each.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plantwatch.functions.times import micros
 from plantwatch.params import DEFAULTS, Params
+from plantwatch.session import stored
 
 SLICE, HALO, POS = "_slice", "_halo", "_pos"
 WHOLE = -1  # slice id of keys that are not cut
@@ -107,17 +109,17 @@ def heavy_keys(df: DataFrame, keys, p: Params = DEFAULTS) -> list:
 
 
 def sliced(df: DataFrame, keys, order, p: Params = DEFAULTS) -> Ordered:
-    """Cut heavy keys (or, without keys, a long frame) into slices along the order.
+    """Cut heavy keys (or, without keys, the whole frame) into slices along the order.
 
-    Reads the input for its row counts, and again for the result: an input that is
-    expensive to compute should be stored as a table before.
+    Without keys a slice is a range of one shuffle by range, at every size; the ranges are
+    written once, so that a row keeps its slice. With keys the input is read for its row
+    counts, and again for the result: an input that is expensive to compute should be stored
+    as a table before.
     """
     keys, order = tuple(keys), tuple(order)
     if not keys:
-        rows = df.count()
-        if rows <= p.rows_per_slice:
-            return Ordered(df, keys, order, False)
-        return Ordered(_cut(df, order, rows, None, p), keys, order, True)
+        ranges = df.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id().cast("long"))
+        return Ordered(stored(ranges, "ranges"), keys, order, True)
     heavy = heavy_keys(df, keys, p)
     if not heavy:
         return Ordered(df, keys, order, False)

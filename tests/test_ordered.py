@@ -30,6 +30,23 @@ def test_heavy_keys_are_cut(skewed):
     assert max(r["count"] for r in sizes.collect()) <= 4 * CUT.rows_per_slice
 
 
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_one_path_without_keys(spark, skewed, parts):
+    """Ranks and running totals of a whole frame, whatever the number of ranges; ties share a range."""
+    rows = sorted((r.event_time, r.seq, r.temperature) for r in skewed.collect())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        o = ordered.sliced(skewed, [], ["event_time", "seq"])
+        assert o.cut and o.df.select(ordered.SLICE).distinct().count() == int(parts)
+        got = ordered.running_sums(o, n=F.lit(1).cast("long")).select("n", "event_time", "seq", "temperature").orderBy("n").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [tuple(r) for r in got] == [(i + 1, *r) for i, r in enumerate(rows)]
+
+
 def test_more_heavy_keys_than_listed(skewed):
     p = CUT.but(rows_per_slice=3, max_listed_keys=2)
     assert multiset(features.rolling_features(skewed, p=p)) == multiset(
