@@ -325,10 +325,9 @@ def line_rows(seed=8):
     return rows + [(500, None), (501, ""), (502, "\n\n"), (7, rows[7][1]), (None, "a line with a null id"), (503, "a b\na b")]
 
 
-@pytest.mark.parametrize("block,full", [(1024, 256), (8, 256), (1024, 0.001)])
-def test_lines_equal_brute_force(spark, monkeypatch, block, full):
+@pytest.mark.parametrize("block", [1024, 8])
+def test_lines_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(lines, "BLOCK", block)
-    monkeypatch.setattr(lines, "FULL", full)
     rows = line_rows()
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, n_lines int, KEY string")
     got = lines.dedup_lines(df).collect()
@@ -389,3 +388,19 @@ def test_lines_of_nothing(spark):
 def test_log_odds_shrink_rare_units():
     odds, z, _ = toxicity.log_odds(np.array([[50.0, 0.0], [2.0, 0.0], [50.0, 500.0]]), np.array([10_000.0, 100_000.0]))
     assert z[0] > toxicity.CLEAR > z[1] and abs(odds[2]) < 0.01 and math.isfinite(odds[1])
+
+
+def test_line_code_travels_without_the_repository():
+    """What tasks get names no module of this repository, so executors need no copy of it."""
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    none = np.zeros(0, dtype=np.uint64)
+    sent = cloudpickle.dumps((lines.line_hashes, ([b"some words of a line\nmore of these words here", None], 3, 0.9, (none, none))))
+    code = "import pickle, sys; f, a = pickle.load(sys.stdin.buffer); print([x.tolist() for x in f(*a)])"
+    done = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd="/", env={"PATH": ""})
+    assert done.returncode == 0, done.stderr.decode()
+    f, a = pickle.loads(sent)
+    assert done.stdout.decode().strip() == str([x.tolist() for x in f(*a)])
