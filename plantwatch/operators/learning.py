@@ -120,8 +120,7 @@ def cross_validate(train: DataFrame, cfg: Learning = DEFAULT_LEARNING, names=Non
 
 def summarise(scores: DataFrame) -> DataFrame:
     """Mean and spread per candidate; the first best is selected."""
-    summary = scores.groupBy("candidate", "position").agg(
-        F.avg("macro_f1").alias("mean"), F.stddev_pop("macro_f1").alias("std"))
+    summary = metrics.fold_summary(scores, "candidate", "position")
     best = metrics.best_candidate(summary).select("candidate", F.lit(True).alias("_best"))
     return (summary.join(F.broadcast(best), "candidate", "left")
             .withColumn("selected", F.coalesce("_best", F.lit(False))).drop("_best"))

@@ -67,8 +67,9 @@ def average_precision(df: DataFrame, positive: Column, score: str,
                             F.sum("hits")).alias("average_precision"))
 
 
-def fold_summary(scores: DataFrame, by: str = "candidate", score: str = "macro_f1") -> DataFrame:
-    return scores.groupBy(by).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+def fold_summary(scores: DataFrame, *by: str, score: str = "macro_f1") -> DataFrame:
+    """Mean and spread over the folds, per candidate or by the columns named."""
+    return scores.groupBy(*(by or ("candidate",))).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
 
 
 def best_candidate(summary: DataFrame) -> DataFrame:
