@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from conftest import multiset
 from plantwatch import schemas
 from plantwatch.functions import decode
 from plantwatch.operators import features, lifecycle, rollups
@@ -187,3 +189,29 @@ def test_no_machine_local_folder_on_a_cluster():
     far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", applicationId="x"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(far)
+
+
+def test_crash_between_two_sinks(spark, root, tables):
+    """The measurement of an epoch is written, its alerts are not; the resumed job ends in equal tables."""
+    failed = []
+
+    class Broken(Bus):
+        def publish(self, df, name, epoch_id=None):
+            if epoch_id == 1 and not failed:
+                failed.append(epoch_id)
+                raise RuntimeError("the broker is away")
+            super().publish(df, name, epoch_id)
+    work = f"{root}/crash"
+    readings = tables.readings(tables.replayed("events", "ts", epochs=3))
+    broken = Broken(spark, "parquet", f"{work}/bus")
+    for again in (False, True):
+        query = jobs.energy(readings, f"{work}/serving", broken, f"{work}/checkpoint", availableNow=True)
+        if again:
+            query.awaitTermination()
+        else:
+            with pytest.raises(StreamingQueryException):
+                query.awaitTermination()
+    want = rollups.energy_anomalies(tables.readings())
+    got = lake.read_measurement(spark, f"{work}/serving", "anomalies_energie")
+    assert failed and multiset(got.select(*want.columns)) == multiset(want)
+    assert broken.table("energy_alerts").count() == want.count()
