@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from plantwatch.functions import decode
+from plantwatch.functions import decode, rules
 from plantwatch.functions.values import rounded
 from plantwatch.operators import latest, rollups
+from plantwatch.params import DEFAULTS
 from plantwatch.plans.fleet import LIFECYCLE_VIEWS, STATE_SQL, TRANSITION_SQL
 from plantwatch.plans.registry import query
 from plantwatch.plans.tables import RUN_START, SCENARIO, Tables, half_up, with_views
@@ -197,3 +198,118 @@ def q45(spark, sf_dir):
     _finish(plant.start(rows, f"{root}/checkpoint", availableNow=True))
     return lake.read_measurement(spark, f"{root}/serving", "assignations").select(
         "task_id", "machine_id", "product_name", "duration_minutes", "event_time")
+
+
+# Ends of the epochs: close together in the middle, so that tasks run on from one to the next.
+EPOCH_EDGES = ("2024-01-10", "2024-01-11", "2024-01-13", "2024-02-02")
+
+
+def _epoch_sql(k: int) -> str:
+    """Epoch k (from 1) on what epoch k - 1 left in `held` and `waiting`, each a table per epoch."""
+    now, p = f"(SELECT t FROM clock{k})", k - 1
+    edge = f"TIMESTAMP '{EPOCH_EDGES[p]}'"
+    since = f"AND event_time >= TIMESTAMP '{EPOCH_EDGES[p - 1]}'" if p else ""
+    alerts = (STATE_SQL.replace("TIMESTAMP '2024-01-31'", now).replace("state AS (", f"state{k} AS (")
+              .replace("active AS (", f"active{k} AS (").replace("FROM state ", f"FROM state{k} "))
+    return f"""
+clock{k} AS MATERIALIZED (SELECT max(event_time) AS t FROM inbox WHERE event_time < {edge}),
+{alerts},
+stops{k} AS (
+  SELECT machine_id, event_time AS stop_at, seq AS stop_seq FROM flow
+  WHERE effect = 'ARRET' AND event_time < {edge} {since}
+  QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY event_time, seq) = 1),
+cut{k} AS MATERIALIZED (
+  SELECT *, date_diff('microsecond', event_time, stop_at) / 6e7 / duration_minutes AS share
+  FROM held{p} JOIN stops{k} USING (machine_id)
+  WHERE event_time <= stop_at
+    AND date_diff('microsecond', event_time, stop_at) < CAST(duration_minutes AS BIGINT) * 60000000),
+going{k} AS MATERIALIZED (
+  SELECT * FROM held{p} WHERE task_id NOT IN (SELECT task_id FROM cut{k})
+    AND date_diff('microsecond', event_time, {now}) < CAST(duration_minutes AS BIGINT) * 60000000),
+queue{k} AS MATERIALIZED (
+  SELECT * FROM waiting{p}
+  UNION ALL SELECT * FROM arrivals WHERE event_time < {edge} {since}
+  UNION ALL SELECT task_id, product_name, duration_minutes, 'HAUTE', stop_at, stop_seq,
+                   epoch_us(stop_at) FROM cut{k} WHERE share < 8e-1),
+metrics{k} AS (
+  SELECT machine_id, arg_max(temperature, (event_time, seq)) AS temperature,
+         arg_max(charge_travail, (event_time, seq)) AS charge_travail
+  FROM readings WHERE event_time <= {now} AND event_time > {now} - INTERVAL 12 HOUR
+  GROUP BY machine_id),
+machines{k} AS (
+  SELECT machine_id, row_number() OVER (ORDER BY m.machine_id IS NULL,
+    coalesce(temperature, 7e1) / 1e2 * 6e-1 + coalesce(charge_travail, 5e1) / 1e2 * 4e-1, pos)
+    AS k
+  FROM roster LEFT JOIN metrics{k} m USING (machine_id)
+  WHERE machine_id NOT IN (SELECT machine_id FROM active{k})
+    AND machine_id NOT IN (SELECT machine_id FROM going{k})),
+tasks{k} AS (
+  SELECT *, row_number() OVER (ORDER BY priority <> 'HAUTE', coalesce(-back, 0), event_time, seq,
+                               task_id) AS k FROM queue{k}),
+given{k} AS MATERIALIZED (
+  SELECT m.machine_id, task_id, product_name, duration_minutes, {now} AS event_time
+  FROM tasks{k} JOIN machines{k} m USING (k)),
+held{k} AS MATERIALIZED (SELECT * FROM going{k} UNION ALL SELECT * FROM given{k}),
+waiting{k} AS MATERIALIZED (
+  SELECT * FROM queue{k} WHERE task_id NOT IN (SELECT task_id FROM given{k}))"""
+
+
+EPOCHS = range(1, len(EPOCH_EDGES) + 1)
+EPOCHS_SQL = with_views(f"""
+WITH arrivals AS MATERIALIZED (
+  SELECT task_id, product_name, greatest(1, CAST(trunc(quantity / 1e2) AS INTEGER)) AS duration_minutes,
+         priority, event_time - to_seconds((seq * 37) % 86400) AS event_time, seq,
+         CAST(NULL AS BIGINT) AS back FROM assignments),
+inbox AS MATERIALIZED (
+  SELECT ts AS event_time FROM events WHERE event_type IN ('signup', 'error', 'purchase')
+  UNION ALL SELECT event_time FROM arrivals),
+waiting0 AS (SELECT * FROM arrivals WHERE false),
+held0 AS (SELECT machine_id, task_id, product_name, duration_minutes, event_time
+          FROM assignments WHERE false),
+{",".join(map(_epoch_sql, EPOCHS))}
+{" UNION ALL ".join(f'''
+SELECT CAST({k - 1} AS BIGINT) AS epoch_id, 'ASSIGNED' AS kind, task_id, machine_id, event_time
+FROM given{k}
+UNION ALL
+SELECT {k - 1}, CASE WHEN share < 8e-1 THEN 'REQUEUED' ELSE 'COMPLETED' END, task_id, machine_id,
+       stop_at FROM cut{k}
+UNION ALL
+SELECT {k - 1}, 'IN_QUEUE', CAST(count(*) AS VARCHAR), NULL, (SELECT t FROM clock{k})
+FROM waiting{k}''' for k in EPOCHS)}""", "flow", "assignments", "roster", "readings")
+
+
+@query("q49_orchestration_epochs", EPOCHS_SQL)
+def q49(spark, sf_dir):
+    """The orchestrator over several epochs, stopped after each and started again: what it
+    assigned, what stops cut short, and how many tasks were left waiting."""
+    t, root = Tables(spark, sf_dir), workdir(spark, "orchestrate")
+    orders = t.arrivals().withColumns({
+        "duration_minutes": rules.task_minutes("quantity", DEFAULTS),
+        "requeue_seq": F.lit(None).cast("long")})
+    rows = inbox(orders, t.alert_events(), t.maintenance_events())
+
+    def metrics_at(as_of):
+        recent = latest.lookback(t.readings(), "event_time", as_of, SCENARIO.state_lookback)
+        return latest.latest_fields(recent, ["machine_id"], ["temperature", "charge_travail"],
+                                    "event_time")
+
+    plant = Orchestrator(t.roster(), metrics_at, f"{root}/state",
+                         Bus(spark, "parquet", f"{root}/bus"), f"{root}/serving",
+                         orders.schema["event_time"].dataType, RUN_START,
+                         SCENARIO.but(min_available=0))
+    before = F.lit(False)
+    for edge in EPOCH_EDGES:
+        due = F.col("event_time") < F.lit(edge).cast("timestamp_ntz")
+        rows.where(due & ~before).write.mode("append").parquet(f"{root}/inbox")
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{root}/inbox")
+        _finish(plant.start(arrived, f"{root}/checkpoint", availableNow=True))
+        before = due
+
+    def told(name, kind, task, machine=F.col("machine_id")):
+        return lake.read_measurement(spark, f"{root}/serving", name).select(
+            F.col("epoch_id").cast("long").alias("epoch_id"), kind.alias("kind"),
+            task.alias("task_id"), machine.alias("machine_id"), "event_time")
+    return (told("assignations", F.lit("ASSIGNED"), F.col("task_id"))
+            .unionByName(told("interruptions", F.col("outcome"), F.col("task_id")))
+            .unionByName(told("task_queue", F.lit("IN_QUEUE"), F.col("size").cast("string"),
+                              F.lit(None).cast("string"))))
