@@ -70,13 +70,17 @@ def _new_orders(orders: DataFrame, state: dict[str, DataFrame]) -> DataFrame:
 
 
 def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics: DataFrame,
-        roster: DataFrame, as_of, started, p: Params = DEFAULTS, settle=None) -> Epoch:
+        roster: DataFrame, as_of, started, p: Params = DEFAULTS, settle=None,
+        keep_queue=None) -> Epoch:
     """Advance the state to `as_of`.
 
     `orders` are new queue rows, `flow` new alert and maintenance events, `metrics`
     the latest temperature and workload per machine. `settle(df, name)` stores a
     step's result and returns the stored rows: later steps read each several times,
     and their plans stay short. By default it is a new table below the checkpoint folder.
+    `keep_queue(added, removed)` stores the queue's changes and returns the queue: the one
+    table that grows with the work waiting isn't written anew. Its length is kept as a
+    counter, and only its head is stored as a step.
     """
     settle = settle or stored
     time = flow.schema["event_time"].dataType
@@ -104,16 +108,16 @@ def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics
     finished = settle(work.completed(going, as_of), "finished")
     held = work.still_held(going, as_of)
     orders = settle(_new_orders(orders.select(*state["queue"].columns), state), "orders")
-    queue = settle(state["queue"].unionByName(orders)
-                   .unionByName(work.requeued(cut_short).select(*state["queue"].columns)),
-                   "waiting")
-    waiting = not queue.isEmpty()
+    added = orders.unionByName(work.requeued(cut_short).select(*state["queue"].columns))
+    queue = state["queue"].unionByName(added)
+    length = (state["counters"].agg(F.sum("in_queue")).first()[0] or 0) + added.count()
+    waiting = length > 0
 
     # machines that may work, after at most one early return
     sleeping = state["idle"].withColumn("statut", F.lit("IDLE"))
     free = settle(fleet.available_machines(roster, sleeping, held, active, waiting), "free")
-    load = work.merge_counters(queue.agg(F.count(F.lit(1)).alias("queue_size")),
-                               free.agg(F.count(F.lit(1)).alias("available")))
+    load = free.agg(F.count(F.lit(1)).alias("available")).withColumn(
+        "queue_size", F.lit(length).cast("long"))
     released = settle(lifecycle.early_return(active, pauses, load, p).select("machine_id"),
                       "released")
     blocked = active.join(released, "machine_id", "left_anti")
@@ -125,11 +129,15 @@ def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics
 
     # assignment
     scored = settle(fleet.scored_simple(free.unionByName(freed), metrics), "scored")
-    assigned = settle(work.assign(queue, scored, p).withColumn("event_time", now)
+    head = settle(work.queue_head(queue, scored.count(), p), "head")
+    assigned = settle(work.assign(head, scored, p).withColumn("event_time", now)
                       .withColumn("seq", F.lit(None).cast("long")), "assigned")
     held_after = settle(held.unionByName(assigned.select(*held.columns)), "held")
-    queue_after = settle(work.remaining_queue(queue, assigned), "queue")
-    drained = queue_after.isEmpty()
+    if keep_queue:
+        queue_after = keep_queue(added, assigned.select("task_id"))
+    else:
+        queue_after = settle(work.remaining_queue(queue, assigned), "queue")
+    left = length - assigned.count()
 
     # activity, idling
     ended = finished.select("machine_id", now.alias("event_time"))
@@ -139,7 +147,7 @@ def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics
     awake = state["idle"].join(assigned.select("machine_id"), "machine_id", "left_anti")
     status = derived_status(roster, blocked, held_after, awake)
     shutdowns = settle(fleet.idle_shutdowns(
-        roster, status, held_after, activity, started, as_of, work_waiting=not drained, p=p),
+        roster, status, held_after, activity, started, as_of, work_waiting=left > 0, p=p),
         "shutdowns")
     idle = settle(awake.unionByName(shutdowns.select("machine_id")), "idle")
 
@@ -151,7 +159,7 @@ def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics
         cut_short.agg(F.count(F.when(F.col("outcome") == "COMPLETED", 1)).alias("_late"),
                       F.count(F.when(F.col("outcome") == "REQUEUED", 1)).alias("interrupted")),
         alerts_row, released.agg(F.count(F.lit(1)).alias("emergency_returns")),
-        queue_after.agg(F.count(F.lit(1)).alias("in_queue")))
+        free.sparkSession.range(1).select(F.lit(left).cast("long").alias("in_queue")))
     delta = counters.withColumn("completed", F.col("_finished") + F.col("_late")).select(*KPI)
     # depth is a level, the others add up over epochs
     before = state["counters"].withColumn("in_queue", F.lit(0).cast("long"))

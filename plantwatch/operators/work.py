@@ -13,8 +13,11 @@ from plantwatch.params import DEFAULTS, Params
 TASK = ["task_id", "product_name", "quantity", "duration_minutes", "priority"]
 
 
-def queue_ranks(queue: DataFrame, p: Params = DEFAULTS, first: int | None = None) -> DataFrame:
-    """Order in which tasks leave the queue; with `first`, of as many tasks at its head.
+PLACE = ["_lane", "_at", "seq", "task_id"]
+
+
+def _placed(queue: DataFrame) -> DataFrame:
+    """Queue rows with their place (`PLACE`).
 
     Urgent tasks first; among equals, tasks put back at the head (the latest one
     put back leads) and then by arrival.
@@ -27,11 +30,21 @@ def queue_ranks(queue: DataFrame, p: Params = DEFAULTS, first: int | None = None
     # Urgency and head place first as one number, so that slicing sees arrival next.
     keyed = keyed.withColumn("_lane", F.when(F.col("_back") < 1, F.col("_back") - 1).otherwise(0))
     lane = F.col("_urgent").cast("double") * 1e15 + F.col("_lane")
-    keyed, order = keyed.withColumn("_lane", lane), ["_lane", "_at", "seq", "task_id"]
-    if first is not None and first <= p.max_top:
-        keyed = keyed.orderBy(*order).limit(first)
-    ranked = rank_rows(keyed, order, "rank", p=p)
-    return ranked.drop("_urgent", "_back", "_at", "_lane")
+    return keyed.withColumn("_lane", lane).drop("_urgent", "_back")
+
+
+def queue_head(queue: DataFrame, first: int, p: Params = DEFAULTS) -> DataFrame:
+    """At least the `first` tasks of the queue: just those, unless one task can't sort so many."""
+    if first > p.max_top:
+        return queue
+    return _placed(queue).orderBy(*PLACE).limit(first).select(*queue.columns)
+
+
+def queue_ranks(queue: DataFrame, p: Params = DEFAULTS, first: int | None = None) -> DataFrame:
+    """Order in which tasks leave the queue; with `first`, of as many tasks at its head."""
+    if first is not None:
+        queue = queue_head(queue, first, p)
+    return rank_rows(_placed(queue), PLACE, "rank", p=p).drop("_at", "_lane")
 
 
 def machine_ranks(scored: DataFrame, p: Params = DEFAULTS) -> DataFrame:

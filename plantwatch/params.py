@@ -46,6 +46,7 @@ class Params:
     # cadence
     trigger: str = "20 seconds"
     epoch: str = "30 seconds"
+    queue_epochs: int = 20  # epochs between whole copies of the queue; others write changes
     watermark: str = "10 minutes"
     # scale: ordered work on more rows than this is cut into slices
     rows_per_slice: int = 2_000_000

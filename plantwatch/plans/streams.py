@@ -296,7 +296,7 @@ def q49(spark, sf_dir):
     plant = Orchestrator(t.roster(), metrics_at, f"{root}/state",
                          Bus(spark, "parquet", f"{root}/bus"), f"{root}/serving",
                          orders.schema["event_time"].dataType, RUN_START,
-                         SCENARIO.but(min_available=0))
+                         SCENARIO.but(min_available=0, queue_epochs=2))
     before = F.lit(False)
     for edge in EPOCH_EDGES:
         due = F.col("event_time") < F.lit(edge).cast("timestamp_ntz")

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from plantwatch import schemas
 from plantwatch.functions.times import instant
 from plantwatch.params import DEFAULTS, Params
+from plantwatch.session import remove
 
 PARTS = ["year", "month", "day"]
 
@@ -128,6 +129,75 @@ class StateTable:
          .write.mode("overwrite").parquet(self._slot(epoch_id)))
 
 
+class DeltaTable:
+    """A table that epoch n reads as epoch n-1 left it, for one that is large next to its changes.
+
+    An epoch writes the rows it adds and the keys it removes, each in a folder of its own,
+    so a replay finds its input and replaces its output. Every `every`th epoch writes the
+    whole table as well: no read meets more changes than that, and what lies before the
+    last whole copy but one is deleted. A key that is in the table isn't added again
+    before it is removed; one both added and removed in an epoch is gone.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str,
+                 every: int):
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+        self.every = max(1, every)
+
+    def _folder(self, kind: str, epoch_id: int) -> str:
+        return f"{self.path}/{kind}/epoch={epoch_id}"
+
+    def _read(self, kind: str, epochs, columns) -> DataFrame:
+        stored = T.StructType([*columns, T.StructField("_epoch", T.LongType())])
+        folders = [self._folder(kind, n) for n in epochs]
+        if not folders:
+            return self.spark.createDataFrame([], stored)
+        return self.spark.read.schema(stored).parquet(*folders)
+
+    def _write(self, df: DataFrame, kind: str, epoch_id: int) -> None:
+        (df.withColumn("_epoch", F.lit(epoch_id).cast("long"))
+         .write.mode("overwrite").parquet(self._folder(kind, epoch_id)))
+
+    def before(self, epoch_id: int) -> DataFrame:
+        if epoch_id == 0:
+            return self.spark.createDataFrame([], self.schema)
+        last = epoch_id - 1
+        whole = last - last % self.every
+        since = range(whole + 1, epoch_id)
+        try:
+            rows = self._read("whole", [whole], self.schema).unionByName(
+                self._read("added", since, self.schema))
+            gone = self._read("removed", since, [self.schema[self.key]])
+        except AnalysisException as error:
+            raise RuntimeError(f"{self.path} has no state of epoch {last}") from error
+        if not since:
+            return rows.drop("_epoch")
+        gone = gone.groupBy(F.col(self.key).alias("_key")).agg(F.max("_epoch").alias("_gone"))
+        return rows.join(gone, (F.col(self.key) == F.col("_key"))
+                         & (F.col("_epoch") <= F.col("_gone")), "left_anti").drop("_epoch")
+
+    def after(self, epoch_id: int) -> DataFrame:
+        return self.before(epoch_id + 1)
+
+    def save(self, added: DataFrame, removed: DataFrame, epoch_id: int) -> None:
+        """`removed` has the key column; of `added`, rows whose key is in it aren't kept."""
+        names, keys = self.schema.fieldNames(), removed.select(self.key)
+        self._write(added.select(*names).join(keys, self.key, "left_anti").select(*names),
+                    "added", epoch_id)
+        self._write(keys, "removed", epoch_id)
+        if epoch_id % self.every:
+            return
+        kept = self.before(epoch_id).join(keys, self.key, "left_anti").select(*names)
+        new = self._read("added", [epoch_id], self.schema).drop("_epoch")
+        self._write(kept.unionByName(new), "whole", epoch_id)
+        # A replay of this epoch reads from the whole copy before it.
+        old = epoch_id - self.every
+        remove(self.spark, self._folder("whole", old - self.every))
+        for n in range(max(0, old - self.every), old + 1):
+            for kind in ("added", "removed"):
+                remove(self.spark, self._folder(kind, n))
+
+
 def settler(root: str, epoch_id: int):
     """Stores a step of an epoch below `root` and hands back the stored rows."""
     def settle(df: DataFrame, name: str) -> DataFrame:

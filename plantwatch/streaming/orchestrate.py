@@ -49,6 +49,8 @@ class Orchestrator:
         spark = roster.sparkSession
         self.tables = {n: lake.StateTable(spark, f"{root}/{n}", schema)
                        for n, schema in epochs.state_schemas(time).items()}
+        self.tables["queue"] = lake.DeltaTable(spark, f"{root}/queue", self.tables["queue"].schema,
+                                               "task_id", p.queue_epochs)
         self.clock = lake.StateTable(spark, f"{root}/clock", T.StructType(
             [T.StructField("event_time", time)]))
 
@@ -63,6 +65,13 @@ class Orchestrator:
         known = [t for t in (last and last[0], seen) if t is not None]
         return max(known) if known else datetime.fromisoformat(str(self.started))
 
+    def _keep_queue(self, epoch_id: int):
+        def keep(added: DataFrame, removed: DataFrame) -> DataFrame:
+            queue = self.tables["queue"]
+            queue.save(added, removed, epoch_id)
+            return queue.after(epoch_id)
+        return keep
+
     def epoch(self, batch: DataFrame, epoch_id: int) -> None:
         with shared(batch) as rows:
             as_of = self._now(rows, epoch_id)
@@ -72,7 +81,8 @@ class Orchestrator:
             orders = timed.where(F.col("kind") == "order").select(*ORDER_COLUMNS)
             flow = timed.where(F.col("kind") == "event").select(*lifecycle.FLOW)
             result = epochs.run(state, orders, flow, self.metrics_at(as_of), self.roster, as_of,
-                                self.started, self.p, lake.settler(self.root, epoch_id))
+                                self.started, self.p, lake.settler(self.root, epoch_id),
+                                self._keep_queue(epoch_id))
         self._sinks(result.outputs, epoch_id)
         self.clock.save(self.roster.sparkSession.range(1).select(now.alias("event_time")), epoch_id)
 

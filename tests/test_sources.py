@@ -1,6 +1,8 @@
 """Bus topics, archive, measurements and state tables; replays change nothing."""
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -114,6 +116,33 @@ def test_state_table(spark, root):
     assert t.after(3).count() == 4 and t.before(3).count() == 3
 
 
+def test_delta_table(spark, root):
+    """Random changes, every epoch run twice, against a plain dictionary."""
+    rng, want, gone = random.Random(5), {}, []
+    t = lake.DeltaTable(spark, root, spark.createDataFrame([], "k string, v long").schema, "k", 3)
+    assert t.before(0).count() == 0
+    with pytest.raises(RuntimeError, match="no state of epoch 4"):
+        t.before(5)
+    for epoch in range(11):
+        assert dict(map(tuple, t.before(epoch).collect())) == want
+        added = {f"k{epoch}-{i}": epoch for i in range(rng.randint(0, 3))}
+        added |= {k: epoch for k in rng.sample(gone, min(1, len(gone)))}  # comes back
+        removed = rng.sample(sorted(want | added), min(2, len(want | added)))
+        for _ in range(2):
+            t.save(spark.createDataFrame(list(added.items()), t.schema),
+                   spark.createDataFrame([(k,) for k in removed], "k string"), epoch)
+        before, want = want, {k: v for k, v in (want | added).items() if k not in removed}
+        gone = [k for k in {*gone, *removed} if k not in want]
+        # neither does a replay find another input, nor are whole tables written in between
+        assert dict(map(tuple, t.before(epoch).collect())) == before
+        if epoch % 3:
+            new = t._read("added", [epoch], t.schema).drop("_epoch")
+            assert dict(map(tuple, new.collect())) == {k: v for k, v in added.items() if k in want}
+    assert dict(map(tuple, t.after(10).collect())) == want
+    assert sorted(os.listdir(f"{root}/whole")) == ["epoch=6", "epoch=9"]
+    assert sorted(os.listdir(f"{root}/added")) == ["epoch=10", "epoch=7", "epoch=8", "epoch=9"]
+
+
 def test_feature_stream_over_epochs(spark, root, tables):
     """Many small epochs, one of them replayed, give the rows of one batch."""
     readings = tables.readings().select(*jobs.KEPT).cache()
