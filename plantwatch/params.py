@@ -48,6 +48,7 @@ class Params:
     epoch: str = "30 seconds"
     queue_epochs: int = 20  # epochs between whole copies of the queue; others write changes
     watermark: str = "10 minutes"
+    archive_file_bytes: int = 256 << 20  # input to one file of the compacted archive
     # scale: ordered work on more rows than this is cut into slices
     rows_per_slice: int = 2_000_000
     max_slices: int = 50_000

@@ -14,7 +14,7 @@ from plantwatch.plans.registry import query
 from plantwatch.plans.tables import RUN_START, SCENARIO, Tables, half_up, with_views
 from plantwatch.plans.telemetry import ENERGY_SQL, FEATURE_SQL, feature_rows
 from plantwatch.session import workdir
-from plantwatch.sources import lake
+from plantwatch.sources import compaction, lake
 from plantwatch.sources.bus import Bus
 from plantwatch.streaming import jobs, lifecycle
 from plantwatch.streaming.orchestrate import Orchestrator, inbox
@@ -112,19 +112,34 @@ def q42(spark, sf_dir):
     return lifecycle.net(changes).select("machine_id", "transition", "event_time")
 
 
-@query("q43_archive_roundtrip", with_views("""
+TWO_WEEKS = "2024-01-08 00:00:00", "2024-01-22 00:00:00"
+TWO_WEEKS_SQL = with_views("""
 SELECT machine_id, etat, charge_travail, consommation_electrique, vibration, temperature, pression,
        event_time, CAST(day(event_time) AS INTEGER) AS "day"
-FROM readings WHERE event_time >= TIMESTAMP '2024-01-08' AND event_time < TIMESTAMP '2024-01-22'""",
-                                          "readings"))
+FROM readings WHERE event_time >= TIMESTAMP '2024-01-08' AND event_time < TIMESTAMP '2024-01-22'""", "readings")
+
+
+def _shown(archived):
+    return archived.select("machine_id", "etat", "charge_travail", "consommation_electrique", "vibration",
+                           "temperature", "pression",
+                           F.col("event_time").cast("timestamp_ntz").alias("event_time"), "day")
+
+
+def _contract(readings):
+    """Readings as the archive's sink takes them."""
+    return (readings.withColumn("timestamp", F.col("event_time").cast("string"))
+            .withColumn("event_time", F.col("event_time").cast("timestamp"))
+            .withColumns({"year": F.year("event_time"), "month": F.month("event_time"),
+                          "day": F.dayofmonth("event_time")})
+            .select(*lake.archive_schema().fieldNames()))
+
+
+@query("q43_archive_roundtrip", TWO_WEEKS_SQL)
 def q43(spark, sf_dir):
     """All readings into the archive, two weeks read back through the partitions."""
     t, root = Tables(spark, sf_dir), workdir(spark, "archive")
     lake.archive(decode.sensors(t.sensor_json()), f"{root}/lake")
-    df = lake.read_archive(spark, f"{root}/lake", "2024-01-08 00:00:00", "2024-01-22 00:00:00")
-    return df.select("machine_id", "etat", "charge_travail", "consommation_electrique", "vibration",
-                     "temperature", "pression",
-                     F.col("event_time").cast("timestamp_ntz").alias("event_time"), "day")
+    return _shown(lake.read_archive(spark, f"{root}/lake", *TWO_WEEKS))
 
 
 @query("q43b_stream_archive", with_views("""
@@ -132,16 +147,20 @@ SELECT machine_id, etat, charge_travail, consommation_electrique, vibration, tem
        event_time FROM readings""", "readings"))
 def q43b(spark, sf_dir):
     t, root = Tables(spark, sf_dir), workdir(spark, "archive-stream")
-    readings = t.readings(t.replayed("events", "ts"))
-    contract = (readings.withColumn("timestamp", F.col("event_time").cast("string"))
-                .withColumn("event_time", F.col("event_time").cast("timestamp"))
-                .withColumns({"year": F.year("event_time"), "month": F.month("event_time"),
-                              "day": F.dayofmonth("event_time")})
-                .select(*lake.archive_schema().fieldNames()))
-    _finish(lake.archive_stream(contract, f"{root}/lake", f"{root}/checkpoint", availableNow=True))
-    return lake.read_archive(spark, f"{root}/lake").select(
-        "machine_id", "etat", "charge_travail", "consommation_electrique", "vibration",
-        "temperature", "pression", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
+    readings = _contract(t.readings(t.replayed("events", "ts")))
+    _finish(lake.archive_stream(readings, f"{root}/lake", f"{root}/checkpoint", availableNow=True))
+    return _shown(lake.read_archive(spark, f"{root}/lake")).drop("day")
+
+
+@query("q43c_compacted_archive", TWO_WEEKS_SQL)
+def q43c(spark, sf_dir):
+    """The stream's archive, compacted up to a day within the two weeks that are read: what lies
+    before comes from few files chosen by their statistics, the rest from the archive's own."""
+    t, root = Tables(spark, sf_dir), workdir(spark, "archive-compact")
+    readings = _contract(t.readings(t.replayed("events", "ts", late=F.col("event_id") % 7 == 0)))
+    _finish(lake.archive_stream(readings, f"{root}/lake", f"{root}/checkpoint", availableNow=True))
+    compaction.compact(spark, f"{root}/lake", f"{root}/compact", "2024-01-15")
+    return _shown(compaction.read(spark, f"{root}/lake", f"{root}/compact", *TWO_WEEKS))
 
 
 @query("q46_stream_hourly_mean", with_views("""

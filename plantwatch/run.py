@@ -10,6 +10,7 @@ same through spark-submit.
     orchestrate  orders, alerts and maintenance to assignments and statuses
     rollup       sums, counts and maxima per ten minutes to serving, for panels
     rejects      records that no job takes, to serving, with the reason
+    compact      closed days of the archive to few files with statistics
     train        choose, fit and save a model from a table of episodes
 """
 
@@ -23,7 +24,7 @@ from plantwatch import session
 from plantwatch.functions import decode
 from plantwatch.operators import features, latest, learning
 from plantwatch.params import DEFAULTS, Params
-from plantwatch.sources import lake
+from plantwatch.sources import compaction, lake
 from plantwatch.sources.bus import Bus
 from plantwatch.operators.lifecycle import FLOW
 from plantwatch.streaming import jobs, lifecycle
@@ -37,7 +38,7 @@ def arguments(argv=None):
     parser = argparse.ArgumentParser(description=__doc__,
                                      formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("job", choices=["archive", "hot-state", "energy", "predict", "alerts",
-                                        "lifecycle", "orchestrate", "rejects", "rollup", "train"])
+                                        "compact", "lifecycle", "orchestrate", "rejects", "rollup", "train"])
     parser.add_argument("--work", required=True, help="shared folder for tables and checkpoints")
     parser.add_argument("--bus", default="", help="broker list, or folder of file topics")
     parser.add_argument("--bus-format", default="kafka")
@@ -46,6 +47,7 @@ def arguments(argv=None):
     parser.add_argument("--roster", help="table of machine_id and pos; default: five pumps")
     parser.add_argument("--started", default="1970-01-01 00:00:00",
                         help="start of the run, from which silent machines count as idle")
+    parser.add_argument("--before", help="first day that is not compacted; default: today")
     parser.add_argument("--single", action="store_true",
                         help="predict from lone readings instead of rolling features")
     parser.add_argument("--once", action="store_true", help="stop when the input is read")
@@ -135,6 +137,11 @@ def main(argv=None, spark: SparkSession | None = None):
         summary.show()
         scores.show()
         return
+    if args.job == "compact":
+        before = args.before or spark.sql("SELECT current_date()").first()[0]
+        taken = compaction.compact(spark, f"{args.work}/archive", f"{args.work}/archive-compact", before)
+        print(f"files taken: {taken}")
+        return
     start(args, spark).awaitTermination()
 
 

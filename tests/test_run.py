@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plantwatch import run
 from plantwatch.session import workdir
-from plantwatch.sources import lake
+from plantwatch.sources import compaction, lake
 from plantwatch.sources.bus import Bus
 from plantwatch.streaming import jobs
 
@@ -41,6 +41,9 @@ def test_plant(spark, work):
         job(name)
     assert lake.read_archive(spark, f"{work}/archive", "2024-01-01 00:00:00",
                              "2024-01-02 00:00:00").count() == 15
+    run.main(["compact", "--work", work], spark)
+    compacted = compaction.read(spark, f"{work}/archive", f"{work}/archive-compact")
+    assert compacted.count() == 15 and all("/archive-compact/" in f for f in compacted.inputFiles())
     assert bus.table("energy_alerts").count() == 15
     alerts = [json.loads(r.value) for r in bus.table("ml_alerts").collect()]
     assert sorted((a["machine_id"], a["action"]) for a in alerts) == [
