@@ -77,14 +77,15 @@ def measurement_schema(name: str) -> T.StructType:
                          T.StructField("epoch_id", T.LongType())])
 
 
-def read_measurement(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A measurement as written so far; one never written, or without rows, is empty."""
+def read_measurement(spark: SparkSession, root: str, name: str, upto: int | None = None) -> DataFrame:
+    """A measurement as written so far, or up to an epoch; one never written, or without rows, is empty."""
     try:
-        return spark.read.parquet(f"{root}/{name}")
+        rows = spark.read.parquet(f"{root}/{name}")
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], measurement_schema(name))
+        rows = spark.createDataFrame([], measurement_schema(name))
+    return rows if upto is None else rows.where(F.col("epoch_id") <= upto)
 
 
 def measurement_lookback(df: DataFrame, as_of, length: str) -> DataFrame:
@@ -124,6 +125,18 @@ class StateTable:
     def after(self, epoch_id: int) -> DataFrame:
         return self.before(epoch_id + 1)
 
+    def last(self) -> int:
+        """The newest epoch saved; -1 before the first. Also right while a slot is being replaced."""
+        try:
+            rows = (self.spark.read.schema("_epoch long").option("ignoreMissingFiles", True)
+                    .parquet(self.path))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return -1
+        newest = rows.agg(F.max("_epoch")).first()[0]
+        return -1 if newest is None else newest
+
     def save(self, df: DataFrame, epoch_id: int) -> None:
         (df.select(*self.schema.fieldNames()).withColumn("_epoch", F.lit(epoch_id).cast("long"))
          .write.mode("overwrite").parquet(self._slot(epoch_id)))

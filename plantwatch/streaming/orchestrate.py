@@ -40,6 +40,9 @@ class Orchestrator:
     is part of the state and never runs back: it is the newest tick or, without ticks,
     the newest event of the epoch, or else what it was. Records without a time, or
     with one after the clock, happen at the clock.
+
+    The clock is saved after all sinks, so its epoch says how far they are whole: `served`
+    shows no epoch of which a sink is missing.
     """
 
     def __init__(self, roster: DataFrame, metrics_at, root: str, bus: Bus, serving: str, time,
@@ -99,6 +102,11 @@ class Orchestrator:
         measure(out["stats"], "resource_manager_stats")
         measure(out["queue_size"], "task_queue")
 
+    def served(self, *names: str) -> list[DataFrame]:
+        """The measurements named, all up to the last epoch whose sinks are all written."""
+        last = self.clock.last()
+        return [lake.read_measurement(self.roster.sparkSession, self.serving, n, last) for n in names]
+
     def start(self, inbox_rows: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return start(inbox_rows, checkpoint, self.epoch, self.p,
                      **(trigger or {"processingTime": self.p.epoch}))

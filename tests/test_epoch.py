@@ -320,3 +320,33 @@ def test_interruptions_and_commands_are_kept(plant):
     assert (row.machine_id, row.task_id, row.outcome) == ("a", "t1", "REQUEUED")
     assert [r.value for r in plant.bus.table("commands").collect()] == [
         b'{"machine_id":"a","action":"ARRETER"}']
+
+
+SINKS = ["assignations", "statut_machines", "interruptions", "resource_manager_stats", "task_queue"]
+
+
+def test_readers_see_all_sinks_of_an_epoch_or_none(plant):
+    """An epoch broken off between two sinks shows in none of them until it is run again."""
+    assert plant.clock.last() == -1 and [rows.count() for rows in plant.served(*SINKS)] == [0] * 5
+    second = order("t3", at(65), 3), event("a", at(65), 2, "FORCER_ARRET")
+    plant.run(0, order("t1", at(5), 1, 60), order("t2", at(5), 2, 60))
+    whole = [rows.count() for rows in plant.served(*SINKS)]
+    assert whole == [2, 2, 0, 1, 1]
+    spark, bus = plant.roster.sparkSession, plant.bus
+
+    class Broken(Bus):
+        def publish(self, df, name, epoch_id=None):
+            if name == "commands":
+                raise RuntimeError("the broker is away")
+            super().publish(df, name, epoch_id)
+    plant.bus = Broken(spark, bus.format, bus.location)
+    with pytest.raises(RuntimeError, match="away"):
+        plant.run(1, *second)
+    written = lake.read_measurement(spark, plant.serving, "interruptions")
+    assert written.count() == 1 and lake.read_measurement(spark, plant.serving, "task_queue").count() == 1
+    assert plant.clock.last() == 0 and [rows.count() for rows in plant.served(*SINKS)] == whole
+    plant.bus = bus
+    plant.run(1, *second)
+    assert plant.clock.last() == 1 and [rows.count() for rows in plant.served(*SINKS)] == [2, 4, 1, 2, 2]
+    plant.run(1, *second)  # and a replay changes nothing
+    assert [rows.count() for rows in plant.served(*SINKS)] == [2, 4, 1, 2, 2]
