@@ -32,6 +32,7 @@ from plantwatch.session import forget, remove, stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNIT = float(1 << 20)
+CHUNK = 1 << 16  # rows that a task adds up at once
 
 
 @dataclass(frozen=True)
@@ -69,17 +70,27 @@ class Tree:
                 column.append(new)
         return a, a + 1
 
+    def places(self, bins: np.ndarray):
+        """(node, its rows) for every node that rows of bins meet; rows are dealt on from cut to cut."""
+        held = [(0, None)]  # None: all rows
+        while held:
+            node, rows = held.pop()
+            if rows is not None and not len(rows):
+                continue
+            yield node, rows
+            f = self.feature[node]
+            if f >= 0:
+                left = (bins[:, f] if rows is None else bins[rows, f]) <= self.cut[node]
+                sides = np.flatnonzero(left), np.flatnonzero(~left)
+                held += [(n, s if rows is None else rows[s]) for n, s in zip((self.left[node], self.right[node]), sides)]
+
     def leaf(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row of bins."""
-        feature, cut, left, right = (np.array(x) for x in (self.feature, self.cut, self.left, self.right))
         at = np.zeros(len(bins), dtype=np.int64)
-        rows = np.arange(len(bins))
-        while True:
-            f = feature[at]
-            if (f < 0).all():
-                return at
-            step = np.where(bins[rows, np.maximum(f, 0)] <= cut[at], left[at], right[at])
-            at = np.where(f < 0, at, step)
+        for node, rows in self.places(bins):
+            if rows is not None and self.feature[node] < 0:
+                at[rows] = node
+        return at
 
 
 @dataclass(frozen=True)
@@ -146,71 +157,115 @@ def binned(df: DataFrame, features: list[str], edge: list[list[float]], fold: Co
     """Rows for boosting: fold, label, whether set aside, bin per feature and scores per model and class."""
     source = df.select(fold.cast("int").alias("fold"), F.col("label").cast("int").alias("label"), aside.alias("aside"),
                        *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
-    start = np.zeros(models * cfg.classes).tobytes()
 
     def run(batches):
         for b in batches:
             x = np.stack([np.searchsorted(edge[i], b.column(3 + i).to_numpy(zero_copy_only=False)) for i in range(len(edge))],
                          axis=1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array([r.tobytes() for r in x], pa.binary()),
-                 pa.array([start] * b.num_rows, pa.binary())], names=ROWS.names)
+                [b.column(0), b.column(1), b.column(2), _packed(x), _packed(np.zeros((b.num_rows, models * cfg.classes)))],
+                names=ROWS.names)
     return source.mapInArrow(run, ROWS)
 
 
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes as one value."""
+    size = rows.itemsize * (rows.size // len(rows) if len(rows) else 0)
+    ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(size))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _unpacked(column: pa.Array, dtype) -> np.ndarray:
+    """The values of a column, all of one size and none null, end to end."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0]:ends[-1]].view(dtype)
+
+
 def _arrays(batch, models: int, cfg: Boosting):
     """fold, label, aside, bins (rows x features) and raw scores (rows x models x classes) of a batch."""
     fold, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
     aside = batch.column(2).to_numpy(zero_copy_only=False)
-    bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-    raw = np.frombuffer(b"".join(batch.column(4).to_pylist())).reshape(batch.num_rows, models, cfg.classes)
+    bins = _unpacked(batch.column(3), np.uint8).reshape(batch.num_rows, -1)
+    raw = _unpacked(batch.column(4), np.float64).reshape(batch.num_rows, models, cfg.classes)
     return fold, label, aside, bins, raw
 
 
-def level_cuts(rows: DataFrame, trees: dict, wanted: dict, weights: np.ndarray, features: int, cfg: Boosting) -> list:
-    """Best cut of every wanted node: {(model, class): {path: node of the tree so far}}."""
+def _chunks(batches, models: int, cfg: Boosting):
+    """The arrays of several batches at once: every call is for many rows."""
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(_arrays(batch, models, cfg))
+            rows += batch.num_rows
+        if rows >= CHUNK:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, rows = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def level_cuts(rows: DataFrame, trees: dict, wanted: dict, weights: np.ndarray, features: int, cfg: Boosting) -> tuple[list, np.ndarray]:
+    """Best cut of every wanted node: {(model, class): {path: node of the tree so far}}; and, with roots,
+    the mean weighted log loss of each wanted model on its rows set aside."""
     models, size = len(weights), features * cfg.bins
     plan = {k: (trees[k], sorted(nodes.items())) for k, nodes in wanted.items()}
+    judged = sorted({m for (m, _), (_, nodes) in plan.items() if nodes[0][0] == ""})
 
     def sums(batches):
-        held = {k: [] for k in plan}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fold, label, aside, bins, raw = _arrays(batch, models, cfg)
-            place = bins.astype(np.int64) + np.arange(features) * cfg.bins
+        held = {k: np.zeros((3, features, len(nodes) * cfg.bins)) for k, (_, nodes) in plan.items()}
+        loss = np.zeros((models, 2))
+        for fold, label, aside, bins, raw in _chunks(batches, models, cfg):
             share = {}
+            columns = np.ascontiguousarray(bins.T)
+            for m in {m for m, _ in plan}:
+                p, mine, w = softmax(raw[:, m]), (fold != m) & ~aside, weights[m][label]
+                share[m] = p, mine, w
+                if m in judged:
+                    use = np.flatnonzero((fold != m) & aside)
+                    loss[m] += (w[use] * -np.log(np.maximum(p[use, label[use]], 1e-15))).sum(), w[use].sum()
             for (m, c), (tree, nodes) in plan.items():
-                if m not in share:
-                    share[m] = softmax(raw[:, m]), (fold != m) & ~aside, weights[m][label]
                 p, mine, w = share[m]
-                slot = np.full(len(tree.feature), -1)
-                slot[[n for _, n in nodes]] = np.arange(len(nodes))
-                at = slot[tree.leaf(bins)]
-                use = np.flatnonzero(mine & (at >= 0))
-                g = np.rint((w * (p[:, c] - (label == c)))[use] * UNIT)
-                h = np.rint((w * p[:, c] * (1 - p[:, c]))[use] * UNIT)
-                held[m, c] = [summed(*map(np.concatenate, zip(*held[m, c], (
-                    (at[use, None] * size + place[use]).ravel(), np.repeat(g, features), np.repeat(h, features),
-                    np.ones(len(use) * features)))))]
-        for (m, c), parts in held.items():
-            for where, *columns in parts:
-                node, first = np.unique(where // size, return_index=True)
-                whole = np.stack([where % size, *[x.astype(np.int64) for x in columns]])
-                cut = [whole[:, a:z].tobytes() for a, z in zip(first, [*first[1:], len(where)])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(node), m * cfg.classes + c, dtype=np.int32)), pa.array(node.astype(np.int32)),
-                     pa.array(cut, pa.binary())], names=["tree", "node", "sums"])
+                number = {n: i for i, (_, n) in enumerate(nodes)}
+                parts = []
+                for node, met in tree.places(bins):
+                    if node in number:
+                        use = np.flatnonzero(mine) if met is None else met[mine[met]]
+                        parts.append((use, np.full(len(use), number[node] * cfg.bins)))
+                use, slot = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, dtype=np.int64),) * 2
+                pc, wc = p[use, c], w[use]
+                g = np.rint(wc * (pc - (label[use] == c)) * UNIT)
+                h = np.rint(wc * pc * (1 - pc) * UNIT)
+                total = held[m, c]
+                for f in range(features):
+                    place = slot + columns[f, use]
+                    for i, x in enumerate((g, h, None)):
+                        total[i, f] += np.bincount(place, x, minlength=total.shape[2])
+        for (m, c), total in held.items():
+            total = total.reshape(3, features, -1, cfg.bins).transpose(2, 0, 1, 3).reshape(-1, 3, size).astype(np.int64)
+            where = [np.flatnonzero(n) for n in total[:, 2]]
+            cut = [(i, np.concatenate([at[None], total[i][:, at]]).tobytes()) for i, at in enumerate(where) if len(at)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(cut), m * cfg.classes + c, dtype=np.int32)), pa.array([i for i, _ in cut], pa.int32()),
+                 pa.array([x for _, x in cut], pa.binary())], names=["tree", "node", "sums"])
+        yield pa.RecordBatch.from_arrays(  # losses go by a negative number
+            [pa.array([-1 - m for m in judged], pa.int32()), pa.array([0 for _ in judged], pa.int32()),
+             pa.array([loss[m].tobytes() for m in judged], pa.binary())], names=["tree", "node", "sums"])
 
     def choose(batches):
         total: dict = {}
         for batch in batches:
             for tree, node, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if tree < 0:
+                    total[tree, node] = total.get((tree, node), 0) + np.frombuffer(part)
+                    continue
                 slot, *columns = np.frombuffer(part, dtype=np.int64).reshape(4, -1)
                 dense = total.setdefault((tree, node), np.zeros((3, size), dtype=np.int64))
                 for row, x in zip(dense, columns):
                     row[slot] += x
         for (tree, node), dense in total.items():
+            if tree < 0:
+                yield pa.RecordBatch.from_pylist([{"tree": tree, "node": node, "gl": float(dense[0]), "hl": float(dense[1])}], CUT)
+                continue
             g, h, n = dense.reshape(3, features, cfg.bins)
             found = best_cut(g / UNIT, h / UNIT, n, cfg)
             if found is not None:
@@ -219,14 +274,12 @@ def level_cuts(rows: DataFrame, trees: dict, wanted: dict, weights: np.ndarray,
     parts = rows.mapInArrow(sums, "tree int, node int, sums binary").repartition("tree", "node")
     found = parts.mapInArrow(
         choose, "tree int, node int, gain double, feature int, bin int, gl double, hl double, gr double, hr double").collect()
+    loss = np.full(models, np.nan)
+    for r in found:
+        if r["tree"] < 0 and r["hl"]:
+            loss[-1 - r["tree"]] = round(r["gl"] / r["hl"], 12)
     return [(divmod(r["tree"], cfg.classes), plan[divmod(r["tree"], cfg.classes)][1][r["node"]][0],
-             Cut(r["gain"], r["feature"], r["bin"], (r["gl"], r["hl"]), (r["gr"], r["hr"]))) for r in found]
-
-
-def summed(where: np.ndarray, *columns: np.ndarray):
-    """Sums of the columns per place, by place."""
-    place, at = np.unique(where, return_inverse=True)
-    return place, *[np.bincount(at, c, minlength=len(place)) for c in columns]
+             Cut(r["gain"], r["feature"], r["bin"], (r["gl"], r["hl"]), (r["gr"], r["hr"]))) for r in found if r["tree"] >= 0], loss
 
 
 CUT = pa.schema([("tree", pa.int32()), ("node", pa.int32()), ("gain", pa.float64()), ("feature", pa.int32()), ("bin", pa.int32()),
@@ -244,35 +297,10 @@ def advanced(rows: DataFrame, trees: dict, models: int, cfg: Boosting) -> DataFr
             raw = raw.copy()
             for (m, c), tree in trees.items():
                 raw[:, m, c] += values[m, c][tree.leaf(bins)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)],
-                                              pa.array([r.tobytes() for r in raw], pa.binary())], names=ROWS.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], _packed(raw)], names=ROWS.names)
     return rows.mapInArrow(run, ROWS)
 
 
-def losses(rows: DataFrame, weights: np.ndarray, cfg: Boosting) -> np.ndarray:
-    """Mean weighted log loss of each model on the rows set aside."""
-    models = len(weights)
-
-    def run(batches):
-        total = np.zeros((models, 2))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fold, label, aside, _, raw = _arrays(batch, models, cfg)
-            for m in range(models):
-                use = (fold != m) & aside
-                w = weights[m][label[use]]
-                p = softmax(raw[use, m])[np.arange(use.sum()), label[use]]
-                total[m] += (w * -np.log(np.maximum(p, 1e-15))).sum(), w.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(models, dtype=np.int32)), *[pa.array(total[:, i]) for i in range(2)]],
-                                         names=["m", "loss", "w"])
-    found = rows.mapInArrow(run, "m int, loss double, w double").groupBy("m").agg(F.sum("loss").alias("l"), F.sum("w").alias("w")).collect()
-    out = np.full(models, np.nan)
-    for r in found:
-        out[r["m"]] = round(r["l"] / r["w"], 12) if r["w"] else np.nan
-    return out
-
-
 class BoostedModel:
     """Fitted trees. `transform` adds prediction and probability, as Spark ML's models do."""
 
@@ -338,7 +366,7 @@ def fit_folds(df: DataFrame, features: list[str], folds: int = 0, cfg: Boosting
         weights[m] = [sum(per) / (sum(p > 0 for p in per) * n) if n else 0.0 for n in per]
     trees: list[list[tuple[int, Tree]]] = [[] for _ in range(models)]
     running, history = list(range(models)) if counts else [], [[] for _ in range(models)]
-    base = rows.persist()
+    base, older = rows.persist(), None
     for number in range(cfg.rounds):
         if not running:
             break
@@ -346,8 +374,16 @@ def fit_folds(df: DataFrame, features: list[str], folds: int = 0, cfg: Boosting
         cuts: dict = {k: {} for k in keys}
         state = {k: grown(cuts[k], cfg) for k in keys}
         wanted = {k: {"": 0} for k in keys}
-        for _ in range(cfg.depth):
-            for key, path, cut in level_cuts(rows, {k: state[k][0] for k in wanted}, wanted, weights, len(features), cfg):
+        for level in range(cfg.depth):
+            found, loss = level_cuts(rows, {k: state[k][0] for k in wanted}, wanted, weights, len(features), cfg)
+            if not level and number:  # the job of the roots also judges the round before
+                older.unpersist()
+                for m in running:
+                    history[m].append(loss[m])
+                running = [m for m in running if not _stops(history[m], cfg)]
+                keys = [k for k in keys if k[0] in running]
+                wanted = {k: v for k, v in wanted.items() if k in keys}
+            for key, path, cut in found:
                 cuts[key][path] = cut
             asked = {k: set(v) for k, v in wanted.items()}
             state = {k: grown(cuts[k], cfg) if k in asked else state[k] for k in keys}
@@ -359,19 +395,15 @@ def fit_folds(df: DataFrame, features: list[str], folds: int = 0, cfg: Boosting
         done = {k: state[k][0] for k in keys}
         for (m, c), t in done.items():
             trees[m].append((c, t))
+        if not running or number + 1 == cfg.rounds:
+            break
         older, rows = rows, advanced(rows, done, models, cfg)
-        written = (number + 1) % cfg.keep_rounds == 0
-        if written:
+        if (number + 1) % cfg.keep_rounds == 0:
             rows = stored(rows, "boosting")
-        rows.persist()
-        loss = losses(rows, weights, cfg)
-        older.unpersist()
-        if written:
+            older.unpersist()
             forget(base)
             base = rows
-        for m in running:
-            history[m].append(loss[m])
-        running = [m for m in running if not _stops(history[m], cfg)]
+        rows.persist()
     rows.unpersist()
     forget(base)
     return [BoostedModel(features, edge, t, cfg) for t in trees]

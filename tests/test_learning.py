@@ -210,3 +210,16 @@ def test_registered_plan_uses_the_declared_candidates(spark, monkeypatch):
     assert used == [learning.Learning()]
     declared = learning.candidates(used[0])["hist_gbm"]
     assert (declared.rounds, declared.depth, declared.rate) == (350, 8, 0.08)
+
+
+def test_boosting_rounds_take_one_query_per_level(spark, episodes, monkeypatch):
+    """The loss that ends the rounds comes with the next round's roots, without a query of its own."""
+    df, asked = episodes.where("seq % 2 = 0").persist(), []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: asked.append(1) or collect(self))
+    model = boosting.fit_folds(df, schemas.FEATURES, cfg=boosting.Boosting(depth=2, rounds=3, leaves=4))[0]
+    df.unpersist()
+    assert model.rounds == 3 and len(asked) <= 1 + 3 * 2  # one of counts, one per level
+    bins = np.random.default_rng(3).integers(0, 9, (500, 2))
+    tree = boosting.Tree([0, 1, -1, -1, -1], [4, 2, 0, 0, 0], [1, 3, 0, 0, 0], [2, 4, 0, 0, 0], [0.0] * 5)
+    assert tree.leaf(bins).tolist() == [2 if a > 4 else 3 if b <= 2 else 4 for a, b in bins.tolist()]
