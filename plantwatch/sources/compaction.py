@@ -29,6 +29,7 @@ MANIFEST = T.StructType([
     T.StructField("first_time", T.TimestampType()), T.StructField("last_time", T.TimestampType()),
     T.StructField("first_machine", T.StringType()), T.StructField("last_machine", T.StringType())])
 ORDER = ["event_date", "machine_id", "event_time"]
+TASK_ROWS = 1 << 20  # rows that one task sorts, about; small files hold many
 
 
 def runs(spark: SparkSession, path: str) -> list[int]:
@@ -71,8 +72,8 @@ def compact(spark: SparkSession, archive: str, path: str, before, p: Params = DE
     if files:
         number = max(runs(spark, path), default=-1) + 1
         folder = f"data/run={number}"
-        parts = math.ceil(new.agg(F.sum("bytes")).first()[0] / p.archive_file_bytes)
         rows = _archived(spark, archive, files).withColumn("event_date", F.make_date(*PARTS))
+        parts = math.ceil(max(new.agg(F.sum("bytes")).first()[0] / p.archive_file_bytes, rows.count() / TASK_ROWS))
         # By range, so that a day or machine with most rows is dealt to several files.
         (rows.repartitionByRange(max(1, parts), *ORDER).sortWithinPartitions(*ORDER)
          .write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/{folder}"))
