@@ -27,13 +27,12 @@ def mean_by_machine(df: DataFrame, measure: str, every: str, ts: str = "event_ti
 def partials(df: DataFrame, measures, every: str, ts: str = "event_time") -> DataFrame:
     """Sum, count and maximum per machine, measure and window: what coarser windows, ranges and
     further epochs can be put together from. `event_time` is the start of the window."""
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
-                               for m in measures]))
-    rows = df.select("machine_id", ts, each.alias("_m")).where("_m.value IS NOT NULL")
-    value = F.col("_m.value")
-    return (tumbling(rows.withColumn("measure", F.col("_m.measure")), ts, every, ["machine_id", "measure"],
-                     total=F.sum(value), n=F.count(value), peak=F.max(value))
-            .withColumn("event_time", F.col("window_start")).drop("window_start", "window_end"))
+    # All measures of a window are one row until they are summed up.
+    sums = {m: F.struct(F.lit(m).alias("measure"), F.sum(F.col(m).cast("double")).alias("total"), F.count(m).alias("n"),
+                        F.max(F.col(m).cast("double")).alias("peak")) for m in measures}
+    wide = tumbling(df, ts, every, ["machine_id"], **sums)
+    return (wide.select("machine_id", F.explode(F.array(*measures)).alias("_m"), F.col("window_start").alias("event_time"))
+            .select("machine_id", "_m.*", "event_time").where("n > 0"))
 
 
 def merged(kept: DataFrame, every: str) -> DataFrame:

@@ -45,8 +45,9 @@ class Tables:
     def replayed(self, name: str, time: str, epochs: int = 6, late: Column | None = None) -> DataFrame:
         """A table as a stream of several epochs: its rows, cut by time and written one cut
         after the other, are read as many files per epoch as a cut has. Rows that are `late`
-        come with the cut after theirs."""
-        rows, path = self.raw(name), workdir(self.spark, f"replay-{name}")
+        come with the cut after theirs. Every cut has the same number of files, so that an epoch
+        is a cut and all cores read it, however the table's own files lie in time."""
+        rows = self.raw(name)
         low, high = rows.agg(F.min(time), F.max(time)).first()
         edges = [low + (high - low) * k / epochs for k in range(1, epochs)] if low else []
         # A row belongs to the first cut whose edge lies after it; the last has no edge.
@@ -55,11 +56,16 @@ class Tables:
             cut = F.when(F.col(time) < F.lit(edge).cast(kind), k).otherwise(cut)
         if late is not None:
             cut = F.when(late, F.least(cut + 1, F.lit(len(edges)))).otherwise(cut)
-        for k in range(len(edges) + 1):
-            rows.where(cut == k).write.mode("append").parquet(path)
-        files = len(self.spark.read.schema(rows.schema).parquet(path).inputFiles())
+        many = max(self.spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+        for files in (many, 1):  # one per cut, where a cut has too few rows for more
+            path = workdir(self.spark, f"replay-{name}")
+            for k in range(len(edges) + 1):
+                rows.where(cut == k).repartition(files, time).write.mode("append").parquet(path)
+            written = len(self.spark.read.schema(rows.schema).parquet(path).inputFiles())
+            if written == files * (len(edges) + 1):
+                break
         return (self.spark.readStream.schema(rows.schema)
-                .option("maxFilesPerTrigger", max(1, files // epochs)).parquet(path))
+                .option("maxFilesPerTrigger", files).parquet(path))
 
     # -- from events -----------------------------------------------------------
     def readings(self, events: DataFrame | None = None) -> DataFrame:

@@ -244,3 +244,32 @@ def test_crash_between_two_sinks(spark, root, tables):
     got = lake.read_measurement(spark, f"{work}/serving", "anomalies_energie")
     assert failed and multiset(got.select(*want.columns)) == multiset(want)
     assert broken.table("energy_alerts").count() == want.count()
+
+
+def test_replayed_epochs_are_cuts_of_equal_files(spark, root, tables, tmp_path):
+    """An epoch reads one cut, by as many tasks as there are cores; a small table has one file per cut."""
+    many = spark.sparkContext.defaultParallelism
+    for name, rows in (("whole", tables.raw("events")), ("few", tables.raw("events").where("event_id % 200 = 0"))):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        seen = {}
+
+        def epoch(batch, epoch_id):
+            seen[epoch_id] = tuple(batch.withColumn("file", F.input_file_name()).agg(
+                F.count_distinct("file"), F.min("ts"), F.max("ts")).first())
+        stream = type(tables)(spark, f"{tmp_path}/{name}").replayed("events", "ts")
+        stream.writeStream.foreachBatch(epoch).option("checkpointLocation", f"{root}/{name}").trigger(
+            availableNow=True).start().awaitTermination()
+        assert len(seen) == 6 and {s[0] for s in seen.values()} <= ({many} if name == "whole" else {0, 1})
+        ends = [(a, b) for _, a, b in (seen[k] for k in sorted(seen)) if a]
+        assert all(x[1] < y[0] for x, y in zip(ends, ends[1:]))
+
+
+def test_rollups_are_summed_before_measures_become_rows(spark):
+    """Absent values count nowhere, and the sums of a window are one row per machine in the shuffle."""
+    df = spark.sql("""SELECT * FROM VALUES ('a', TIMESTAMP '2024-01-01 00:01:00', 1D, CAST(NULL AS DOUBLE)),
+        ('a', TIMESTAMP '2024-01-01 00:09:00', 3D, NULL), ('a', TIMESTAMP '2024-01-01 00:11:00', NULL, 5D) t(machine_id, event_time, x, y)""")
+    out = rollups.partials(df, ["x", "y"], "10 minutes")
+    got = {(r.measure, r.event_time.minute): (r.total, r.n, r.peak) for r in out.collect()}
+    assert got == {("x", 0): (4.0, 2, 3.0), ("y", 10): (5.0, 1, 5.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate")  # parents are printed first
