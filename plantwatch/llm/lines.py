@@ -15,9 +15,10 @@ stays: smallest doc_id, then place.
 SimHash doesn't choose pairs: one changed word moves the hash of a short line by more
 bits than blocks of it can leave alone, so most near-equal lines were lost.
 
-No pairs are written: a task compares one bucket, or two blocks of a large one,
-marks the lines that have a partner, and after their texts have come returns one
-edge per connected line.
+No pairs are written: a task compares one bucket, or two blocks of a large one, and
+marks the lines that have a partner. Marked lines of buckets with the same first marked
+line then meet once, not once per bucket; after their texts have come, a task returns
+one edge per connected line.
 
 Defined cases: null texts stay null, and lines of fewer than `MIN_WORDS` words are
 never removed; rows that repeat both id and text are one document, of which one
@@ -26,6 +27,8 @@ row stays; null ids are allowed; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from operator import ne
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -40,6 +43,8 @@ from plantwatch.session import stored
 MIN_WORDS = 3
 SIMILAR = 0.9
 BLOCK = 1024     # lines of a bucket compared by one task
+FEW = 32         # lines of a bucket that is compared beside others, all buckets at once
+CHUNK = 1 << 14  # rows, or pairs, that a task takes up at once
 PROBE = 8        # share of lines (one in so many) that large buckets are looked for in
 SAMPLE = 64      # share of documents (one in so many) that common runs of words are looked for in
 COMMON = 1 << 16  # common runs that are known at most
@@ -85,9 +90,13 @@ def blocks(one: np.ndarray, size: np.ndarray, least: float, common: tuple[np.nda
     return np.bincount(line[keep], minlength=len(size)), (mixed(value[keep], 12) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def parities(one: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64 parities of each line's words, dealt by hash: one edit changes at most two."""
-    return np.bitwise_xor.reduceat(np.uint64(1) << (one & np.uint64(63)), np.cumsum(size) - size)
+def parities(one: np.ndarray, size: np.ndarray, half: int | None = None) -> np.ndarray:
+    """64 parities of each line's words, dealt by hash: one edit changes at most two. With `half`, of the words
+    of that half alone, so that both halves are 128 parities: long lines would pass 64 by chance."""
+    bits = np.uint64(1) << (one & np.uint64(63))
+    if half is not None:
+        bits = np.where(one >> np.uint64(6) & np.uint64(1) == half, bits, np.uint64(0))
+    return np.bitwise_xor.reduceat(bits, np.cumsum(size) - size)
 
 
 def line_words(texts: list[bytes | None], min_words: int):
@@ -106,18 +115,20 @@ def line_words(texts: list[bytes | None], min_words: int):
 
 def line_hashes(texts: list[bytes | None], min_words: int, least: float, common):
     """Of every line with enough words: number of its text, its place, key (two longs), number of words,
-    parities and number of blocks; and all blocks."""
+    parities (two longs) and number of blocks; and all blocks."""
     text, place, size, one = line_words(texts, min_words)
     if not len(size):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none, none, none, none.astype(np.int32)
+        return none, none, none, none, none, none, none, none, none.astype(np.int32)
     keys = [k.view(np.int64) for k in sequence_hashes(one, size)]
-    return text, place, *keys, size, parities(one, size).view(np.int64), *blocks(one, size, least, common)
+    odd = [parities(one, size, half).view(np.int64) for half in (0, 1)]
+    return text, place, *keys, size, *odd, *blocks(one, size, least, common)
 
 
 LINE = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("k1", T.LongType()),
                                  T.StructField("k2", T.LongType()), T.StructField("n", T.IntegerType()),
-                                 T.StructField("odd", T.LongType()), T.StructField("blocks", T.ArrayType(T.IntegerType()))]))
+                                 T.StructField("odd", T.LongType()), T.StructField("odd2", T.LongType()),
+                                 T.StructField("blocks", T.ArrayType(T.IntegerType()))]))
 
 
 def common_runs(docs: DataFrame, min_words: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -145,10 +156,10 @@ def hashed(docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
         groups = slices(texts)
         parts = [line_hashes(part, min_words, similarity, common()) for part in groups]
         size = np.concatenate([[0], *(np.bincount(p[0], minlength=n) for p, n in zip(parts, map(len, groups)))])
-        pos, k1, k2, n, odd, many, block = (np.concatenate(c) for c in list(zip(*parts))[1:])
+        pos, k1, k2, n, odd, odd2, many, block = (np.concatenate(c) for c in list(zip(*parts))[1:])
         inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(block))
         each = pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), pa.array(k1), pa.array(k2),
-                                           pa.array(n.astype(np.int32)), pa.array(odd), inner],
+                                           pa.array(n.astype(np.int32)), pa.array(odd), pa.array(odd2), inner],
                                           fields=list(to_arrow_type(LINE).value_type))
         return [pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), each)]
     source = docs.withColumn("digest", F.xxhash64("text"))
@@ -158,35 +169,49 @@ def hashed(docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
 PLACE = ["key", "low", "high"]
 
 
-def runs(batches, columns: list[str]):
-    """Arrow batches sorted by PLACE, as lists of columns that hold whole places, with their edges."""
-    held = None
+def runs(batches, columns: list[str], rows: int = 1):
+    """Arrow batches sorted by PLACE, as lists of columns that hold whole places, with their edges;
+    about `rows` at once."""
+    held, waiting, many = None, [], 0
 
     def edges(c):
         new = np.concatenate(([True], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])))
         return np.flatnonzero(new)
     for batch in batches:
-        c = [batch.column(batch.schema.names.index(n)).to_numpy(zero_copy_only=False) for n in columns]
-        if held is not None:
-            c = [np.concatenate(x) for x in zip(held, c)]
+        waiting.append([batch.column(batch.schema.names.index(n)).to_numpy(zero_copy_only=False) for n in columns])
+        many += batch.num_rows
+        if many < rows:
+            continue
+        c = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting)]
+        waiting, many = [], 0
         if len(c[0]):
             at = edges(c)
             held = [x[at[-1]:] for x in c]
             if at[-1]:
                 yield [x[:at[-1]] for x in c], at
+    if waiting:
+        held = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting)]
     if held is not None and len(held[0]):
         yield held, np.append(edges(held), len(held[0]))
 
 
-def close(odd: np.ndarray, n: np.ndarray, block: np.ndarray, within: bool, least: float):
-    """Pairs (i, j), i < j, of one place whose lengths and parities allow the similarity; in slices, as places can be large."""
-    most = ((1 - least) * n + 1e-9).astype(np.int32)
-    step = max(1, (1 << 20) // len(odd))
-    for at in range(0, len(odd), step):
-        edits = np.maximum(most[at:at + step, None], most[None, at:])
-        near = np.abs(n[at:at + step, None] - n[None, at:]) <= edits
-        near &= np.bitwise_count(odd[at:at + step, None] ^ odd[None, at:]) <= 2 * edits
-        i, j = np.nonzero(near)
+def measures(n: np.ndarray, odd: np.ndarray, odd2: np.ndarray, least: float):
+    """What `alike` compares, per line: length, edits that it allows, and parities."""
+    return n, ((1 - least) * n + 1e-9).astype(np.int32), *(x.astype(np.int64).view(np.uint64) for x in (odd, odd2))
+
+
+def alike(one, other):
+    """Whether lengths and parities of lines (their `measures`) allow the similarity."""
+    edits = np.maximum(one[1], other[1])
+    odd = np.bitwise_count(one[2] ^ other[2]) + np.bitwise_count(one[3] ^ other[3])  # 128 at most
+    return (np.abs(one[0] - other[0]) <= edits) & (odd <= 2 * edits)
+
+
+def close(each, block: np.ndarray, within: bool):
+    """Pairs (i, j), i < j, of one place whose `measures` allow the similarity; in slices, as places can be large."""
+    step = max(1, (1 << 20) // len(block))
+    for at in range(0, len(block), step):
+        i, j = np.nonzero(alike([x[at:at + step, None] for x in each], [x[None, at:] for x in each]))
         keep = j > i
         if not within:
             keep &= block[at + i] != block[at + j]
@@ -196,33 +221,36 @@ def close(odd: np.ndarray, n: np.ndarray, block: np.ndarray, within: bool, least
 
 def partners(least: float):
     """Task that marks, in rows sorted by place, those with a possible partner. Undivided places are named
-    by the lines marked in them, so that lines that meet in several places can be compared once."""
+    by the first line marked in them: lines that meet in several places mostly come under one name."""
     def run(batches):
-        for (key, low, high, block, many, n, odd, ids), at in runs(batches, [*PLACE, "block", "many", "n", "odd", "id"]):
-            odd, key = odd.astype(np.int64).view(np.uint64), key.astype(np.int64)
-            hit = np.zeros(len(key), dtype=bool)
-            for a, b in zip(at[:-1], at[1:]):
-                if b - a < 2:
-                    continue
-                for i, j in close(odd[a:b], n[a:b], block[a:b], low[a] == high[a], least):
+        for (key, low, high, block, many, n, odd, odd2, ids), at in runs(
+                batches, [*PLACE, "block", "many", "n", "odd", "odd2", "id"], CHUNK):
+            each = measures(n, odd, odd2, least)
+            hit, size = np.zeros(len(key), dtype=bool), np.diff(at)
+            left = np.repeat(at[1:], size) - np.arange(len(key))  # rows from here to the end of the place
+            i = np.flatnonzero(np.repeat(size <= FEW, size))
+            for step in range(1, FEW):
+                i = i[left[i] > step]
+                if not len(i):
+                    break
+                j = i + step
+                near = alike([x[i] for x in each], [x[j] for x in each])
+                near &= (low[i] == high[i]) | (block[i] != block[j])
+                hit[i[near]] = hit[j[near]] = True
+            for k in np.flatnonzero(size > FEW):
+                a, b = at[k], at[k + 1]
+                for i, j in close([x[a:b] for x in each], block[a:b], low[a] == high[a]):
                     hit[a + i] = hit[a + j] = True
-                if many[a] == 1 and hit[a:b].any():
-                    names = mixed(np.unique(ids[a:b][hit[a:b]]).astype(np.int64).view(np.uint64), 13)
-                    # negative, as the places of divided buckets are not
-                    key[a:b] = np.bitwise_xor.reduce(names).view(np.int64) | np.int64(-1 << 63)
-            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, low, high, block, ids, n, odd.view(np.int64))],
-                                             names=[*PLACE, "block", "id", "n", "odd"])
+            first = np.minimum.reduceat(np.where(hit, ids, np.iinfo(np.int64).max), at[:-1])
+            # negative, as the places of divided buckets are not
+            key = np.where(many == 1, np.repeat(first, size) | np.int64(-1 << 63), key)
+            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, low, high, block, ids, n, odd, odd2)],
+                                             names=[*PLACE, "block", "id", "n", "odd", "odd2"])
     return run
 
 
 def distance(a: list, b: list) -> int:
-    """Edit distance of two sequences (bit-parallel, after cutting what they share at the ends)."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    a, b = a[k:], b[k:]
+    """Edit distance of two sequences (bit-parallel)."""
     if not a or not b:
         return len(a) + len(b)
     where: dict = {}
@@ -240,48 +268,118 @@ def distance(a: list, b: list) -> int:
     return d
 
 
+def within(a: list, b: list, most: int) -> bool:
+    """Whether the edit distance is `most` or less: the furthest place that so many edits reach on each diagonal."""
+    n, m = len(a), len(b)
+    reach: dict[int, int] = {}
+    for d in range(most + 1):
+        now = {}
+        for k in range(max(-d, -n), min(d, m) + 1):
+            x = min(max(reach.get(k, -1) + 1, reach.get(k - 1, -1), reach.get(k + 1, -1) + 1), n, m - k) if d else 0
+            while x < n and x + k < m and a[x] == b[x + k]:
+                x += 1
+            now[k] = x
+        if now.get(m - n) == n:
+            return True
+        reach = now
+    return False
+
+
 def similar(a: list, b: list, least: float) -> bool:
     n = max(len(a), len(b))
-    most = (1 - least) * n + 1e-9
-    return n - min(len(a), len(b)) <= most and distance(a, b) <= most
+    most = int((1 - least) * n + 1e-9)
+    if len(a) == len(b) and sum(map(ne, a, b)) <= most:  # changed words alone
+        return True
+    if n - min(len(a), len(b)) > most:
+        return False
+    # `within` takes most * most steps, `distance` n longer ones
+    return within(a, b, most) if most * most <= 2 * n else distance(a, b) <= most
+
+
+def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """4,096 parities of each line's words, and 8,192 of its runs of two words: an edit changes at most two and four."""
+    out = np.zeros((len(lines), 64), dtype=np.uint64), np.zeros((len(lines), 128), dtype=np.uint64)
+    at = 0
+    for part in slices(lines):
+        text, _, size, one = line_words(part, 1)
+        owner = at + np.repeat(text, size)
+        same = owner[1:] == owner[:-1]
+        two = mixed(mixed(one[:-1], 14)[same] + one[1:][same], 15)
+        for held, line, value in zip(out, (owner, owner[:-1][same]), (one, two)):
+            slot = (value >> np.uint64(6)) % np.uint64(held.shape[1])
+            np.bitwise_xor.at(held, (line, slot.astype(np.int64)), np.uint64(1) << (value & np.uint64(63)))
+        at += len(part)
+    return out
 
 
 def connect(least: float):
     """Task that links the marked lines of each place; pairs that are linked already aren't compared."""
     def run(batches):
-        for (_, low, high, block, n, odd, ids, line), at in runs(batches, [*PLACE, "block", "n", "odd", "id", "line"]):
-            odd = odd.astype(np.int64).view(np.uint64)
+        for (_, low, high, block, n, odd, odd2, ids, line), at in runs(batches, [*PLACE, "block", "n", "odd", "odd2", "id", "line"]):
+            each, (one, two) = measures(n, odd, odd2, least), signatures(line.tolist())
             out: list = []
             for a, b in zip(at[:-1], at[1:]):
                 text: dict[int, list] = {}
-                bits: dict[int, int] = {}
-                root = list(range(b - a))
-
-                def find(x):
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-                for i, j in close(odd[a:b], n[a:b], block[a:b], low[a] == high[a], least):
-                    for x, y in zip(i.tolist(), j.tolist()):
-                        if find(x) != find(y):
-                            for k in (x, y):
-                                if k not in text:
-                                    text[k], bits[k] = line[a + k].split(b" "), 0
-                                    for w in text[k]:
-                                        bits[k] ^= 1 << (hash(w) & 4095)
-                            edits = (1 - least) * max(len(text[x]), len(text[y])) + 1e-9
-                            if (bits[x] ^ bits[y]).bit_count() <= 2 * edits and similar(text[x], text[y], least):
-                                root[find(y)] = find(x)
-                out += [(a + x, a + find(x)) for x in range(b - a) if find(x) != x]
-            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
+                root = np.arange(a, b)
+                for left, right in close([x[a:b] for x in each], block[a:b], low[a] == high[a]):
+                    near = []
+                    for k in range(0, len(left), CHUNK):
+                        i, j = left[k:k + CHUNK], right[k:k + CHUNK]
+                        apart = root[i] != root[j]
+                        i, j = i[apart], j[apart]
+                        edits = np.maximum(each[1][a + i], each[1][a + j])
+                        ok = np.bitwise_count(one[a + i] ^ one[a + j]).sum(axis=1) <= 2 * edits
+                        i, j, edits = i[ok], j[ok], edits[ok]
+                        differ = np.bitwise_count(two[a + i] ^ two[a + j]).sum(axis=1)
+                        ok = differ <= 4 * edits
+                        near.append((differ[ok], i[ok], j[ok]))
+                    differ, i, j = map(np.concatenate, zip(*near))
+                    order = np.argsort(differ, kind="stable")  # the nearest first: most others are linked by then
+                    for k in range(0, len(order), CHUNK):
+                        x, y = i[order[k:k + CHUNK]], j[order[k:k + CHUNK]]
+                        apart = root[x] != root[y]
+                        for x, y in zip(x[apart].tolist(), y[apart].tolist()):
+                            if root[x] != root[y]:
+                                for z in (x, y):
+                                    if z not in text:
+                                        text[z] = line[a + z].split(b" ")
+                                if similar(text[x], text[y], least):
+                                    root[root == root[y]] = root[x]
+                out.append(np.stack([np.arange(a, b), root]))
+            x, y = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x[x != y]]), pa.array(ids[y[x != y]])], names=["a", "b"])
     return run
 
 
+LINES = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("line", T.BinaryType())]))
+
+
+def wished(texts: list[bytes], wishes: list[list]) -> pa.ListArray:
+    """Of each text, the wished lines (id and words) that are at their place; all hashed together."""
+    lines, each, owner = [], [], []
+    for k, (t, wish) in enumerate(zip(texts, wishes)):
+        own = t.split(b"\n")
+        lines += [own[x["pos"]] if x["pos"] < len(own) else b"" for x in wish]
+        each += wish
+        owner += [k] * len(wish)
+    ok, at = np.zeros(len(lines), dtype=bool), 0
+    for part in slices(lines):
+        text, _, size, one = line_words(part, 1)
+        if len(size):
+            keys = np.array([(each[at + i]["k1"], each[at + i]["k2"]) for i in text.tolist()], dtype=np.int64)
+            ok[at + text] = np.all([k.view(np.int64) == w for k, w in zip(sequence_hashes(one, size), keys.T)], axis=0)
+        at += len(part)
+    found = np.flatnonzero(ok).tolist()
+    ends = np.cumsum([0, *np.bincount(np.array(owner, dtype=np.int64)[ok], minlength=len(texts))]).astype(np.int32)
+    inner = pa.StructArray.from_arrays([pa.array([each[i]["id"] for i in found], pa.int64()),
+                                        pa.array([b" ".join(words(lines[i])) for i in found], pa.binary())],
+                                       fields=list(to_arrow_type(LINES).value_type))
+    return pa.ListArray.from_arrays(pa.array(ends), inner)
+
+
 def fuzzy_groups(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) over ids of `distinct` (id, n, odd, blocks, doc_id, digest, pos, k1, k2) that have near-equal lines."""
-    rows = distinct.select("id", "n", "odd", F.explode("blocks").alias("key"))
+    """(node, root) over ids of `distinct` (id, n, odd, odd2, blocks, doc_id, digest, pos, k1, k2) that have near-equal lines."""
+    rows = distinct.select("id", "n", "odd", "odd2", F.explode("blocks").alias("key"))
     rows = rows.withColumn("key", F.col("key").cast("long") + F.lit(1 << 31))  # not negative, see `partners`
     # Buckets that look large in a part of the lines are dealt in blocks; the result is the same.
     large = (rows.where(F.pmod(F.xxhash64("id"), F.lit(PROBE)) == 0).groupBy("key").agg(F.count("*").alias("c"))
@@ -292,9 +390,9 @@ def fuzzy_groups(docs: DataFrame, distinct: DataFrame, similarity: float) -> Dat
     rows = (rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), many).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
             .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                    "block", many.alias("many"), "n", "odd", "id"))
+                    "block", many.alias("many"), "n", "odd", "odd2", "id"))
     marked = stored(rows.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(
-        partners(similarity), "key long, low int, high int, block int, id long, n int, odd long").distinct(), "partners")
+        partners(similarity), "key long, low int, high int, block int, id long, n int, odd long, odd2 long").distinct(), "partners")
     ids = stored(marked.select("id").distinct(), "marked")
     wanted = distinct.select("id", "doc_id", "digest", "pos", "k1", "k2").join(small(ids, ids.count(), 16), "id")
     wanted = stored(wanted, "wanted")
@@ -303,20 +401,8 @@ def fuzzy_groups(docs: DataFrame, distinct: DataFrame, similarity: float) -> Dat
     held = source.join(small(per_doc, wanted.count(), 48),
                        F.col("_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("digest")))
 
-    def take(texts, at):
-        out = []
-        for t, wish in zip(texts, at):
-            lines = t.split(b"\n")
-            found = []
-            for x in wish:
-                line = lines[x["pos"]] if x["pos"] < len(lines) else b""
-                _, _, size, one = line_words([line], 1)
-                if len(size) and tuple(k.view(np.int64)[0] for k in sequence_hashes(one, size)) == (x["k1"], x["k2"]):
-                    found.append({"id": x["id"], "line": b" ".join(words(line))})
-            out.append(found)
-        return [out]
-    line = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("line", T.BinaryType())]))
-    texts = append(held, [raw("text"), F.col("at")], T.StructType([T.StructField("found", line)]), take, [])
+    texts = append(held, [raw("text"), F.col("at")], T.StructType([T.StructField("found", LINES)]),
+                   lambda texts, at: [wished(texts, at)], [])
     texts = texts.select(F.explode("found").alias("f")).select("f.id", "f.line")
     met = marked.join(texts, "id").repartition(*PLACE).sortWithinPartitions(*PLACE)
     return components(met.mapInArrow(connect(similarity), "a long, b long"), "line-groups")
@@ -333,8 +419,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     once = stored(once, "lines")
     each = once.select("doc_id", "digest", F.explode("lines").alias("l")).select("doc_id", "digest", "l.*")
     distinct = stored(each.groupBy("k1", "k2").agg(
-        *[F.first(c).alias(c) for c in ("n", "odd", "blocks")], F.min(F.struct("doc_id", "digest", "pos")).alias("f"), F.count("*").alias("times"))
-        .select("k1", "k2", "n", "odd", "blocks", "f.*", "times").withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
+        *[F.first(c).alias(c) for c in ("n", "odd", "odd2", "blocks")], F.min(F.struct("doc_id", "digest", "pos")).alias("f"), F.count("*").alias("times"))
+        .select("k1", "k2", "n", "odd", "odd2", "blocks", "f.*", "times").withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
     groups = fuzzy_groups(docs, distinct, similarity)
     groups = stored(groups, "line-groups")
     groups = small(groups, groups.count(), 32)

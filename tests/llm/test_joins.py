@@ -404,3 +404,39 @@ def test_line_code_travels_without_the_repository():
     assert done.returncode == 0, done.stderr.decode()
     f, a = pickle.loads(sent)
     assert done.stdout.decode().strip() == str([x.tolist() for x in f(*a)])
+
+
+def test_lines_that_meet_again_come_under_one_name():
+    """Buckets whose first marked line is the same are one place: a pair isn't compared in each bucket it shares."""
+    import pyarrow as pa
+    rng = random.Random(5)
+    words_ = [f"w{k}" for k in range(400)]
+    long = [rng.sample(words_, 100) for _ in range(8)]
+    texts = [long[0], long[0][:99] + ["x"], long[0][:50] + ["y"] + long[0][51:], *long[1:]]
+    one, size = hashes.word_hashes("\n".join(map(" ".join, texts)).encode())[0], np.array([len(t) for t in texts])
+    odd, odd2 = (lines.parities(one, size, half).view(np.int64) for half in (0, 1))
+    # two buckets share the first two lines, and the second has the third one too
+    places = [(5, k) for k in (0, 1, *range(3, 7))] + [(9, k) for k in (0, 1, 2, *range(7, 10))]
+    at = [k for _, k in places]
+    none = pa.array(np.zeros(len(places), dtype=np.int32))
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([p for p, _ in places]), none, none, none, pa.array(np.ones(len(places), dtype=np.int32)),
+         pa.array(size[at].astype(np.int32)), pa.array(odd[at]), pa.array(odd2[at]), pa.array(at)],
+        names=[*lines.PLACE, "block", "many", "n", "odd", "odd2", "id"])
+    for parts in ([rows], [rows.slice(0, 3), rows.slice(3, 5), rows.slice(8)]):
+        got = pa.Table.from_batches(list(lines.partners(0.9)(iter(parts))))
+        assert sorted(got.column("id").to_pylist()) == [0, 0, 1, 1, 2]  # long lines that differ aren't marked
+        assert len(set(got.column("key").to_pylist())) == 1
+
+
+def test_bounded_edit_distance():
+    rng = random.Random(3)
+    for _ in range(400):
+        a = [rng.randint(0, 5) for _ in range(rng.randint(12, 30))]
+        b = edited(rng, [str(x) for x in a], rng.randint(0, 6)) if rng.random() < 0.7 else [str(rng.randint(0, 5)) for _ in range(20)]
+        a = [str(x) for x in a]
+        for most in (0, 1, 3, 8):
+            assert lines.within(a, b, most) == (plain_distance(a, b) <= most)
+            one, two = lines.signatures([" ".join(x).encode() for x in (a, b)])
+            if lines.within(a, b, most):
+                assert np.bitwise_count(one[0] ^ one[1]).sum() <= 2 * most and np.bitwise_count(two[0] ^ two[1]).sum() <= 4 * most
