@@ -62,6 +62,7 @@ def candidates(cfg: Learning = DEFAULT_LEARNING) -> dict:
         "logreg": LogisticRegression(maxIter=cfg.regression_rounds, **common),
         "random_forest": RandomForestClassifier(
             numTrees=cfg.trees, maxDepth=cfg.tree_depth, minInstancesPerNode=cfg.leaf_rows,
+            cacheNodeIds=True,  # a level looks at each row's node, not at its way from the root
             seed=cfg.seed, **common),
         "hist_gbm": Boosting(depth=cfg.boosting_depth, rate=cfg.boosting_rate,
                              rounds=cfg.boosting_rounds, leaf_rows=cfg.leaf_rows, seed=cfg.seed),

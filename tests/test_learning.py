@@ -223,3 +223,12 @@ def test_boosting_rounds_take_one_query_per_level(spark, episodes, monkeypatch):
     bins = np.random.default_rng(3).integers(0, 9, (500, 2))
     tree = boosting.Tree([0, 1, -1, -1, -1], [4, 2, 0, 0, 0], [1, 3, 0, 0, 0], [2, 4, 0, 0, 0], [0.0] * 5)
     assert tree.leaf(bins).tolist() == [2 if a > 4 else 3 if b <= 2 else 4 for a, b in bins.tolist()]
+
+
+def test_forest_looks_nodes_up(spark, episodes):
+    """A level of the forest reads each row's node instead of walking there again; the trees stay the same."""
+    plain = learning.candidates(CFG)["random_forest"]
+    assert plain.getCacheNodeIds()
+    found = [learning.fit(episodes, e).stages[-1].toDebugString.split("\n", 1)[1]
+             for e in (plain, plain.copy({plain.cacheNodeIds: False}))]
+    assert found[0] == found[1]
