@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -18,6 +18,7 @@ from plantwatch.functions import rules
 from plantwatch.functions.values import rounded
 from plantwatch.operators import features, metrics
 from plantwatch.operators.boosting import BoostedModel, Boosting, fit_folds
+from plantwatch.operators.forest import Forest, Settings
 
 
 @dataclass(frozen=True)
@@ -60,10 +61,7 @@ def candidates(cfg: Learning = DEFAULT_LEARNING) -> dict:
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     return {
         "logreg": LogisticRegression(maxIter=cfg.regression_rounds, **common),
-        "random_forest": RandomForestClassifier(
-            numTrees=cfg.trees, maxDepth=cfg.tree_depth, minInstancesPerNode=cfg.leaf_rows,
-            cacheNodeIds=True,  # a level looks at each row's node, not at its way from the root
-            seed=cfg.seed, **common),
+        "random_forest": Forest(Settings(trees=cfg.trees, depth=cfg.tree_depth, leaf_rows=cfg.leaf_rows, seed=cfg.seed)),
         "hist_gbm": Boosting(depth=cfg.boosting_depth, rate=cfg.boosting_rate,
                              rounds=cfg.boosting_rounds, leaf_rows=cfg.leaf_rows, seed=cfg.seed),
     }

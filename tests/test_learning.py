@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Window, functions as F
 
 from plantwatch import run, schemas
 from plantwatch.functions import decode
-from plantwatch.operators import boosting, features, learning, metrics
+from plantwatch.operators import boosting, features, forest, learning, metrics
 from plantwatch.session import stored, workdir
 from plantwatch.sources import lake
 from plantwatch.sources.bus import Bus
@@ -225,10 +227,81 @@ def test_boosting_rounds_take_one_query_per_level(spark, episodes, monkeypatch):
     assert tree.leaf(bins).tolist() == [2 if a > 4 else 3 if b <= 2 else 4 for a, b in bins.tolist()]
 
 
-def test_forest_looks_nodes_up(spark, episodes):
-    """A level of the forest reads each row's node instead of walking there again; the trees stay the same."""
-    plain = learning.candidates(CFG)["random_forest"]
-    assert plain.getCacheNodeIds()
-    found = [learning.fit(episodes, e).stages[-1].toDebugString.split("\n", 1)[1]
-             for e in (plain, plain.copy({plain.cacheNodeIds: False}))]
-    assert found[0] == found[1]
+def plain_leaves(bins, keys, label, tree, weights, cfg):
+    """Leaves of one tree by a search node by node over all features: frozensets of the rows that it takes."""
+    times = forest.drawn(keys, tree, cfg.seed, forest.poisson_table()).astype(int)
+
+    def counts(rows):
+        return np.bincount(label[rows], times[rows], cfg.classes)
+
+    def gini(rows):
+        c = counts(rows) * weights
+        return (1 - (c ** 2).sum() / c.sum() ** 2) * c.sum()
+
+    def grow(rows, depth):
+        best = None
+        for f in range(bins.shape[1]):
+            for b in range(cfg.bins - 1):
+                parts = rows[bins[rows, f] <= b], rows[bins[rows, f] > b]
+                if depth == cfg.depth or min(times[x].sum() for x in parts) < cfg.leaf_rows:
+                    continue
+                gain = (gini(rows) - sum(map(gini, parts))) / (counts(rows) * weights).sum()
+                if gain > 1e-12 and (best is None or gain > best[0] + 1e-12):
+                    best = gain, parts
+        if best is None:
+            return [rows]
+        both = [grow(x, depth + 1) for x in best[1]]
+        tops = {int(np.argmax(counts(x) * weights)) for x in best[1]}
+        return [rows] if [len(x) for x in both] == [1, 1] and len(tops) == 1 else sum(both, [])
+    return {frozenset(x.tolist()) for x in grow(np.flatnonzero(times), 0)}
+
+
+def test_forest_grows_the_trees_of_a_plain_search(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, (300, 1)).astype(float)
+    y = np.where(rng.random(300) < 0.2, rng.integers(0, 3, 300), (x[:, 0] // 3).astype(int))
+    cfg = forest.Settings(trees=3, depth=3, leaf_rows=15, bins=8)
+    df = spark.createDataFrame([(i, *map(float, r), int(k), float(1 + k)) for i, (r, k) in enumerate(zip(x, y))],
+                               "id long, a double, label int, weight double")
+    df = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
+    model = forest.Forest(cfg).fit(df.repartition(5))
+    keys = np.array([r[0] for r in df.orderBy("id").select(F.xxhash64("a", "id", "label", "weight")).collect()]).view(np.uint64)
+    bins = np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(model.edge)], axis=1)
+    for t, tree in enumerate(model.trees):
+        taken = forest.drawn(keys, t, cfg.seed, forest.poisson_table()) > 0
+        at = tree.walk(bins.ravel(), np.arange(300), cfg.depth, cfg.bins)
+        got = {frozenset(np.flatnonzero((at == n) & taken).tolist()) for n in set(at[taken].tolist())}
+        assert got == plain_leaves(bins, keys, y, t, np.array([1.0, 2.0, 3.0]), cfg) and len(got) > 2
+
+
+def test_forest_takes_one_query_per_level_and_the_same_rows_from_any_partitions(spark, episodes, monkeypatch):
+    asked, collect = [], type(episodes).collect
+    monkeypatch.setattr(type(episodes), "collect", lambda self: asked.append(1) or collect(self))
+    estimator = learning.candidates(CFG)["random_forest"]
+    one = learning.fit(episodes.repartition(3, "seq"), estimator)
+    assert len(asked) <= 3 + CFG.tree_depth  # class weights, the number of features, edges, one per level
+    other = learning.fit(episodes.repartition(7, "seq"), estimator)
+    for a, b in zip(one.stages[-1].trees, other.stages[-1].trees):
+        assert (a.counts[0] == b.counts[0]).all()  # bin edges are approximate quantiles and may differ
+
+
+def test_forest_judges_as_well_as_spark_mls_and_is_saved(spark, episodes):
+    train, test = learning.split(episodes)
+    mls = RandomForestClassifier(numTrees=CFG.trees, maxDepth=CFG.tree_depth, minInstancesPerNode=CFG.leaf_rows, seed=CFG.seed,
+                                 featuresCol="features", labelCol="label", weightCol="weight")
+    models = [learning.fit(train, e) for e in (mls, learning.candidates(CFG)["random_forest"])]
+    path = workdir(spark, "test-forest")
+    learning.save_model(models[1], spark, path)
+    models.append(learning.load_model(spark, path))
+    score = [metrics.macro_f1(m.transform(learning.complete(test))).first()[0] for m in models]
+    assert score[1] == score[2] and score[1] > score[0] - 0.03
+    shares = [learning.importances(m).orderBy("position").toPandas()["importance"].to_numpy() for m in models]
+    assert np.abs(shares[1] - shares[0]).max() < 0.15 and (shares[1] == shares[2]).all() and shares[1].sum() == pytest.approx(1)
+
+
+def test_forest_edges_give_rare_classes_their_share(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") < 20, 1).otherwise(0).alias("label"),
+                                  F.array((F.col("id") / 1000).cast("double")).alias("x"))
+    cfg = forest.Settings(bins=8)
+    edge = forest.edges(df, 1, {0: 500.0, 1: 500.0}, cfg)[0]
+    assert len(edge) == 7 and 3 <= sum(e < 0.02 for e in edge) <= 4
