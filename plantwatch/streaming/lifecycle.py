@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from plantwatch.functions.times import instant
-from plantwatch.operators.lifecycle import FLOW, effect, known, transitions
+from plantwatch.operators.lifecycle import FLOW, corrections, effect, known
 from plantwatch.operators.ordered import HALO
 from plantwatch.params import DEFAULTS, Params
 from plantwatch.session import stored
@@ -65,30 +65,26 @@ class LifecycleState:
 
         base, history = self.base.before(epoch_id), self.history.before(epoch_id)
         pool = history.unionByName(taken)
-        changes = self._changes(base, history, pool, taken, old, new)
+        changes = self._changes(base, history, taken, old, new)
         self._save(base, pool, new, epoch_id)
         return changes, rejects
 
-    def _changes(self, base, history, pool, taken, old, new) -> DataFrame:
-        def said(events: DataFrame, at) -> DataFrame:
-            mine = events.where(F.col("event_time") <= instant(events, "event_time", at)).withColumn(HALO, F.lit(False))
-            both = mine.unionByName(base.withColumn(HALO, F.lit(True)))
-            return transitions(both.join(touched, "machine_id", "left_semi"), at, self.p).select(*CHANGES)
+    def _changes(self, base, history, taken, old, new) -> DataFrame:
         if new is None:
             return self.spark.createDataFrame([], self.history.schema).select(
                 "machine_id", F.lit("").alias("transition"), "event_time", "seq", F.lit(0).alias("change")).limit(0)
-        touched = taken.select("machine_id").distinct()
-        if old is None:
-            return said(pool, new).groupBy(*CHANGES).agg(F.count("*").cast("int").alias("change"))
-        # waiting events, and pauses that may run out since the old watermark
-        due = instant(pool, "event_time", old - timedelta(seconds=self.p.pause_seconds))
-        waiting = history.unionByName(base).where((F.col("event_time") > due))
-        touched = touched.union(waiting.select("machine_id")).distinct()
-        touched = stored(touched, "touched")  # read by both sides
-        both = said(pool, new).withColumn("change", F.lit(1)).unionByName(
-            said(history, old).withColumn("change", F.lit(-1)))
-        # what both say cancels out
-        return both.groupBy(*CHANGES).agg(F.sum("change").cast("int").alias("change")).where("change <> 0")
+        marked = (base.withColumns({HALO: F.lit(True), "_new": F.lit(False)})
+                  .unionByName(history.withColumns({HALO: F.lit(False), "_new": F.lit(False)}))
+                  .unionByName(taken.withColumns({HALO: F.lit(False), "_new": F.lit(True)})))
+        touched = taken.select("machine_id")
+        if old is not None:
+            # waiting events, and pauses that may run out since the old watermark
+            due = instant(marked, "event_time", old - timedelta(seconds=self.p.pause_seconds))
+            waiting = history.unionByName(base).where(F.col("event_time") > due)
+            touched = touched.unionByName(waiting.select("machine_id"))
+        # stored, as a join is too much to be computed at each reading
+        mine = stored(marked.join(touched.distinct(), "machine_id", "left_semi"), "touched")
+        return corrections(mine, old, new, self.p).select(*CHANGES, "change")
 
     def _save(self, base, pool, new, epoch_id: int) -> None:
         if new is not None:
@@ -119,7 +115,7 @@ def lifecycle(flow: DataFrame, state: LifecycleState, serving: str, checkpoint:
         with shared(batch.select(*FLOW)) as rows:
             changes, rejected = state.epoch(rows, epoch_id)
             with shared(changes) as said:
-                lake.write_measurement(said, serving, "transitions", epoch_id)
+                lake.write_measurement(said, serving, "transitions", epoch_id, by_day=True)
                 if bus is not None:
                     urgent = said.where("change > 0 AND transition IN ('STOPPED', 'PAUSE_EXPIRED')")
                     bus.publish(records.system_alerts(urgent.select(
@@ -128,5 +124,6 @@ def lifecycle(flow: DataFrame, state: LifecycleState, serving: str, checkpoint:
             # without a time they count as of the watermark, so a replay meets the same partition
             mark = state.clock.after(epoch_id).agg(F.max("event_time")).first()[0]
             known_time = F.coalesce("event_time", instant(rows, "event_time", mark or "1970-01-01"))
-            lake.write_measurement(rejected.withColumn("event_time", known_time), serving, "late_events", epoch_id)
+            lake.write_measurement(rejected.withColumn("event_time", known_time), serving, "late_events", epoch_id,
+                                   by_day=True)
     return start(flow, checkpoint, epoch, p, **trigger)

@@ -190,3 +190,25 @@ def test_job_writes_changes_late_rows_and_system_alerts(spark):
     stops = changes.where("transition = 'STOPPED' AND change = 1").count()
     alerts = [r[0] for r in bus.table("system_alerts").selectExpr("CAST(value AS STRING)").collect()]
     assert stops > 0 and sum('"STOPPED"' in a for a in alerts) == stops and all('"timestamp"' in a for a in alerts)
+
+
+def test_an_epoch_sorts_its_events_once(spark):
+    """What was said and what is said now come from one window, however many views there are."""
+    flow = flow_of(spark, SEQUENCES)
+    early = F.col("event_time") < F.lit(T0 + timedelta(seconds=900))
+    state = live.LifecycleState(spark, f"{workdir(spark, 'test-lifecycle')}/state", T.TimestampType(), P)
+    for n, part in enumerate((flow.where(early), flow.where(~early))):
+        changes, _ = state.epoch(part, n)
+        plan = changes._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window [") == 1, plan
+
+
+def test_a_day_of_an_epoch_is_one_file(spark):
+    """Tasks that all hold all days leave no file each per day."""
+    root = workdir(spark, "test-lifecycle-files")
+    rows = (spark.range(0, 400, 1, 8).withColumn("event_time", F.lit(T0) + F.make_dt_interval(days=F.col("id") % 4))
+            .select(F.lit("m").alias("machine_id"), F.lit("STOPPED").alias("transition"), "event_time",
+                    F.col("id").alias("seq"), F.lit(1).alias("change")))
+    lake.write_measurement(rows, root, "transitions", 0, by_day=True)
+    kept = lake.read_measurement(spark, root, "transitions")
+    assert kept.count() == 400 and len(kept.inputFiles()) == 4
