@@ -78,9 +78,10 @@ def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics
     the latest temperature and workload per machine. `settle(df, name)` stores a
     step's result and returns the stored rows: later steps read each several times,
     and their plans stay short. By default it is a new table below the checkpoint folder.
-    `keep_queue(added, removed)` stores the queue's changes and returns the queue: the one
-    table that grows with the work waiting isn't written anew. Its length is kept as a
-    counter, and only its head is stored as a step.
+    `keep_queue` is two functions, `add(rows)`, which stores new queue rows and returns them as
+    stored, and `remove(keys)`, which returns the queue after the epoch: the one table that
+    grows with the work waiting isn't written anew, and new rows are written once. Its length
+    is kept as a counter, and only its head is stored as a step.
     """
     settle = settle or stored
     time = flow.schema["event_time"].dataType
@@ -107,10 +108,12 @@ def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics
     going = state["held"].join(cut_short.select("task_id"), "task_id", "left_anti")
     finished = settle(work.completed(going, as_of), "finished")
     held = work.still_held(going, as_of)
-    orders = settle(_new_orders(orders.select(*state["queue"].columns), state), "orders")
+    orders = _new_orders(orders.select(*state["queue"].columns), state)
     added = orders.unionByName(work.requeued(cut_short).select(*state["queue"].columns))
+    added = keep_queue[0](added) if keep_queue else settle(added, "added")
     queue = state["queue"].unionByName(added)
-    length = (state["counters"].agg(F.sum("in_queue")).first()[0] or 0) + added.count()
+    arrived = added.count()
+    length = (state["counters"].agg(F.sum("in_queue")).first()[0] or 0) + arrived
     waiting = length > 0
 
     # machines that may work, after at most one early return
@@ -134,7 +137,7 @@ def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics
                       .withColumn("seq", F.lit(None).cast("long")), "assigned")
     held_after = settle(held.unionByName(assigned.select(*held.columns)), "held")
     if keep_queue:
-        queue_after = keep_queue(added, assigned.select("task_id"))
+        queue_after = keep_queue[1](assigned.select("task_id"))
     else:
         queue_after = settle(work.remaining_queue(queue, assigned), "queue")
     left = length - assigned.count()
@@ -154,7 +157,7 @@ def run(state: dict[str, DataFrame], orders: DataFrame, flow: DataFrame, metrics
     # counters
     alerts_row = lifecycle.alert_counters(changes).drop("emergency_returns")
     counters = work.merge_counters(
-        orders.agg(F.count(F.lit(1)).alias("total")),
+        cut_short.agg((F.lit(arrived) - F.count(F.when(F.col("outcome") == "REQUEUED", 1))).alias("total")),
         finished.agg(F.count(F.lit(1)).alias("_finished")),
         cut_short.agg(F.count(F.when(F.col("outcome") == "COMPLETED", 1)).alias("_late"),
                       F.count(F.when(F.col("outcome") == "REQUEUED", 1)).alias("interrupted")),

@@ -197,15 +197,23 @@ class DeltaTable:
 
     def save(self, added: DataFrame, removed: DataFrame, epoch_id: int) -> None:
         """`removed` has the key column; of `added`, rows whose key is in it aren't kept."""
+        self.add(added.join(removed.select(self.key), self.key, "left_anti"), epoch_id)
+        self.remove(removed, epoch_id)
+
+    def add(self, added: DataFrame, epoch_id: int) -> DataFrame:
+        """The epoch's rows, written and handed back, for what is removed to depend on them;
+        `remove` must follow. Readers pass over rows whose key is removed in the same epoch."""
+        self._write(added.select(*self.schema.fieldNames()), "added", epoch_id)
+        return self._read("added", [epoch_id], self.schema).drop("_epoch")
+
+    def remove(self, removed: DataFrame, epoch_id: int) -> None:
         names, keys = self.schema.fieldNames(), removed.select(self.key)
-        self._write(added.select(*names).join(keys, self.key, "left_anti").select(*names),
-                    "added", epoch_id)
         self._write(keys, "removed", epoch_id)
         if epoch_id % self.every:
             return
-        kept = self.before(epoch_id).join(keys, self.key, "left_anti").select(*names)
-        new = self._read("added", [epoch_id], self.schema).drop("_epoch")
-        self._write(kept.unionByName(new), "whole", epoch_id)
+        rows = self.before(epoch_id).unionByName(
+            self._read("added", [epoch_id], self.schema).drop("_epoch"))
+        self._write(rows.join(keys, self.key, "left_anti").select(*names), "whole", epoch_id)
         # A replay of this epoch reads from the whole copy before it.
         old = epoch_id - self.every
         remove(self.spark, self._folder("whole", old - self.every))

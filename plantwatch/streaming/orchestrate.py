@@ -69,20 +69,24 @@ class Orchestrator:
         return max(known) if known else datetime.fromisoformat(str(self.started))
 
     def _keep_queue(self, epoch_id: int):
-        def keep(added: DataFrame, removed: DataFrame) -> DataFrame:
-            queue = self.tables["queue"]
-            queue.save(added, removed, epoch_id)
+        queue = self.tables["queue"]
+
+        def add(added: DataFrame) -> DataFrame:
+            return queue.add(added, epoch_id)
+
+        def remove(removed: DataFrame) -> DataFrame:
+            queue.remove(removed, epoch_id)
             return queue.after(epoch_id)
-        return keep
+        return add, remove
 
     def epoch(self, batch: DataFrame, epoch_id: int) -> None:
-        with shared(batch) as rows:
-            as_of = self._now(rows, epoch_id)
-            now = F.lit(str(as_of)).cast(self.time)
-            timed = rows.withColumn("event_time", F.least(F.coalesce("event_time", now), now))
-            state = {n: t.before(epoch_id) for n, t in self.tables.items()}
-            orders = timed.where(F.col("kind") == "order").select(*ORDER_COLUMNS)
-            flow = timed.where(F.col("kind") == "event").select(*lifecycle.FLOW)
+        as_of = self._now(batch, epoch_id)
+        now = F.lit(str(as_of)).cast(self.time)
+        timed = batch.withColumn("event_time", F.least(F.coalesce("event_time", now), now))
+        state = {n: t.before(epoch_id) for n, t in self.tables.items()}
+        # Of orders, the clock reads the time and the queue the rest, once; events are read often.
+        orders = timed.where(F.col("kind") == "order").select(*ORDER_COLUMNS)
+        with shared(timed.where(F.col("kind") == "event").select(*lifecycle.FLOW)) as flow:
             result = epochs.run(state, orders, flow, self.metrics_at(as_of), self.roster, as_of,
                                 self.started, self.p, lake.settler(self.root, epoch_id),
                                 self._keep_queue(epoch_id))

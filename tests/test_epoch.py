@@ -6,11 +6,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import types as T
 
-from plantwatch.operators import epoch, fleet, work
+from plantwatch.operators import epoch, fleet, lifecycle, work
 from plantwatch.params import DEFAULTS
 from plantwatch.session import workdir
 from plantwatch.sources import lake
 from plantwatch.sources.bus import Bus
+from plantwatch.streaming import orchestrate
 from plantwatch.streaming.orchestrate import Orchestrator
 
 T0 = datetime(2024, 1, 1)
@@ -350,3 +351,15 @@ def test_readers_see_all_sinks_of_an_epoch_or_none(plant):
     assert plant.clock.last() == 1 and [rows.count() for rows in plant.served(*SINKS)] == [2, 4, 1, 2, 2]
     plant.run(1, *second)  # and a replay changes nothing
     assert [rows.count() for rows in plant.served(*SINKS)] == [2, 4, 1, 2, 2]
+
+
+def test_new_orders_are_written_once_and_only_events_are_cached(plant, monkeypatch):
+    cached = []
+    keep = orchestrate.shared
+    monkeypatch.setattr(orchestrate, "shared", lambda df: cached.append(df.columns) or keep(df))
+    plant.run(0, order("t1", at(5), 1), order("t2", at(5), 2), order("t3", at(5), 3))
+    assert cached == [lifecycle.FLOW]
+    spark = plant.roster.sparkSession
+    assert {r.task_id for r in spark.read.parquet(f"{plant.root}/queue/added/epoch=0").collect()} == {"t1", "t2", "t3"}
+    assert lake.StateTable(spark, f"{plant.root}/orders", QUEUE).last() == -1  # no step of its own
+    assert plant.ids("queue", 0) == ["t3"] and plant.tables["counters"].after(0).first().total == 3
