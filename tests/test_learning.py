@@ -305,3 +305,59 @@ def test_forest_edges_give_rare_classes_their_share(spark):
     cfg = forest.Settings(bins=8)
     edge = forest.edges(df, 1, {0: 500.0, 1: 500.0}, cfg)[0]
     assert len(edge) == 7 and 3 <= sum(e < 0.02 for e in edge) <= 4
+
+
+def _boosted(spark, df, cfg, folds=2):
+    """Models of the folds and the Spark jobs that they took."""
+    spark.sparkContext.setJobGroup("boosting", "boosting")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting"))
+    models = boosting.fit_folds(df, schemas.FEATURES, folds, cfg)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting")) - before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return models, jobs
+
+
+def test_boosting_runs_several_rounds_in_a_job(spark, episodes):
+    """All 350 rounds may run: a job for each level of each was most of the time."""
+    df = learning.with_fold(episodes, CFG).persist()
+    models, jobs = _boosted(spark, df, boosting.Boosting(depth=4, rounds=20, leaves=8))
+    df.unpersist()
+    assert [m.rounds for m in models] == [20, 20] and jobs < 20
+
+
+@pytest.mark.parametrize("rare", [False, True])
+def test_boosting_by_levels_and_by_tasks_grows_the_same_trees(spark, episodes, monkeypatch, rare):
+    """Whole models in a task each, their scores stored in between, and levels over all tasks, rounds ended by the loss included."""
+    df = learning.with_fold(episodes, CFG)
+    if rare:  # weights too large to add a hessian and a row up as one number, or to keep gradients in 32 bits
+        df = df.where("label <> 2 or (temperature > 89.5 and seq = 59)")
+        for _ in range(5):
+            df = df.union(df.where("label <> 2"))
+    df = stored(df, "test-folds").repartition(3).persist()
+    cfg = boosting.Boosting(depth=4, rounds=9, leaves=7, keep_rounds=2, patience=3, rate=0.4, leaf_rows=2 if rare else 20)
+    monkeypatch.setattr(boosting, "STORED_JOBS", 2)
+    monkeypatch.setattr(boosting, "CHUNK", 500)
+    monkeypatch.setattr(boosting, "SMALL", 1 << 14 if rare else 100)
+    whole, _ = _boosted(spark, df, cfg)
+    monkeypatch.setattr(boosting, "WHOLE", 0)
+    levels, jobs = _boosted(spark, df, cfg)
+    df.unpersist()
+    assert [m.edge for m in whole] == [m.edge for m in levels]
+    assert [m.trees for m in whole] == [m.trees for m in levels] and whole[0].rounds > 3
+    assert jobs <= 20 + cfg.rounds * cfg.depth
+
+
+def test_sums_of_a_task_are_exact_at_any_weight():
+    rng = np.random.default_rng(4)
+    bins, cfg = rng.integers(0, 9, (11, 5000)).astype(np.uint8), boosting.Boosting(bins=9)
+    rows = np.flatnonzero(rng.random(5000) < 0.3).astype(np.int32)
+    for most, kind in ((1.0, np.int32), (500.0, np.int32), (1e5, np.float64)):
+        pairs = np.rint(rng.random((5000, 2)) * [most, most / 4] * boosting.UNIT).astype(kind)
+        source = boosting.Rows(list(bins), most)
+        assert bool(source.row) == (most < 64)
+        for part in (None, rows):
+            use = np.arange(5000) if part is None else part
+            got = source.sums(pairs, part, cfg)
+            for f in range(11):
+                want = [np.bincount(bins[f, use], x, 9) for x in (pairs[use, 0].astype(float), pairs[use, 1].astype(float), None)]
+                assert all((a == b).all() for a, b in zip(got[:, f], want))
