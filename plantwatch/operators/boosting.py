@@ -26,6 +26,7 @@ import json
 import pickle
 import sys
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -159,9 +160,10 @@ def grown(cuts: dict, cfg: Boosting) -> tuple[Tree, dict]:
     return tree, {p: at[p] for p in open_}
 
 
-def softmax(raw: np.ndarray, axis: int = -1) -> np.ndarray:
-    e = np.exp(raw - raw.max(axis=axis, keepdims=True))
-    return e / e.sum(axis=axis, keepdims=True)
+def softmax(raw: np.ndarray) -> np.ndarray:
+    """Shares of the classes; scores are classes x rows."""
+    e = np.exp(raw - reduce(np.maximum, raw))  # row by row of the array: a reduction along its short axis takes longer
+    return e / reduce(np.add, e)
 
 
 def edges(df: DataFrame, features: list[str], cfg: Boosting) -> list[list[float]]:
@@ -275,7 +277,7 @@ def level_cuts(rows: RDD, above: RDD | None, trees: dict, asked: dict, weights:
     def add(fold, label, aside, bins, raw, held, loss):
         raw = raw.reshape(models, cfg.classes, -1)
         for m in sorted({m for m, _ in keys}):
-            p, w, other = softmax(raw[m], 0), weights[m][label], fold != m
+            p, w, other = softmax(raw[m]), weights[m][label], fold != m
             mine = np.flatnonzero(other & ~aside)
             if m in judged:
                 use = np.flatnonzero(other & aside)
@@ -453,7 +455,7 @@ def some_rounds(elements, histories: list[list[float]], start: int, weights: np.
     pairs = np.empty((cfg.classes, n, 2), dtype=np.int32 if w.max() * UNIT < 1 << 31 else np.float64)
     for number in range(start, min(start + cfg.keep_rounds, cfg.rounds)):
         if number:
-            p, y = softmax(raw[:, n:], 0), label[n:]
+            p, y = softmax(raw[:, n:]), label[n:]
             total = w[y].sum()
             history.append(round(float((w[y] * -np.log(np.maximum(p[y, np.arange(len(y))], 1e-15))).sum() / total), 12) if total
                            else float("nan"))
@@ -462,7 +464,7 @@ def some_rounds(elements, histories: list[list[float]], start: int, weights: np.
                 break
         for at in range(0, n, SMALL):
             part = slice(at, min(at + SMALL, n))
-            p, y = softmax(raw[:, part], 0), label[part]
+            p, y = softmax(raw[:, part]), label[part]
             wy = w[y]
             for c in range(cfg.classes):
                 pairs[c, part, 0] = np.rint(wy * (p[c] - (y == c)) * UNIT)
@@ -538,10 +540,10 @@ class BoostedModel:
         @F.pandas_udf("array<double>")
         def score(x: pd.DataFrame) -> pd.Series:
             bins = np.stack([np.searchsorted(e, x.iloc[:, i].to_numpy(dtype=float)) for i, e in enumerate(edge)])
-            raw = np.zeros((len(x), classes))
+            raw = np.zeros((classes, len(x)))
             for c, tree in trees:
-                raw[:, c] += tree.added(bins)
-            return pd.Series(list(softmax(raw)) if len(raw) else [], dtype=object)
+                raw[c] += tree.added(bins)
+            return pd.Series(list(np.ascontiguousarray(softmax(raw).T)) if len(x) else [], dtype=object)
         inputs = F.struct(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in self.features])
         out = df.withColumn("probability", score(inputs))
         top = F.array_position("probability", F.array_max("probability")) - 1  # the first of equals
